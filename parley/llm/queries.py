@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, mixing, quality_rules, simhash
+from parley.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{q}.n_words", f"{q}.word_chars", f"{q}.n_symbols", f"{q}.n_dup_lines", f"{q}.n_repeat_words", f"{q}.base_failed", f"{q}.kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    out = quality_classifier.quality_scores(docs, _read(spark, sf_dir, "labels"), meta_cols=("n_chars",))
+    return out.select("doc_id", "_score.held_out", "_score.score", "_score.predicted")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +46,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_quality_rules, op8_simhash, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op8_simhash, op9_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
