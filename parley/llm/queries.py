@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, simhash
+from parley.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.col("_secrets.counts")
+    return out.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2("_secrets.base", 256).alias("base_sha256"), "_secrets.spans")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     c = "_contamination"
@@ -46,6 +52,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op8_simhash, op9_mixing)}
+#: Host rules of the URL query, and what marks hosts as known bad.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+BAD_HOST = "(^|[.-])(ads|adult|bets?|casino|pills|porn|spam|viagra|xxx)([.-]|$)"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, F.col("host").rlike(BAD_HOST))
+    return out.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op8_simhash, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
