@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parley.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc
 
 
@@ -72,6 +73,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op6_warc, op7_suffix_dedup, op8_simhash, op9_mixing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op6_warc, op7_suffix_dedup, op8_simhash, op9_mixing, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {}

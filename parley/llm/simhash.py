@@ -233,3 +233,18 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = materialize(join_unique(known, low, "root", "members").select("_fp", "n", "component_id"), "membership")
     out = join_unique(own, of, "_fp", "n")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with one row for each class of near-duplicates: that of smallest id.
+
+    Of rows that repeat one id any single one stays. Rows without an id are never dropped;
+    otherwise as :func:`simhash_classes`.
+    """
+    own = materialize(simhash_classes(docs, id_col, text_col, shingle).where(F.col(id_col).isNotNull()), "near-classes")
+    gone = own.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if own.groupBy(id_col).count().where("count > 1").isEmpty():
+        return rest
+    named = F.col(id_col).isNotNull()
+    return rest.where(named).dropDuplicates([id_col]).unionByName(rest.where(~named))
