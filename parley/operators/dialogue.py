@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parley.functions.scalar import hash_order
@@ -99,7 +100,7 @@ def compose(dialogues: DataFrame, key: str, group: Sequence[str], size: str, see
             seen[g] = place[-1] + 1
         return t.select([*group, "cell", key]).append_column("composition", pa.array(number, pa.int32())).append_column("place", pa.array(place, pa.int32()))
 
-    return dealt.groupBy(*group, "cell").applyInArrow(run, schema.add("composition", "int").add("place", "int"))
+    return dealt.groupBy(*group, "cell").applyInArrow(run, schema.add("composition", T.IntegerType()).add("place", T.IntegerType()))
 
 
 def concatenate(composed: DataFrame, dialogues: DataFrame, key: str, group: Sequence[str], messages: str = "messages") -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming jobs of live conversations."""
