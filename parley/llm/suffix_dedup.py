@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ from parley.llm import textvec as tv
 from parley.llm.common import materialize, partitions_for
 
 WINDOW = 50
-GRAM = 24
+GRAM = 16
+#: Bytes that are kept of gram and context hashes; two contexts are taken for equal if both agree.
+HASH_BYTES = (6, 7)
+K_MASK, CTX_MASK = (np.uint64((1 << 8 * n) - 1) for n in HASH_BYTES)
 #: Bytes of text whose anchors are collapsed together before the shuffle.
 BATCH_BYTES = 12 << 20
 #: Bytes of contexts that one suffix array covers, but for a larger group.
@@ -162,21 +166,85 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _collapse(k, ctx, doc, row, a, p, b, ends_open=False):
-    """Sort by class and document; mark the rows of each class's smallest document."""
-    order = np.lexsort((p, row, doc, ctx, k))
-    k, ctx, doc, row, a, p, b = (x[order] for x in (k, ctx, doc, row, a, p, b))
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1])])
-    cls = np.cumsum(new) - 1
-    least = doc[new][cls] == doc
-    return k, ctx, doc, row, a, p, b, new, cls, least
-
-
-ROWS = "k bigint, ctx bigint, doc bigint, row bigint, a int, p int, b int"
-
-
-def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Rows (k, ctx, doc, row, a, p, b): anchors with their class; and, with p -1, spans [a, b) already known to go."""
+class Rows:
+    """Columns of anchors: gram hash, context hash, document, row, position, and the context's reach to either side."""
+
+    NAMES = ("k", "ctx", "doc", "row", "p", "head", "tail")
+
+    def __init__(self, **cols: np.ndarray):
+        self.cols = cols
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.__dict__["cols"][name]
+
+    def __len__(self) -> int:
+        return len(self.k)
+
+    def __getitem__(self, at: np.ndarray) -> Rows:
+        return Rows(**{c: x[at] for c, x in self.cols.items()})
+
+    @classmethod
+    def of(cls, parts: list[Rows]) -> Rows:
+        return cls(**{c: np.concatenate([getattr(x, c) for x in parts]) for c in cls.NAMES})
+
+    def classes(self) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order of class and document; where a class begins; each row's class; rows of its class's smallest document."""
+        rows = self[np.lexsort((self.p, self.row, self.doc, self.ctx, self.k))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows.k[1:] != rows.k[:-1]) | (rows.ctx[1:] != rows.ctx[:-1])
+        cls = np.cumsum(new) - 1
+        return rows, new, cls, rows.doc[new][cls] == rows.doc
+
+    def pack(self) -> bytes:
+        """The hashes' bytes as they are, for nothing makes them smaller; the rest by differences, compressed."""
+        rows = self[np.lexsort((self.p, self.row))]
+        n = len(rows)
+        hashes = np.concatenate([rows.k.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[0]], rows.ctx.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[1]]], 1)
+        change = lambda x: np.diff(x, prepend=np.int64(0)).view(np.uint8).reshape(n, 8).T.tobytes()
+        rest = change(rows.doc) + (change(rows.row) if (rows.row != rows.doc).any() else b"") + rows.p.astype(np.int32).view(np.uint8).reshape(n, 4).T.tobytes() + rows.head.astype(np.uint8).tobytes() + rows.tail.astype(np.uint8).tobytes()
+        return n.to_bytes(4, "little") + hashes.tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Rows:
+        n, width = int.from_bytes(raw[:4], "little"), sum(HASH_BYTES)
+        hashes = np.frombuffer(raw, np.uint8, n * width, 4).reshape(n, width)
+        rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + n * width :]), np.uint8)
+
+        def wide(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, 8), np.uint8)
+            out[:, : x.shape[1]] = x
+            return out.view(np.uint64).ravel()
+
+        turned = lambda x, kind: np.ascontiguousarray(x.reshape(-1, n).T).view(kind).ravel()
+        doc = np.cumsum(turned(rest[: 8 * n], np.int64))
+        at = 8 * n
+        row = doc
+        if len(rest) > 14 * n:
+            row, at = np.cumsum(turned(rest[at : at + 8 * n], np.int64)), at + 8 * n
+        p = turned(rest[at : at + 4 * n], np.int32).astype(np.int64)
+        at += 4 * n
+        return cls(k=wide(hashes[:, : HASH_BYTES[0]]), ctx=wide(hashes[:, HASH_BYTES[0] :]), doc=doc, row=row, p=p, head=rest[at : at + n].astype(np.int64), tail=rest[at + n :].astype(np.int64))
+
+
+def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Span rows, with those of one row that touch made one."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    if len(row):
+        new = np.ones(len(row), bool)
+        new[1:] = row[1:] != row[:-1]
+        reach = b + (np.cumsum(new) << 40)
+        reach = np.maximum.accumulate(reach)
+        new[1:] |= a[1:] > (reach[:-1] & ((1 << 40) - 1))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:] - 1, len(row) - 1)
+        row, a, b = row[first], a[first], reach[last] & ((1 << 40) - 1)
+    n = len(row)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(row), pa.array(a.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
+
+
+def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
+    """(part, anchors, spans): packed anchors by hash, and Arrow bytes of spans already known to go."""
 
     def emit(batches):
         held, size = [], 0
@@ -185,22 +253,33 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for lo, _, data, off in tv.chunks(batch.column("text")):
                 text, p, h, ctx = anchors(data, off, window, gram)
                 at, n = p - off[text], np.diff(off)[text]
-                held.append((h.view(np.int64), ctx.view(np.int64), doc[lo + text], row[lo + text], np.maximum(at - (window - gram), 0), at, np.minimum(n, at + window)))
+                held.append(Rows(k=h & K_MASK, ctx=ctx & CTX_MASK, doc=doc[lo + text], row=row[lo + text], p=at, head=np.minimum(at, window - gram), tail=np.minimum(n - at, window)))
                 size += len(data)
                 if size >= BATCH_BYTES:
-                    yield collapsed(held)
+                    yield from collapsed(held)
                     held, size = [], 0
         if held:
-            yield collapsed(held)
+            yield from collapsed(held)
 
     def collapsed(held):
-        k, ctx, doc, row, a, p, b, *_, least = _collapse(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        k = np.where(least, k, row)
-        ctx = np.where(least, ctx, 0)
-        p = np.where(least, p, -1)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(ctx), pa.array(doc), pa.array(row), *(pa.array(x.astype(np.int32)) for x in (a, p, b))], ["k", "ctx", "doc", "row", "a", "p", "b"])
-
-    return docs.mapInArrow(emit, ROWS)
+        rows, _, _, least = Rows.of(held).classes()
+        gone = rows[~least]
+        rows = rows[least]
+        part = (rows.k % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        packed = [(i, rows[order[cut[i] : cut[i + 1]]].pack(), None) for i in range(parts) if cut[i] < cut[i + 1]]
+        if len(gone):
+            out = _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, out.schema) as writer:
+                writer.write_batch(out)
+            packed.append((int(gone.row[0] % parts), None, sink.getvalue().to_pybytes()))
+        for lo in range(0, len(packed), 64):
+            i, x, y = zip(*packed[lo : lo + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["part", "anchors", "spans"])
+
+    return docs.mapInArrow(emit, "part bigint, anchors binary, spans binary")
 
 
 CLASSES = "k bigint, doc bigint, row bigint, a int, p int, b int, others array<int>"
@@ -210,21 +289,21 @@ def classes(rows: DataFrame, n: int) -> DataFrame:
     """Spans to go (k null), and of each anchor hash with several classes one row for each, with the other places that hold it."""
 
     def reduce(batches):
-        parts = [[_column(b, c).copy() for c in ("k", "ctx", "doc", "row", "a", "p", "b")] for b in batches if b.num_rows]
+        parts = []
+        for batch in batches:
+            for packed, known in zip(batch.column("anchors"), batch.column("spans"), strict=True):
+                if known.is_valid:
+                    yield from pa.ipc.open_stream(known.as_buffer())
+                else:
+                    parts.append(Rows.unpack(packed.as_buffer().to_pybytes()))
         if not parts:
             return
-        k, ctx, doc, row, a, p, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows, new, cls, least = Rows.of(parts).classes()
         del parts
-        known = p < 0
-        yield spans(doc[known], row[known], a[known], b[known])
-        k, ctx, doc, row, a, p, b = (x[~known] for x in (k, ctx, doc, row, a, p, b))
-        if not len(k):
-            return
-        k, ctx, doc, row, a, p, b, new, cls, least = _collapse(k, ctx, doc, row, a, p, b)
-        yield spans(doc[~least], row[~least], a[~least], b[~least])
-        head = np.flatnonzero(new)
-        hk = k[head]
-        several = np.zeros(len(head), bool)
+        gone = rows[~least]
+        yield _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail)
+        hk = rows.k[new]
+        several = np.zeros(len(hk), bool)
         same = hk[1:] == hk[:-1]
         several[1:] |= same
         several[:-1] |= same
@@ -232,20 +311,15 @@ def classes(rows: DataFrame, n: int) -> DataFrame:
         keep = np.flatnonzero(least & several[cls])
         if not len(keep):
             return
-        first = np.concatenate([[True], (cls[keep][1:] != cls[keep][:-1]) | (row[keep][1:] != row[keep][:-1])])
-        lead = keep[first]
-        ends = np.append(np.flatnonzero(first), len(keep))
-        rest = keep[~first]
-        count = np.diff(ends) - 1
-        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(p[rest].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(k[lead]), pa.array(doc[lead]), pa.array(row[lead]), *(pa.array(x[lead].astype(np.int32)) for x in (a, p, b)), others], ["k", "doc", "row", "a", "p", "b", "others"])
-
-    def spans(doc, row, a, b):
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc), pa.array(row), pa.array(a.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
+        first = np.ones(len(keep), bool)
+        first[1:] = (cls[keep][1:] != cls[keep][:-1]) | (rows.row[keep][1:] != rows.row[keep][:-1])
+        lead, rest = rows[keep[first]], keep[~first]
+        count = np.diff(np.append(np.flatnonzero(first), len(keep))) - 1
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(rows.p[rest].astype(np.int32)))
+        ints = (pa.array(x.astype(np.int32)) for x in (lead.p - lead.head, lead.p, lead.p + lead.tail))
+        yield pa.RecordBatch.from_arrays([pa.array(lead.k.view(np.int64)), pa.array(lead.doc), pa.array(lead.row), *ints, others], ["k", "doc", "row", "a", "p", "b", "others"])
 
-    return rows.repartition(n, "k").mapInArrow(reduce, CLASSES)
+    return rows.repartition(n, "part").mapInArrow(reduce, CLASSES)
 
 
 def sorted_out(contexts: DataFrame, n: int, window: int) -> DataFrame:
@@ -318,7 +392,7 @@ def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """All columns of ``docs`` and struct ``_cut``: n_bytes, n_removed, n_spans, kept (bytes).
+    """The columns of ``docs`` but for the text, and struct ``_cut``: n_bytes, n_removed, n_spans, kept (bytes).
 
     Texts count as UTF-8 bytes; a null one is empty, and one of fewer than ``window`` bytes is never
     cut. Ids are integers; a null id is larger than all others. Rows with one id (repeated rows
@@ -330,14 +404,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     total, rows, ids = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*"), F.count_distinct(key)).first()
     # Where ids are unique they name rows; else a hash of id and text does, as equal rows have equal results.
-    row = key if rows == ids else F.xxhash64(key, text)
+    unique = rows == ids
+    row = key if unique else F.xxhash64(key, text)
     own = docs.select(key.alias("doc"), row.alias("row"), text.alias("text"))
+    if not unique:
+        own = own.dropDuplicates(["row"])
     n = partitions_for(spark, total)
-    found = materialize(classes(anchor_rows(own, window, gram), n), "classes")
+    found = materialize(classes(anchor_rows(own, window, gram, n), n), "classes")
     wanted = found.where(F.col("k").isNotNull()).groupBy("row").agg(F.collect_list(F.struct("k", "doc", "a", "p", "b", "others")).alias("wanted"))
-    by_row = docs.select(F.struct("*").alias("_row"), row.alias("row")).repartition(n, "row")
-    texts = F.coalesce(F.col(f"_row.{text_col}").cast("string"), F.lit(""))
-    pieces = by_row.join(wanted, "row").select("row", F.explode(F.arrow_udf(cut_contexts, PIECES)(texts, "wanted")).alias("x")).select("row", "x.*").dropDuplicates(["row", "k", "p"])
+    texts = own.select("row", "text").repartition(n, "row")
+    pieces = texts.join(wanted, "row").select("row", F.explode(F.arrow_udf(cut_contexts, PIECES)("text", "wanted")).alias("x")).select("row", "x.*")
     spans = found.where(F.col("k").isNull()).select("row", "a", "b").unionByName(sorted_out(pieces, n, window))
     gone = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return by_row.join(gone, "row", "left").select("_row.*", F.arrow_udf(cut_spans, CUT)(texts, "gone").alias("_cut"))
+    cut = texts.join(gone, "row", "left").select(F.col("row").alias("_key"), F.arrow_udf(cut_spans, CUT)("text", "gone").alias("_cut"))
+    light = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_row"), row.alias("_own"))
+    if unique and [c for c in docs.columns if c != text_col] == [id_col] and docs.schema[id_col].dataType.simpleString() == "bigint":
+        # The id is all there is besides the text, so it need not be joined back.
+        return cut.select(F.when(F.col("_key") != F.lit((1 << 63) - 1), F.col("_key")).alias(id_col), "_cut")
+    return light.join(cut, F.col("_own") == F.col("_key")).select("_row.*", "_cut")
