@@ -3,7 +3,8 @@
 Writing: payloads of ``REVISIT_BYTES`` or more that stand in several captures are stored once, in
 the capture of the largest id; the others become revisit records. Records go out through Spark's
 text sink, each a header block and a payload, so archives land on whatever store holds the
-path, under the usual commit protocol.
+path, under the usual commit protocol. A file is gzipped as a whole; offsets count in the
+uncompressed archive.
 
 Reading: each archive file gives one run of index entries, sorted by URL key and timestamp. Ranges
 of that order are cut so that each holds a bounded number of entries, runs are split at the
@@ -12,6 +13,7 @@ cuts, and a loser tree merges the parts of all runs within each range.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime, timedelta
@@ -83,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     total = pages.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     n = partitions_for(pages.sparkSession, total, file_bytes)
     out = records(roles(pages, id_col, text_col), url_col)
-    out.repartition(n, F.xxhash64("value")).write.option("lineSep", CRLF * 2).text(path)
+    out.repartition(n, F.xxhash64("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes, bytes]]:
@@ -122,7 +124,7 @@ def read_runs(path: str, files: DataFrame) -> DataFrame:
         for batch in batches:
             for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 own = []
-                for fields, at, size, http, payload in parse(raw.as_py()):
+                for fields, at, size, http, payload in parse(gzip.decompress(raw.as_py())):
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = fields["WARC-Type"] == "revisit"
                     told = int(http.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
