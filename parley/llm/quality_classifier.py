@@ -168,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     stats = np.array(rows["stats"].to_pylist(), float).reshape(len(rows), len(STATISTICS) + width)
     model = Machine(stats)
     words = [(np.asarray(i.values), np.asarray(x.values)) for i, x in zip(rows["index"], rows["value"], strict=True)]
-    if len(rows):
+    if not len(rows):
+        model.v[:] = 0.0
+    else:
         model.fit(stats, words, rows["_y"].to_numpy())
     return model
 
