@@ -17,8 +17,8 @@ def write_shards(df: DataFrame, root: str, rows: int = 1000) -> DataFrame:
     spark, path = df.sparkSession, f"{root}/training"
     df.write.mode("errorifexists").partitionBy("split").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     seen = files(spark, path, "*.parquet", content=True).select(F.regexp_extract("path", "split=([^/]+)/", 1).alias("split"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    n = spark.read.parquet(path).groupBy(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file")).agg(F.count("*").alias("rows"))
-    return seen.join(n, "file").select("split", "file", "rows", "bytes", "sha256")
+    n = spark.read.parquet(path).groupBy(F.regexp_extract(F.input_file_name(), "split=([^/]+)/", 1).alias("split"), F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file")).agg(F.count("*").alias("rows"))
+    return seen.join(n, ["split", "file"]).select("split", "file", "rows", "bytes", "sha256")
 
 
 def split_summaries(df: DataFrame, duration: str) -> DataFrame:
