@@ -218,3 +218,19 @@ def test_evaluation(spark):
     assert r.support == 4.0 and abs(r.brier - 0.0625) < 1e-12
     x = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")
     assert x.select(evaluation.resample_nearest(F.col("v"), F.lit(5))).first()[0] == [1.0, 1.0, 2.0, 3.0, 3.0]
+
+
+def test_timeline_repair(spark):
+    from parley.operators.repair import Repair, available, copy_plan, segments, source_interval, words
+
+    r = Repair(1.0, 3.0, change=50.0, exclude_from=45.0, exclude_to=55.0)
+    assert r.boundary == 48.0
+    df = spark.createDataFrame([(1, 0.0, 10.0), (2, 0.0, 10.0), (2, 47.0, 49.0), (2, 60.0, 61.0)], "track int, start double, end double")
+    assert rows(segments(df, r), "track", "start", "end") == [(1, 0.0, 10.0), (2, 1.0, 11.0), (2, 48.0, 49.0), (2, 51.0, 52.0), (2, 63.0, 64.0)]
+    assert rows(words(df, r, 63.5), "track", "start", "end") == [(1, 0.0, 10.0), (2, 1.0, 11.0), (2, 63.0, 63.5)]
+    out = spark.createDataFrame([(1.0, 2.0), (44.0, 46.0), (60.0, 61.0)], "s double, e double").select(source_interval(F.col("s"), F.col("e"), r).alias("x")).collect()
+    assert [None if o.x is None else tuple(o.x) for o in out] == [(0.0, 1.0), None, (57.0, 58.0)]
+    assert available(100.0, r) == [(1.0, 45.0), (55.0, 100.0)]
+    plan = copy_plan(100, 1, r)
+    assert plan == [(0, 1, None), (1, 45, 0), (45, 55, None), (55, 100, 52)]
+    assert copy_plan(10, 1, Repair(-2.0)) == [(0, 8, 2), (8, 10, None)]
