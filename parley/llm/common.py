@@ -8,9 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.shipping import ship
+
 #: Bytes of text that one shuffle partition of a text-keyed exchange may carry.
 PARTITION_BYTES = 16 << 20
 
+#: Rows of text in an Arrow batch.
+BATCH_ROWS = 1000
+
 #: A key with at least 1/HOT_SHARE of all rows is joined by broadcast; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -28,6 +33,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of this session have ``rows`` rows at most, as both sides hold whole batches of texts; send the workers this package."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name) or 0)
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import join_unique, materialize, partitions_for, work_path
+from parley.llm.common import join_unique, materialize, partitions_for, small_batches, work_path
 
 REVISIT_BYTES = 1000
 #: Payload bytes that one archive file aims at.
@@ -209,6 +209,7 @@ def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     Of rows with one id and payload that id's are all stored or all revisits, so repeated rows give
     repeated records. An empty table gives an empty history. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     path = path or work_path(pages.sparkSession, "archives")
     write_archives(pages.select(id_col, url_col, text_col), path, id_col, url_col, text_col)
     return read_archives(pages.sparkSession, path)
