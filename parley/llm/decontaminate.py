@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize
+from parley.llm.common import materialize, small_batches
 
 GRAM, WINNOW = 5, 6
 WINDOW = GRAM + WINNOW - 1
@@ -153,6 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     an empty benchmark hits nothing. Other columns of ``docs`` are kept and not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
 
     def judge_by(block):

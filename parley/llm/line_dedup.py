@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import HOT_SHARE, materialize, work_path
+from parley.llm.common import HOT_SHARE, materialize, small_batches, work_path
 
 FANOUT = 4
 BATCHES = 4
@@ -171,6 +171,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     their own, so they count; an empty table gives an empty result. Other columns are kept and
     not read.
     """
+    small_batches(docs.sparkSession)
     runs = LineRuns(docs.sparkSession)
     add_batches(docs, runs, text_col, min_chars, batches)
     counts = runs.counts()

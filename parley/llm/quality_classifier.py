@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
+from parley.llm.common import small_batches
 from parley.llm.quality_rules import SYMBOL, repeated_words
 
 #: Labelled rows that a fit takes at most.
@@ -183,6 +184,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     and labels of null ids are ignored, of repeated labels the largest holds. Repeated rows score
     alike. Without labels every score is 0.5. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, meta_cols, max_rows))
     width = len(meta_cols)
 

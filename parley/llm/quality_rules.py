@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize
+from parley.llm.common import materialize, small_batches
 
 SUB_BITS = 6
 #: Documents a sketch needs before its fences count.
@@ -144,7 +144,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     and sources are groups of their own. Rows are judged one by one, so repeated rows and ties
     are all judged alike; an empty table gives an empty result. Other columns are kept, not read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     features = F.arrow_udf(text_features, FEATURES)
     own = docs.select(F.struct("*").alias("_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col).cast("string")).alias("_f"))
     scored = own.select("*", *[c.alias(m) for m, c in rates("_f").items()])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize, partitions_for
+from parley.llm.common import materialize, partitions_for, small_batches
 
 WINDOW = 50
 GRAM = 16
@@ -400,6 +400,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty result. Other columns are kept and not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     total, rows, ids = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*"), F.count_distinct(key)).first()
