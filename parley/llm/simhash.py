@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import join_unique, materialize, shuffle_partitions
+from parley.llm.common import join_unique, materialize, shuffle_partitions, small_batches
 
 RADIUS = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -49,8 +49,9 @@ def fingerprint(words: list[bytes], shingle: int) -> list[int]:
     return [h(joined[a:b], 42) for a, b in zip(start[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
 
 
-def simhashes(texts: pa.Array, shingle: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
+def simhashes(texts: pa.Array, shingle: int, tables: int = 1) -> np.ndarray:
+    """Fingerprints of each text, one for each table; those after the first mix the same hashes anew."""
+    out = np.zeros((len(texts), tables), np.uint64)
     for lo, hi, data, off in tv.chunks(texts, tv.CHUNK_BYTES // 2):
         raw = data.tobytes().lower()
         hashes, n = [], []
@@ -63,18 +64,23 @@ def simhashes(texts: pa.Array, shingle: int) -> np.ndarray:
         if not len(full):
             continue
         h = np.concatenate(hashes)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        most = (2 * ones > n[full][:, None]).astype(np.uint8)
-        out[lo + full] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+        for t in range(tables):
+            g = h if t == 0 else tv.mix(h + np.uint64(t) * np.uint64(0xD6E8FEB86659FD93 >> 4))
+            bits = np.unpackbits(g.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+            most = (2 * ones > n[full][:, None]).astype(np.uint8)
+            out[lo + full, t] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str, shingle: int, out: str) -> DataFrame:
-    @F.arrow_udf("bigint")
+def with_fingerprints(docs: DataFrame, text_col: str, shingle: int, out: str, tables: int = 1) -> DataFrame:
+    """``docs`` with an array of fingerprints."""
+
+    @F.arrow_udf("array<bigint>")
     def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array(simhashes(texts, shingle).view(np.int64), pa.int64())
+        flat = simhashes(texts, shingle, tables).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(flat.ravel()))
 
     return docs.withColumn(out, simhash(F.col(text_col).cast("string")))
 
@@ -84,11 +90,11 @@ def segment(fp: np.ndarray, i: int) -> np.ndarray:
     return (fp >> np.uint64(STARTS[i])) & np.uint64((1 << WIDTHS[i]) - 1)
 
 
-def index_rows(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, fingerprints, resident) for each chain start."""
+def index_rows(fp: np.ndarray, table: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, fingerprints, resident) for each chain start; keys name table and start above the two segments."""
     for i in range(RING):
         a, b = segment(fp, i), segment(fp, i + 1)
-        head = np.uint64(i << 26) | (a << np.uint64(13))
+        head = np.uint64((table * RING + i) << 26) | (a << np.uint64(13))
         yield head | b, fp, True
         odd = (np.bitwise_count(b) & 1) == 1
         for bit in range(WIDTHS[(i + 1) % RING]):
@@ -109,8 +115,12 @@ def chained(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def links(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs among fingerprints with equal keys: all of a small group's, a spanning forest of a larger one's."""
+def links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int | np.ndarray, np.ndarray, np.ndarray]]:
+    """(table, one, other) of linked pairs with equal keys: all of a small group's, spanning forests of a larger one's.
+
+    At RADIUS the chain's budgets hold for every link; at a wider radius a chain's first two
+    segments bring pairs together, and only the whole ring is checked.
+    """
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
@@ -121,21 +131,24 @@ def links(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         at = np.flatnonzero(k[d:] == k[:-d])
         if not len(at):
             break
-        x = f[at] ^ f[at + d]
-        ok = chained(x, (k[at] >> np.uint64(26)).astype(np.int64)) & (x != 0)
-        yield f[at[ok]], f[at[ok] + d]
+        x, chain = f[at] ^ f[at + d], (k[at] >> np.uint64(26)).astype(np.int64)
+        near = chained(x, chain % RING) if radius == RADIUS else np.bitwise_count(x) <= radius
+        ok = near & (x != 0)
+        yield chain[ok] // RING, f[at[ok]], f[at[ok] + d]
     for g in np.flatnonzero(size > SMALL):
-        yield forest(np.unique(fp[cut[g] : cut[g + 1]]))
+        own = np.unique(fp[cut[g] : cut[g + 1]])
+        for reach in range(RADIUS, radius + 1, 4):  # tighter links first, as a later check may refuse some
+            yield int(key[cut[g]] >> np.uint64(26)) // RING, *forest(own, reach)
 
 
-def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links within ``fp``: breadth first, each node against those not yet reached."""
     left, a, b = fp, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= RADIUS
+            near = np.bitwise_count(left ^ at) <= radius
             found = left[near]
             left = left[~near]
             a.append(np.full(len(found), at, np.uint64))
@@ -153,49 +166,54 @@ def ball(fp: np.ndarray) -> np.ndarray:
     return (fp[:, None] ^ masks[None, :]).ravel()
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _pairs(table: int | np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     a, b = a.view(np.int64), b.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+    t = np.broadcast_to(np.asarray(table, np.int32), a.shape)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t)), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["t", "u", "v"])
 
 
-def edges(nodes: DataFrame, col: str) -> DataFrame:
-    """(u, v), u > v, of links between the distinct fingerprints ``nodes``, enough to connect each class."""
+def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(t, u, v), u > v, of links between the distinct (t: table, fp) of ``nodes``, enough to connect each class of a table."""
     spark = nodes.sparkSession
+    whole = lambda batch, name: batch.column(name).to_numpy(zero_copy_only=False)
 
     def emit(batches):
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(every), 65536):
-                for key, fp, resident in index_rows(every[lo : lo + 65536]):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), resident))], ["key", "fp", "resident"])
+            table, every = whole(batch, "t"), whole(batch, "fp").view(np.uint64)
+            for t in np.unique(table):
+                own = every[table == t]
+                for lo in range(0, len(own), 65536):
+                    for key, fp, resident in index_rows(own[lo : lo + 65536], int(t)):
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), resident))], ["key", "fp", "resident"])
 
     def compare(batches):
-        keys, fps = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64).copy())
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64).copy())
-        if keys:
-            for a, b in links(np.concatenate(keys), np.concatenate(fps)):
-                yield _pairs(a, b)
+        parts = [(whole(b, "key").view(np.uint64).copy(), whole(b, "fp").view(np.uint64).copy()) for b in batches]
+        if parts:
+            keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for t, a, b in links(keys, fps, radius):
+                yield _pairs(t, a, b)
 
     def points(batches):
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            table, every = whole(batch, "t"), whole(batch, "fp").view(np.uint64)
             for lo in range(0, len(every), 256):
                 part = every[lo : lo + 256]
                 y = ball(part)
-                yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)), pa.array(np.repeat(part, len(y) // len(part)).view(np.int64))], ["y", "fp"])
-
-    rows = nodes.select(col).mapInArrow(emit, "key bigint, fp bigint, resident boolean")
-    big = materialize(rows.where("resident").groupBy("key").count().where(F.col("count") > DIRECT).select("key"), "crowded")
-    crowded = not big.isEmpty()
+                each = len(y) // len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(table[lo : lo + 256], each).astype(np.int32)), pa.array(y.view(np.int64)), pa.array(np.repeat(part, each).view(np.int64))], ["t", "y", "fp"])
+
+    rows = nodes.select(F.col("t").cast("int"), "fp").mapInArrow(emit, "key bigint, fp bigint, resident boolean")
+    crowded = False
+    if radius == RADIUS:
+        big = materialize(rows.where("resident").groupBy("key").count().where(F.col("count") > DIRECT).select("key"), "crowded")
+        crowded = not big.isEmpty()
     usual = rows.join(big, "key", "left_anti") if crowded else rows
-    n = max(shuffle_partitions(spark), 1)
-    found = usual.select("key", "fp").repartition(n, "key").mapInArrow(compare, "u bigint, v bigint")
+    found = usual.select("key", "fp").repartition(shuffle_partitions(spark), "key").mapInArrow(compare, "t int, u bigint, v bigint")
     if crowded:
-        dense = materialize(rows.join(big, "key", "left_semi").select("fp").distinct(), "dense").mapInArrow(points, "y bigint, fp bigint")
-        low = dense.groupBy("y").agg(F.min("fp").alias("v"), F.max("fp").alias("u"), F.collect_set("fp").alias("all")).where("u > v")
-        found = found.unionByName(low.select(F.explode("all").alias("u"), "v").where("u > v"))
+        table = F.call_function("div", F.call_function("shiftright", "key", F.lit(26)), F.lit(RING)).cast("int").alias("t")
+        dense = materialize(rows.join(big, "key", "left_semi").select(table, "fp").distinct(), "dense").mapInArrow(points, "t int, y bigint, fp bigint")
+        low = dense.groupBy("t", "y").agg(F.min("fp").alias("v"), F.max("fp").alias("u"), F.collect_set("fp").alias("all")).where("u > v")
+        found = found.unionByName(low.select("t", F.explode("all").alias("u"), "v").where("u > v"))
     return found.distinct()
 
 
@@ -225,9 +243,10 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it has no other (then null); repeated rows come back as often as they were given; an empty
     table gives an empty result. Other columns are ignored.
     """
-    own = materialize(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle, "_fp").select("_id", "_fp"), "fingerprints")
+    small_batches(docs.sparkSession)
+    own = materialize(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle, "_f").select("_id", F.col("_f")[0].alias("_fp")), "fingerprints")
     nodes = materialize(own.groupBy("_fp").agg(F.min("_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    roots = components(edges(nodes, "_fp"))
+    roots = components(edges(nodes.select(F.lit(0).alias("t"), F.col("_fp").alias("fp"))))
     known = materialize(nodes.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "rep", "n", F.coalesce("root", "_fp").alias("root")), "roots")
     low = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "classes")
     of = materialize(join_unique(known, low, "root", "members").select("_fp", "n", "component_id"), "membership")
@@ -235,16 +254,47 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each class of near-duplicates: that of smallest id.
+#: Independent fingerprints by which documents are brought together in :func:`keep_one`.
+TABLES = 6
+#: Share of all their bits that two documents of similarity 0.8 may differ in: angle / pi of a cosine of 0.89.
+SHARE = 0.155
+#: Bits of one table that a pair may differ in to be looked at.
+WIDE = 16
+
 
-    Of rows that repeat one id any single one stays. Rows without an id are never dropped;
-    otherwise as :func:`simhash_classes`.
+def near_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes: rep, fps; pairs: u, v). A node is a distinct array of fingerprints, named by its smallest id.
+
+    Nodes meet where some chain of some table begins alike, and pair if all tables together differ in at
+    most ``share`` of their bits. Nodes with one fingerprint in a table meet its smallest node only.
+    """
+    small_batches(docs.sparkSession)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    nodes = materialize(with_fingerprints(own, "_text", shingle, "fps", tables).groupBy("fps").agg(F.min("_id").alias("rep")), "nodes")
+    flat = nodes.select("rep", F.posexplode("fps").alias("t", "fp"))
+    leads = materialize(flat.groupBy("t", "fp").agg(F.min("rep").alias("lead"), F.count("*").alias("n")), "leads")
+    key = F.struct("t", "fp").alias("tf")
+    star = join_unique(flat.select("rep", key), leads.where("n > 1").select(key, "lead", "n"), "tf", "n", how="inner").where("rep != lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
+    of = lambda c: leads.select("t", F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    met = edges(leads.select("t", "fp"), WIDE).join(of("u"), ["t", "u"]).join(of("v"), ["t", "v"]).select(F.greatest("u_lead", "v_lead").alias("u"), F.least("u_lead", "v_lead").alias("v"))
+    pairs = star.unionByName(met).where("u != v").distinct()
+    end = lambda c: nodes.select(F.col("rep").alias(c), F.col("fps").alias(f"{c}_fps"))
+    apart = F.aggregate(F.zip_with("u_fps", "v_fps", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return nodes, pairs.join(end("u"), "u").join(end("v"), "v").where(apart <= int(share * 64 * tables)).select("u", "v")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES, share: float = SHARE) -> DataFrame:
+    """``docs`` with one row for each class of near-duplicates (similarity of about 0.8 or more): that of smallest id.
+
+    Ids are integers. Of rows that repeat one id any single one stays. Rows without an id are never
+    dropped. Texts without words are alike; an empty table gives an empty result. Other columns are kept.
     """
-    own = materialize(simhash_classes(docs, id_col, text_col, shingle).where(F.col(id_col).isNotNull()), "near-classes")
-    gone = own.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if own.groupBy(id_col).count().where("count > 1").isEmpty():
-        return rest
+    nodes, pairs = near_pairs(docs, id_col, text_col, shingle, tables, share)
+    gone = components(pairs).where("root != node").select(F.col("node").alias("rep"))
+    kept = materialize(nodes.select("rep").join(gone, "rep", "left_anti").withColumnRenamed("rep", "_kept"), "kept")
     named = F.col(id_col).isNotNull()
-    return rest.where(named).dropDuplicates([id_col]).unionByName(rest.where(~named))
+    rest = docs.where(named).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    ids = docs.where(named).select(id_col)
+    if not ids.groupBy(id_col).count().where("count > 1").isEmpty():
+        rest = rest.dropDuplicates([id_col])
+    return rest.unionByName(docs.where(~named))

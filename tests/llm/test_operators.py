@@ -136,7 +136,7 @@ def test_simhash_links_crowded_keys(spark):
             bits = rng.choice(64, rng.integers(1, 8), replace=False)
             fps.add(int(c) ^ sum(1 << int(b) for b in bits))
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "_fp long")
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").withColumn("t", F.lit(0))
 
     def classes(pairs):
         root = {f: f for f in fps}
@@ -152,12 +152,12 @@ def test_simhash_links_crowded_keys(spark):
 
     expected = classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4)
     unsigned = lambda x: x & ((1 << 64) - 1)
-    plain = [(unsigned(r.u), unsigned(r.v)) for r in simhash.edges(nodes, "_fp").collect()]
+    plain = [(unsigned(r.u), unsigned(r.v)) for r in simhash.edges(nodes).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in plain)
     assert classes(plain) == expected
     old, simhash.DIRECT = simhash.DIRECT, 3
     try:
-        dense = [(unsigned(r.u), unsigned(r.v)) for r in simhash.edges(nodes, "_fp").collect()]
+        dense = [(unsigned(r.u), unsigned(r.v)) for r in simhash.edges(nodes).collect()]
     finally:
         simhash.DIRECT = old
     assert classes(dense) == expected
@@ -176,6 +176,21 @@ def test_keep_one(spark):
     assert got(out, "doc_id") == want([(1,), (3,), (None,)])
 
 
+def test_keep_one_finds_near_copies(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        words = [f"t{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(300), 3 if i % 2 else 40):  # similarity of about 0.9, or about 0.3
+            words[at] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    kept = {r[0] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept >= {2 * i for i in range(150)}
+    assert all(2 * i + 1 in kept for i in range(0, 150, 2))
+    assert sum(2 * i + 1 in kept for i in range(1, 150, 2)) <= 7
+
+
 def test_suffix_dedup(spark, docs):
     cols = ["doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256)]
     expected = want(brute.substring_dedup(DOCS))
@@ -331,3 +346,26 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.filter_urls(pages, URL_RULES, F.lit(False)).count() == 0
     assert warc.capture_history(pages).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join(f"p{rng.randrange(3000)}" for _ in range(n))
+
+    item = prose(40)
+    rows = [(i, prose(150) + "\nA line of everywhere\n" + prose(20), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(100, rows[0][1], "en", "s0"), (101, rows[1][1].replace(" ", " x ", 1), "de", "s1"), (102, prose(90) + " " + item + " " + prose(30), "en", "s2"), (103, "too short", "en", "s0"), (104, "again " * 200, "en", "s1"), (105, None, None, None), (106, prose(120), None, None)]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in out}
+    assert kept <= {*range(60), 106} and not kept & {100, 101, 102, 103, 104, 105}
+    assert all("A line of everywhere" not in r.text for r in out)
+    assert all(r.n_chars == len(r.text) for r in out)
+    clean = [brute.WORD.findall(r[1].replace("A line of everywhere", "")) for r in rows if r[0] in {*range(60), 106}]
+    assert abs(sum(r.taken for r in out) - 1.5 * sum(map(len, clean))) <= 4
