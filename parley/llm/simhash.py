@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
 from parley.llm.common import join_unique, materialize, shuffle_partitions, small_batches
+from parley.llm.shingle_join import similar_pairs
 
 RADIUS = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -254,47 +255,21 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Independent fingerprints by which documents are brought together in :func:`keep_one`.
-TABLES = 6
-#: Share of all their bits that two documents of similarity 0.8 may differ in: angle / pi of a cosine of 0.89.
-SHARE = 0.155
-#: Bits of one table that a pair may differ in to be looked at.
-WIDE = 16
-
-
-def near_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes: rep, fps; pairs: u, v). A node is a distinct array of fingerprints, named by its smallest id.
-
-    Nodes meet where some chain of some table begins alike, and pair if all tables together differ in at
-    most ``share`` of their bits. Nodes with one fingerprint in a table meet its smallest node only.
-    """
-    small_batches(docs.sparkSession)
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    nodes = materialize(with_fingerprints(own, "_text", shingle, "fps", tables).groupBy("fps").agg(F.min("_id").alias("rep")), "nodes")
-    flat = nodes.select("rep", F.posexplode("fps").alias("t", "fp"))
-    leads = materialize(flat.groupBy("t", "fp").agg(F.min("rep").alias("lead"), F.count("*").alias("n")), "leads")
-    key = F.struct("t", "fp").alias("tf")
-    star = join_unique(flat.select("rep", key), leads.where("n > 1").select(key, "lead", "n"), "tf", "n", how="inner").where("rep != lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
-    of = lambda c: leads.select("t", F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
-    met = edges(leads.select("t", "fp"), WIDE).join(of("u"), ["t", "u"]).join(of("v"), ["t", "v"]).select(F.greatest("u_lead", "v_lead").alias("u"), F.least("u_lead", "v_lead").alias("v"))
-    pairs = star.unionByName(met).where("u != v").distinct()
-    end = lambda c: nodes.select(F.col("rep").alias(c), F.col("fps").alias(f"{c}_fps"))
-    apart = F.aggregate(F.zip_with("u_fps", "v_fps", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return nodes, pairs.join(end("u"), "u").join(end("v"), "v").where(apart <= int(share * 64 * tables)).select("u", "v")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES, share: float = SHARE) -> DataFrame:
-    """``docs`` with one row for each class of near-duplicates (similarity of about 0.8 or more): that of smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with one row for each class of near-duplicates (shingle sets of similarity 0.8 or more, exactly): that of smallest id.
 
     Ids are integers. Of rows that repeat one id any single one stays. Rows without an id are never
     dropped. Texts without words are alike; an empty table gives an empty result. Other columns are kept.
     """
-    nodes, pairs = near_pairs(docs, id_col, text_col, shingle, tables, share)
-    gone = components(pairs).where("root != node").select(F.col("node").alias("rep"))
-    kept = materialize(nodes.select("rep").join(gone, "rep", "left_anti").withColumnRenamed("rep", "_kept"), "kept")
+    small_batches(docs.sparkSession)
     named = F.col(id_col).isNotNull()
-    rest = docs.where(named).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    ids = docs.where(named).select(id_col)
-    if not ids.groupBy(id_col).count().where("count > 1").isEmpty():
-        rest = rest.dropDuplicates([id_col])
-    return rest.unionByName(docs.where(~named))
+    rest = docs.where(named)
+    if not rest.groupBy(id_col).count().where("count > 1").isEmpty():
+        rest = materialize(rest.dropDuplicates([id_col]), "single-ids")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = rest.select(F.col(id_col).cast("bigint").alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
+    nodes = materialize(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep"), "nodes")
+    texts = own.join(nodes, "rep", "left_semi")
+    gone = components(similar_pairs(texts, shingle, components)).where("root != node").select(F.col("node").alias("rep"))
+    kept = materialize(nodes.join(gone, "rep", "left_anti").withColumnRenamed("rep", "_kept"), "kept")
+    return rest.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(~named))

@@ -125,6 +125,38 @@ def test_simhash(spark, docs):
     assert got(simhash.simhash_classes(docs), "doc_id", "fingerprint", "component_id") == want(brute.simhash(DOCS))
 
 
+def test_keep_one_is_exact(spark):
+    """Against all pairs: variants of one text near a similarity of 0.8, whose smallest id is unlike most others."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(6):
+        base = [f"t{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randrange(1, 12)):
+                words[at] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    shingles = []
+    for _, text in rows:
+        w = text.split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(shingles[i] & shingles[j])
+            if 5 * shared >= 4 * (len(shingles[i]) + len(shingles[j]) - shared):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id") == want([(i,) for i in range(len(rows)) if find(i) == i])
+
+
 def test_simhash_links_crowded_keys(spark):
     import numpy as np
 
