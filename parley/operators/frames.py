@@ -142,14 +142,27 @@ def future_occupancy(frames: DataFrame, spans: DataFrame, keys: Sequence[str], h
     return long.join(part, [*keyed, "h"], "left").withColumn("_v", share).groupBy(*keyed).agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "_v"))), lambda x: x["_v"]).alias("occupancy"))
 
 
-def floor_state(frames: DataFrame, segments: DataFrame, connections: DataFrame, activity: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
-    """Frames with ``floor``: the segment's confidence, else the connection's, -1 (masked) in other activity, else 0."""
-    value = lambda df, c, name: df.select(*keys, "start", "end", F.col(c).alias(name))
+def floor_state(frames: DataFrame, segments: DataFrame, connections: DataFrame, activity: DataFrame, keys: Sequence[str], width: float, edge: float = 0.08) -> DataFrame:
+    """Frames with ``floor``: the segment's confidence, else the connection's, -1 (masked) in other activity, else 0.
+
+    A connection's is merge * (1 - pause / 2) * the lesser confidence of the segments that end and start
+    within ``edge`` of its bounds; -1 where either is missing. The first span counts where several hold.
+    """
+    value = lambda df, c, name: df.select(*keys, "start", "end", c.alias(name))
+    point = lambda df: df.withColumn("start", F.col("time")).withColumn("end", F.col("time"))
 
     def at(points: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-        hit = intervals.overlap_join(points.withColumn("start", F.col("time")).withColumn("end", F.col("time")), spans, keys, width, closed=True).where("a.time < b.end")
-        best = hit.groupBy(*keys, F.col("a.time").alias("time")).agg(F.max(f"b.{name}").alias(name))
+        hit = intervals.overlap_join(point(points), spans, keys, width, closed=True).where("a.time < b.end")
+        best = hit.groupBy(*keys, F.col("a.time").alias("time")).agg(F.min(F.struct("b.start", "b.end", f"b.{name}"))[name].alias(name))
         return points.join(best, [*keys, "time"], "left")
 
-    out = at(at(at(frames, value(segments, "turn", "_s"), "_s"), value(connections, "merge", "_c"), "_c"), activity.select(*keys, "start", "end", F.lit(1).alias("_a")), "_a")
+    def beside(bound: str, of: str) -> DataFrame:
+        near = segments.select(*keys, (F.col(of) - edge).alias("start"), (F.col(of) + edge).alias("end"), F.struct("start", "end", "turn").alias("_o"))
+        hit = intervals.overlap_join(point(connections.select(*keys, F.col(bound).alias("time")).distinct()), near, keys, width, closed=True)
+        return hit.groupBy(*keys, F.col("a.time").alias(bound)).agg(F.min("b._o")["turn"].alias(f"_{bound}"))
+
+    joined = connections.join(beside("start", "end"), [*keys, "start"], "left").join(beside("end", "start"), [*keys, "end"], "left")
+    product = F.col("merge") * (1 - 0.5 * F.col("pause")) * F.least("_start", "_end")
+    matched = F.when(F.col("_start").isNull() | F.col("_end").isNull(), -1.0).otherwise(product)
+    out = at(at(at(frames, value(segments, F.col("turn"), "_s"), "_s"), value(joined, matched, "_c"), "_c"), value(activity, F.lit(1), "_a"), "_a")
     return out.withColumn("floor", F.coalesce(F.col("_s"), F.col("_c"), F.when(F.col("_a").isNotNull(), -1.0), F.lit(0.0))).drop("_s", "_c", "_a")

@@ -206,4 +206,10 @@ def frame_floor_state(spark, d):
     f = table(spark, d, "events").where("event_type = 'click'").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
     x = spans(spark, d)
     turns = x.where("side = 1").withColumn("turn", F.lit(0.9))
-    return fr.floor_state(f, turns, turns.limit(0).withColumn("merge", F.lit(0.0)), x.where("side = 2"), ["k"], BUCKET).select("event_id", F.col("floor"))
+    return fr.floor_state(f, turns, turns.limit(0).withColumn("merge", F.lit(0.0)).withColumn("pause", F.lit(0.0)), x.where("side = 2"), ["k"], BUCKET).select("event_id", F.col("floor"))
+
+
+@query()
+def frame_floor_state_connections(spark, d):
+    f = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
+    return fr.floor_state(f, _segments(spark, d), _connections(spark, d), spans(spark, d).where("side = 2"), ["k"], BUCKET, int(0.08 * UNIT)).select("event_id", "floor")

@@ -234,3 +234,40 @@ def test_timeline_repair(spark):
     plan = copy_plan(100, 1, r)
     assert plan == [(0, 1, None), (1, 45, 0), (45, 55, None), (55, 100, 52)]
     assert copy_plan(10, 1, Repair(-2.0)) == [(0, 8, 2), (8, 10, None)]
+
+
+def test_floor_state(spark):
+    rng = random.Random(4)
+    segs, cons, acts, points = [], [], [], []
+    for k in range(8):
+        t = 0.0
+        own = []
+        for _ in range(12):
+            t += rng.choice([-0.5, 0.4, 0.9, 1.6])
+            own.append((k, t, t + rng.choice([0.5, 1.5]), rng.random()))
+            t = own[-1][2]
+        segs += own
+        for a, b in zip(own, own[1:]):
+            if b[1] > a[2]:
+                cons.append((k, a[2] + rng.choice([0.0, 0.05, 0.2]), b[1] + rng.choice([0.0, -0.05]), rng.random(), rng.random()))
+        acts += [(k, x, x + 0.3) for x in (rng.uniform(0, t) for _ in range(6))]
+        points += [(k, rng.uniform(-1, t + 1)) for _ in range(150)]
+
+    def plain(k, t):
+        mine = sorted(s[1:] for s in segs if s[0] == k)
+        for a, b, turn in mine:
+            if a <= t < b:
+                return turn
+        for c in sorted(c for c in cons if c[0] == k):
+            if c[1] <= t < c[2]:
+                early = [s[2] for s in mine if abs(s[1] - c[1]) <= 0.08]
+                late = [s[2] for s in mine if abs(s[0] - c[2]) <= 0.08]
+                return c[3] * (1 - 0.5 * c[4]) * min(early[0], late[0]) if early and late else -1.0
+        return -1.0 if any(a[0] == k and a[1] <= t < a[2] for a in acts) else 0.0
+
+    df = lambda x, names: spark.createDataFrame(x, names)
+    out = frames.floor_state(df(points, "k int, time double"), df(segs, "k int, start double, end double, turn double"), df(cons, "k int, start double, end double, merge double, pause double"), df(acts, "k int, start double, end double"), ["k"], 10.0)
+    got = {(r.k, r.time): r.floor for r in out.collect()}
+    expected = {p: plain(*p) for p in points}
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-12 for p in points)
+    assert len({v for v in expected.values() if v not in (-1.0, 0.0)}) > 50
