@@ -271,3 +271,17 @@ def test_floor_state(spark):
     expected = {p: plain(*p) for p in points}
     assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-12 for p in points)
     assert len({v for v in expected.values() if v not in (-1.0, 0.0)}) > 50
+
+
+def test_lag_loss_argmin_takes_every_pair(spark, tmp_path):
+    from parley.plans import QUERIES
+
+    rng = random.Random(6)
+    x = {i: [rng.uniform(-1, 1) for _ in range(64)] for i in range(9)}
+    spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = []
+    for i in range(8):
+        loss = {lag: sum((x[i][t] > 0) == (x[i + 1][t - lag] > 0) for t in range(6, 58)) for lag in range(-5, 6)}
+        lag = min(loss, key=lambda g: (loss[g], g))
+        expected.append((i, lag, loss[lag]))
+    assert rows(QUERIES["lag_loss_argmin_whole"](spark, str(tmp_path)), "vec_id", "lag", "loss") == sorted(expected, key=repr)
