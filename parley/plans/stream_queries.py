@@ -36,6 +36,13 @@ def revision_stable_prefix(spark, d):
     return p.select("conv_id", "turn", tx.stable_prefix(F.col("p"), F.col("text")).alias("stable"))
 
 
+@query()
+def revision_stable_prefix_whole(spark, d):
+    """Of every turn's whole text against a revision with another last word; revision_stable_prefix is held to its SQL's first characters."""
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", tx.stable_prefix(F.regexp_replace("text", r"\S+\s*$", "and on"), F.col("text")).alias("stable"))
+
+
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))

@@ -285,3 +285,21 @@ def test_lag_loss_argmin_takes_every_pair(spark, tmp_path):
         lag = min(loss, key=lambda g: (loss[g], g))
         expected.append((i, lag, loss[lag]))
     assert rows(QUERIES["lag_loss_argmin_whole"](spark, str(tmp_path)), "vec_id", "lag", "loss") == sorted(expected, key=repr)
+
+
+def test_revision_stable_prefix_reads_whole_texts(spark, tmp_path):
+    import os.path
+    import re
+
+    from parley.plans import QUERIES
+
+    rng = random.Random(7)
+    said = [(c, t, " ".join(rng.choice(["one", "and", "on", "three,", "four."]) for _ in range(rng.randrange(1, 60)))) for c in range(3) for t in range(8)]
+    spark.createDataFrame(said, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    expected = []
+    for c, t, text in said:
+        was = re.sub(r"\S+\s*$", "and on", text)
+        cut = re.match(r"(?s)^.*[\s.,!?;:]", os.path.commonprefix([was, text]))
+        expected.append((c, t, text if was == text else cut.group() if cut else ""))
+    assert max(len(e[2]) for e in expected) > 60
+    assert rows(QUERIES["revision_stable_prefix_whole"](spark, str(tmp_path)), "conv_id", "turn", "stable") == sorted(expected, key=repr)
