@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.shipping import ship
 
@@ -21,9 +23,12 @@ HOT_SHARE = 1000
 
 
 def work_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary folder where that is unset."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary folder stands in for it in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -49,6 +54,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, out: str) -> Column:
+    """The columns of ``docs`` as struct ``_row``, but for one by the name of the result ``out``, which the result replaces."""
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("_row")
+
+
+def range_sums(rows: DataFrame, order: Sequence[str | Column], values: Sequence[str], n: int) -> DataFrame:
+    """``rows`` with ``before_<value>``: the sum of each of ``values`` over all rows earlier in ``order`` (a total order).
+
+    Rows are sorted by range, each range sums its own, and the sums of whole ranges (one row each,
+    ``n`` at most) are added up apart; so no task holds more than a range.
+    """
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    start = whole.select("_range", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_start_{v}") for v in values])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumns({f"_own_{v}": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values})
+    return placed.join(F.broadcast(start), "_range").select(*rows.columns, *[(F.col(f"_start_{v}") + F.col(f"_own_{v}")).alias(f"before_{v}") for v in values])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

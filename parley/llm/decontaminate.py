@@ -5,21 +5,21 @@ whose smallest hash is kept on either side; so a shared run of 10 words always s
 kept fingerprint. Documents are probed against the benchmark's fingerprints, and each hit is
 extended over equal words on its diagonal to the whole shared run.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what a task holds is
-bounded; with one block (the usual case) documents are read once and nothing is shuffled.
+A benchmark of at most ``BLOCK_WORDS`` words (counted first) is sent to every task, so documents are
+read once and nothing is shuffled. A larger one is joined: fingerprints of both sides are rows,
+documents that share one are read again, and their windows around it are joined with the
+benchmark's. Words are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize, small_batches
+from parley.llm.common import join_unique, materialize, packed, partitions_for, small_batches
 
 GRAM, WINNOW = 5, 6
 WINDOW = GRAM + WINNOW - 1
@@ -54,7 +54,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Fingerprints:
     """A block of benchmark items: word hashes, winnowed grams, and whole short items by length."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         self.ids = [i for i, _ in items]
         hashes, first, n = [], [0], 0
         for _, _, data, off in tv.chunks(pa.array([t for _, t in items], pa.string())):
@@ -130,38 +130,107 @@ class Fingerprints:
         return found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``limit`` words (one longer item is a block of its own), fetched one at a time."""
-    block, n = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).dropna()
-    for item, text in rows.toLocalIterator():
-        size = len(text) // 2 + 1 if len(text) < 2 * limit else limit
-        if block and n + size > limit:
-            yield block
-            block, n = [], 0
-        block.append((item, text))
-        n += size
-    yield block
+def _tables(batches, pick):
+    """Of (key, text) batches: what ``pick(word hashes)`` has of each text, as rows with the key."""
+    for batch in batches:
+        keys = batch.column(0)
+        for lo, _, data, off in tv.chunks(batch.column(1)):
+            h, first = words(data, off)
+            for d in range(len(off) - 1):
+                cols = pick(h[first[d] : first[d + 1]])
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[lo + d].as_py()] * len(cols[0]), keys.type), *[pa.array(c) for c in cols]], ["key", *[f"c{i}" for i in range(len(cols))]])
+
+
+def _prints(h: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, hash) of a text's different fingerprints: winnowed grams (0 words), and all runs of each length in ``short``."""
+    g = tv.gram_hash(h, GRAM)
+    own = [(0, g[winnow(g)])] + [(n, tv.gram_hash(h, n)) for n in short]
+    every = [(n, np.unique(x)) for n, x in own]
+    return np.concatenate([np.full(len(x), n, np.int64) for n, x in every]), np.concatenate([x for _, x in every]).view(np.int64)
+
+
+def _windows(h: np.ndarray, hits: list[dict]) -> list[dict]:
+    """Windows of a text that hold one of the fingerprints ``hits``: words, start, hash."""
+    out = []
+    for n in {x["n"] for x in hits}:
+        wanted = np.unique(np.array([x["fp"] for x in hits if x["n"] == n], np.int64).view(np.uint64))
+        g = tv.gram_hash(h, n or GRAM)
+        at = tv.lookup(wanted, g)
+        if not n:  # each window of ten words around a gram
+            kept = winnow(g)
+            at = np.intersect1d(at, kept)
+            at = np.unique((at[:, None] - np.arange(WINNOW)[None, :]).ravel())
+            at = at[(at >= 0) & (at + WINDOW <= len(h))]
+            g = tv.gram_hash(h, WINDOW)
+        out += [{"n": n or WINDOW, "start": int(i), "g": int(g[i].view(np.int64))} for i in at]
+    return out
+
+
+def joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, spans: starts and ends in turn, items, nameless) of (key, text) that share a window with (item, text), by joins only."""
+    spark = docs.sparkSession
+
+    def item_windows(batches):
+        def pick(h):
+            n = min(len(h), WINDOW)
+            g = np.unique(tv.gram_hash(h, n)) if n else np.zeros(0, np.uint64)
+            return np.full(len(g), n, np.int64), g.view(np.int64)
+
+        yield from _tables(batches, pick)
+
+    windows = materialize(items.mapInArrow(item_windows, "key string, c0 bigint, c1 bigint").select(F.col("key").alias("item"), F.col("c0").alias("n"), F.col("c1").alias("g")).distinct(), "item-windows")
+    short = [r[0] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # fewer than ten numbers
+
+    def item_prints(batches):
+        yield from _tables(batches, lambda h: _prints(h, []) if len(h) >= WINDOW else (np.full(1, len(h), np.int64), tv.gram_hash(h, len(h)).view(np.int64)) if len(h) else (np.zeros(0, np.int64),) * 2)
+
+    def doc_prints(batches):
+        yield from _tables(batches, lambda h: _prints(h, short))
+
+    of = lambda rows, f: rows.mapInArrow(f, "key string, c0 bigint, c1 bigint").select("key", F.col("c0").alias("n"), F.col("c1").alias("fp"))
+    known = materialize(of(items, item_prints).select("n", "fp").distinct(), "item-prints")
+    hits = of(docs, doc_prints).join(known, ["n", "fp"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("n", "fp")).alias("hits"))
+    texts = docs.join(materialize(hits, "hits"), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
+
+    @F.arrow_udf("array<struct<n:bigint,start:bigint,g:bigint>>")
+    def around(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        out = []
+        for lo, _, data, off in tv.chunks(texts):
+            h, first = words(data, off)
+            out += [_windows(h[first[d] : first[d + 1]], hits[lo + d].as_py()) for d in range(len(off) - 1)]
+        return pa.array(out, pa.list_(pa.struct([("n", pa.int64()), ("start", pa.int64()), ("g", pa.int64())])))
+
+    own = texts.select("key", F.explode(around("text", "hits")).alias("w")).select("key", "w.*")
+    found = own.join(windows, ["n", "g"]).groupBy("key").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).alias("runs"), F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("nameless"))
+
+    @F.arrow_udf("array<bigint>")
+    def union(x: pa.Array) -> pa.Array:
+        return pa.array([merged([(r["start"], r["stop"]) for r in v]) for v in x.to_pylist()], pa.list_(pa.int64()))
+
+    return found.select("key", union("runs").alias("spans"), F.array_sort("items").alias("items"), "nameless")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of ``docs`` and, in struct ``_contamination``: n_words, n_hit, n_items, items (sorted ids), contaminated.
 
     Words are runs of ASCII letters and digits (A-Z lowered) and of non-ASCII characters. A null
-    or empty text has no words and no hits; a benchmark row without an id or a text is ignored;
-    rows of one item_id are one item in ``n_items``; repeated documents are judged alike, row by row;
-    an empty benchmark hits nothing. Other columns of ``docs`` are kept and not read.
+    or empty text has no words and no hits, nor has a benchmark row of such a text. Rows of one item_id
+    are one item in ``n_items``; those without an id count as one item that ``items`` does not name.
+    Repeated documents are judged alike, row by row; an empty benchmark hits nothing. Other columns
+    of ``docs`` are kept and not read; an input column ``_contamination`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
-
-    def judge_by(block):
-        held = spark.sparkContext.broadcast(Fingerprints(block))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    words_at_most = F.coalesce(F.sum(F.call_function("div", F.length("text"), F.lit(2)) + 1), F.lit(0))  # a word and its separator have two characters at least
+    rows = docs.select(packed(docs, "_contamination"), F.col(text_col).cast("string").alias("_t"))
+    if items.agg(words_at_most).first()[0] <= block_words:
+        held = spark.sparkContext.broadcast(Fingerprints([(r.item, r.text) for r in items.toLocalIterator()]))
 
-        @F.arrow_udf(kind)
+        @F.arrow_udf("struct<n_words:bigint,spans:array<bigint>,items:array<string>,nameless:boolean>")
         def judge(texts: pa.Array) -> pa.Array:
-            fp, n_words, runs, items = held.value, [], [], []
+            fp, n_words, runs, names, nameless = held.value, [], [], [], []
             for _, _, data, off in tv.chunks(texts):
                 h, first = words(data, off)
                 n_words.extend(np.diff(first).tolist())
@@ -169,43 +238,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 for d, a, b, item in fp.hits(h, first):
                     own[d].append((a - int(first[d]), b - int(first[d]), item))
                 for x in own:
+                    ids = {fp.ids[i] for _, _, i in x}
                     runs.append(merged([(a, b) for a, b, _ in x]))
-                    items.append(sorted({fp.ids[i] for _, _, i in x}))
-            return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
-
-        return judge
-
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    head = next(blocks)
-    base = docs.select(F.struct("*").alias("_row"), judge_by(head)(F.col(text_col).cast("string")).alias("_j"))
-    more = []
-    for block in blocks:  # each pass is written out, so only one block is ever held
-        more.append(materialize(docs.select(F.xxhash64(text_col).alias("_a"), F.md5(text_col).alias("_b"), judge_by(block)(F.col(text_col).cast("string")).alias("_j")).where(F.size("_j.items") > 0).dropDuplicates(["_a", "_b"]), "decontaminate"))
-    if more:
-        union = more[0]
-        for x in more[1:]:
-            union = union.unionByName(x)
-        rest = union.groupBy("_a", "_b").agg(F.flatten(F.collect_list("_j.spans")).alias("_s"), F.flatten(F.collect_list("_j.items")).alias("_i"))
-        keyed = base.withColumns({"_a": F.xxhash64(f"_row.{text_col}"), "_b": F.md5(f"_row.{text_col}")})
-        base = keyed.join(rest, ["_a", "_b"], "left").select(
-            "_row",
-            F.struct(
-                F.col("_j.n_words").alias("n_words"),
-                _merge(F.concat("_j.spans", F.coalesce("_s", F.array().cast("array<bigint>")))).alias("spans"),
-                F.array_sort(F.array_distinct(F.concat("_j.items", F.coalesce("_i", F.array().cast("array<string>"))))).alias("items"),
-            ).alias("_j"),
-        )
+                    nameless.append(None in ids)
+                    names.append(sorted(ids - {None}))
+            return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(nameless, pa.bool_())], ["n_words", "spans", "items", "nameless"])
+
+        base = rows.select("_row", judge("_t").alias("_j"))
+    else:
+
+        @F.arrow_udf("bigint")
+        def count(texts: pa.Array) -> pa.Array:
+            return pa.array([n for _, _, data, off in tv.chunks(texts) for n in np.diff(words(data, off)[1]).tolist()], pa.int64())
+
+        keyed = rows.withColumn("key", F.concat(F.md5("_t"), F.hex(F.xxhash64("_t"))))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+        found = materialize(joined_hits(keyed.where("key is not null").select("key", F.col("_t").alias("text")), items.repartition(partitions_for(spark, 0))).join(sizes, "key"), "contaminated")
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        base = join_unique(keyed, found, "key", "n").select("_row", F.struct(count("_t").alias("n_words"), F.coalesce("spans", none("bigint")).alias("spans"), F.coalesce("items", none("string")).alias("items"), F.coalesce("nameless", F.lit(False)).alias("nameless")).alias("_j"))
     n_hit = F.aggregate("_j.spans", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).cast("bigint").alias("sign")), lambda acc, x: F.struct((acc.sum + acc.sign * x).alias("sum"), (-acc.sign).alias("sign")), lambda acc: acc.sum)
-    return base.select(
-        "_row.*",
-        F.struct(
-            F.col("_j.n_words").alias("n_words"),
-            n_hit.alias("n_hit"),
-            F.size("_j.items").cast("bigint").alias("n_items"),
-            F.col("_j.items").alias("items"),
-            (F.size("_j.items") > 0).alias("contaminated"),
-        ).alias("_contamination"),
-    )
+    n_items = F.size("_j.items").cast("bigint") + F.col("_j.nameless").cast("bigint")
+    return base.select("_row.*", F.struct(F.col("_j.n_words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"), F.col("_j.items").alias("items"), (n_items > 0).alias("contaminated")).alias("_contamination"))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[int]:
@@ -217,11 +270,3 @@ def merged(runs: list[tuple[int, int]]) -> list[int]:
         else:
             out += [a, b]
     return out
-
-
-def _merge(flat):
-    @F.arrow_udf("array<bigint>")
-    def union(x: pa.Array) -> pa.Array:
-        return pa.array([merged(list(zip(v[::2], v[1::2], strict=True))) for v in x.to_pylist()], pa.list_(pa.int64()))
-
-    return union(flat)

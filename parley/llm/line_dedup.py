@@ -1,14 +1,17 @@
 """Corpus-wide line dedup over levelled sorted runs of line hashes.
 
-Each batch of documents adds one run: its distinct line keys, hashed to 128 bits, sorted, with
-the number of its documents that hold them. Runs of one level are merged into a run of the
-next when ``fanout`` of them have gathered, so a key stands in few runs however many batches
-came. A batch is cleaned by joining its lines against the runs: keys that enough documents
-hold lose their lines.
+Each batch of documents has one table of its distinct line keys, hashed to 128 bits, with the
+number of its documents that hold them. It is merge-joined against the runs so far: keys that
+enough documents are already known to hold are left out (anti-join), all others go out as the
+batch's own run, of level 0. ``fanout`` runs of one level are merged into a run of the next, so a
+batch meets few runs however many came before. All tables are bucketed and sorted by key in
+the same way, so neither the joins nor the merges shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,56 +19,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import HOT_SHARE, materialize, small_batches, work_path
+from parley.llm.common import HOT_SHARE, join_unique, materialize, packed, partitions_for, shuffle_partitions, small_batches, work_path
 
-FANOUT = 4
+FANOUT = 2
 BATCHES = 4
 #: Frequent keys (16 bytes each) that are sent to every task; with more, lines are joined to them by shuffle.
 BROADCAST_KEYS = 500_000
 
 
-class LineRuns:
-    """Sorted runs (h binary, n: documents) by level, kept as Parquet in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """``rows`` written in buckets of ``h``, sorted in each, and read back."""
+    table = f"parley_{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "h").sortBy("h").option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
+    return rows.sparkSession.table(table)
 
-    def add(self, counts: DataFrame) -> None:
-        """Add a batch's (h, n) as a run of level 0, and compact full levels."""
-        self.register(self._write(counts))
 
-    def register(self, path: str) -> None:
-        self.levels[0].append(path)
+class LineRuns:
+    """Sorted runs (h binary, n: documents) by level. A key that ``min_docs`` documents hold is settled: it enters no further run."""
+
+    def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None, fanout: int = FANOUT):
+        self.spark, self.min_docs, self.buckets, self.fanout = spark, min_docs, buckets or shuffle_partitions(spark), fanout
+        self.levels: list[list[DataFrame]] = [[]]
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def add(self, counts: DataFrame) -> DataFrame:
+        """Join a batch's (h, n), one row for each key, against the runs and add its own; returns (h, n, before), before: documents of earlier batches, ``min_docs`` or more if settled."""
+        known = counts.select("h", "n", F.lit(0).cast("bigint").alias("before"))
+        for run in self.runs():
+            found = run.select("h", F.col("n").alias("_n"))
+            known = known.join(found.hint("merge"), "h", "left").select("h", "n", (F.col("before") + F.coalesce("_n", F.lit(0))).alias("before"))
+        batch = bucketed(known, self.buckets, "line_batch")
+        self.levels[0].append(batch.where(F.col("before") < self.min_docs).select("h", "n"))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self.compact(level)
+        return batch
 
     def compact(self, level: int) -> None:
-        merged = self._write(self._sum([self._read(p) for p in self.levels[level]]))
+        merged, *rest = self.levels[level]
+        for run in rest:
+            merged = self._merge(merged, run)
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
         self.levels[level + 1].append(merged)
 
-    def counts(self) -> DataFrame | None:
-        """(h, n) over all runs."""
-        runs = [self._read(p) for level in self.levels for p in level]
-        return self._sum(runs) if len(runs) > 1 else runs[0] if runs else None
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h binary, n bigint").parquet(path)
-
-    def _write(self, counts: DataFrame) -> str:
-        path = work_path(self.spark, "line-run")
-        counts.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
-        return path
+    def settled(self) -> DataFrame | None:
+        """(h, n) of the keys that ``min_docs`` documents or more hold, over all runs."""
+        runs = self.runs()
+        if not runs:
+            return None
+        merged = runs[0]
+        for run in runs[1:]:
+            merged = self._merge(merged, run)
+        return merged.where(F.col("n") >= self.min_docs)
 
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for r in runs[1:]:
-            every = every.unionByName(r)
-        return every.groupBy("h").agg(F.sum("n").alias("n"))
+    def _merge(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        both = one.join(other.select("h", F.col("n").alias("_n")).hint("merge"), "h", "full_outer")
+        return bucketed(both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")), self.buckets, "line_run")
 
 
 def keys(raw: bytes, min_chars: int) -> list[bytes | None]:
@@ -80,7 +93,7 @@ def keys(raw: bytes, min_chars: int) -> list[bytes | None]:
 
 
 def line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) -> DataFrame:
-    """(batch, h, n): documents of each batch that hold each key; summed within a chunk before the shuffle."""
+    """(batch, h, n): documents of each batch that hold each key; several rows for a key, each the sum of a chunk."""
 
     def count(parts):
         for part in parts:
@@ -95,20 +108,13 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([h for _, h in n], pa.binary()), pa.array(list(n.values()), pa.int64())], ["batch", "h", "n"])
 
     rows = docs.select(F.pmod(F.xxhash64(text_col), F.lit(batches)).cast("int").alias("batch"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(count, "batch int, h binary, n bigint").groupBy("batch", "h").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "batch int, h binary, n bigint")
 
 
-def add_batches(docs: DataFrame, runs: LineRuns, text_col: str, min_chars: int, batches: int) -> None:
-    """Write the runs of all batches in one pass over ``docs``, and register each."""
-    path = work_path(docs.sparkSession, "line-runs")
-    line_counts(docs, text_col, min_chars, batches).repartitionByRange("batch", "h").sortWithinPartitions("batch", "h").write.partitionBy("batch").parquet(path)
-    present = docs.sparkSession.read.parquet(path).select("batch").distinct().collect() if _any(docs.sparkSession, path) else []
-    for (b,) in sorted(tuple(r) for r in present):
-        runs.register(f"{path}/batch={b}")
-
-
-def _any(spark: SparkSession, path: str) -> bool:
-    return not spark.read.schema("h binary, n bigint, batch int").parquet(path).isEmpty()
+def batch_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int, buckets: int) -> DataFrame:
+    """(batch, h, n) of all batches from one pass over ``docs``, in buckets of ``h``."""
+    rows = line_counts(docs, text_col, min_chars, batches).repartition(buckets, "h")
+    return bucketed(rows.groupBy("batch", "h").agg(F.sum("n").alias("n")), buckets, "line_counts")
 
 
 def _clean(texts: pa.Array, dropped) -> pa.Array:
@@ -129,9 +135,10 @@ CLEAN = "struct<n_lines:bigint,n_dropped:bigint,kept:string>"
 
 
 def drop_frequent(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """``docs`` packed as ``_row``, and ``_c`` (CLEAN) without the lines whose keys are in ``frequent`` (h, n)."""
+    """``docs`` packed as ``_row``, its text ``_t``, and ``_c`` (CLEAN) without the lines whose keys are in ``frequent`` (h, n: documents)."""
     spark = docs.sparkSession
     size = frequent.count()
+    rows = docs.select(packed(docs, "_lines"), F.col(text_col).cast("string").alias("_t"))
     if size <= broadcast_keys:
         held = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in frequent.select("h").toLocalIterator()))
 
@@ -140,7 +147,7 @@ def drop_frequent(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars
             every = held.value
             return _clean(texts, lambda _, raw: {i for i, h in enumerate(keys(raw, min_chars)) if h in every} if every else ())
 
-        return docs.select(F.struct("*").alias("_row"), clean(F.col(text_col).cast("string")).alias("_c"))
+        return rows.select("_row", "_t", clean("_t").alias("_c"))
 
     @F.arrow_udf("array<binary>")
     def hashes(texts: pa.Array) -> pa.Array:
@@ -152,41 +159,48 @@ def drop_frequent(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars
         return _clean(texts, lambda d, raw: {i for i, h in enumerate(keys(raw, min_chars)) if h in marks[d]} if marks[d] else ())
 
     # A text stands for itself in the joins, as equal texts lose equal lines.
-    own = {"_a": F.xxhash64(text_col), "_b": F.md5(text_col)}
-    lines = docs.select(F.col(text_col).cast("string").alias("_t"), *[c.alias(k) for k, c in own.items()]).dropDuplicates(["_a", "_b"]).select("_a", "_b", F.explode(hashes("_t")).alias("h"))
+    rows = rows.withColumn("_k", F.concat(F.md5("_t"), F.hex(F.xxhash64("_t"))))
+    texts = rows.where("_k is not null").groupBy("_k").agg(F.first("_t").alias("_t"), F.count("*").alias("_n"))
+    lines = texts.select("_k", "_n", F.explode(hashes("_t")).alias("h"))
     total = frequent.agg(F.sum("n")).first()[0]
     hot = frequent.where(F.col("n") > total // HOT_SHARE).select("h")
     cold = frequent.where(F.col("n") <= total // HOT_SHARE).select("h")
     found = lines.join(F.broadcast(hot), "h", "left_semi").unionByName(lines.join(F.broadcast(hot), "h", "left_anti").join(cold, "h", "left_semi"))
-    marks = found.groupBy("_a", "_b").agg(F.collect_list("h").alias("_found"))
-    return docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in own.items()]).join(marks, ["_a", "_b"], "left").select("_row", cut(F.col(f"_row.{text_col}").cast("string"), "_found").alias("_c"))
+    marks = materialize(found.groupBy("_k").agg(F.collect_list("h").alias("_found"), F.max("_n").alias("_n")), "marks")
+    return join_unique(rows, marks, "_k", "_n").select("_row", "_t", cut("_t", "_found").alias("_c"))
+
 
+def _result(cleaned: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("_c.kept"), F.col("_t"), F.lit(""))
+    return cleaned.select("_row.*", F.struct(F.col("_c.n_lines").alias("n_lines"), F.col("_c.n_dropped").alias("n_dropped"), text.alias("kept")).alias("_lines"))
 
-def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+
+def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS, runs: LineRuns | None = None) -> DataFrame:
     """All columns of ``docs`` and struct ``_lines``: n_lines, n_dropped, kept (the text without dropped lines).
 
     A line's key is the line without white space at its ends, A-Z lowered. Keys of ``min_chars``
-    code points or more that ``min_docs`` documents hold lose all their lines everywhere. A null
-    or empty text is one empty line, whose key is never dropped; repeated rows are documents of
-    their own, so they count; an empty table gives an empty result. Other columns are kept and
-    not read.
+    code points or more that ``min_docs`` documents hold lose all their lines everywhere, so lines are
+    dropped in a second pass, when all batches have been through the runs. A null or empty text is
+    one empty line, whose key is never dropped; repeated rows are documents of their own, so they
+    count; an empty table gives an empty result. Other columns are kept and not read; an input
+    column ``_lines`` is replaced.
     """
-    small_batches(docs.sparkSession)
-    runs = LineRuns(docs.sparkSession)
-    add_batches(docs, runs, text_col, min_chars, batches)
-    counts = runs.counts()
-    if counts is None:
-        counts = docs.sparkSession.createDataFrame([], "h binary, n bigint")
-    frequent = materialize(counts.where(F.col("n") >= min_docs), "frequent")
-    out = drop_frequent(docs, frequent, text_col, min_chars, broadcast_keys)
-    text = F.coalesce(F.col("_c.kept"), F.col(f"_row.{text_col}").cast("string"), F.lit(""))
-    return out.select("_row.*", F.struct(F.col("_c.n_lines").alias("n_lines"), F.col("_c.n_dropped").alias("n_dropped"), text.alias("kept")).alias("_lines"))
-
-
-def dedup_batch(batch: DataFrame, runs: LineRuns, text_col: str = "text", min_docs: int = 2, min_chars: int = 1) -> DataFrame:
+    spark = docs.sparkSession
+    small_batches(spark)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = partitions_for(spark, total)
+    runs = runs or LineRuns(spark, min_docs, buckets)
+    counts = batch_counts(docs, text_col, min_chars, batches, runs.buckets)
+    for b in range(batches):
+        runs.add(counts.where(F.col("batch") == b).select("h", "n"))
+    settled = runs.settled().select("h")
+    frequent = settled.hint("merge").join(counts.groupBy("h").agg(F.sum("n").alias("n")), "h")
+    return _result(drop_frequent(docs, materialize(frequent, "frequent"), text_col, min_chars, broadcast_keys))
+
+
+def dedup_batch(batch: DataFrame, runs: LineRuns, text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """Incremental form: add ``batch`` to ``runs``, and clean it by what all batches so far hold."""
-    runs.add(line_counts(batch, text_col, min_chars, 1).select("h", "n"))
-    frequent = materialize(runs.counts().where(F.col("n") >= min_docs), "frequent")
-    out = drop_frequent(batch, frequent, text_col, min_chars)
-    text = F.coalesce(F.col("_c.kept"), F.col(f"_row.{text_col}").cast("string"), F.lit(""))
-    return out.select("_row.*", F.struct(F.col("_c.n_lines").alias("n_lines"), F.col("_c.n_dropped").alias("n_dropped"), text.alias("kept")).alias("_lines"))
+    small_batches(batch.sparkSession)
+    counts = batch_counts(batch, text_col, min_chars, 1, runs.buckets)
+    known = runs.add(counts.select("h", "n")).select("h", (F.col("n") + F.col("before")).alias("n"))
+    return _result(drop_frequent(batch, materialize(known.where(F.col("n") >= runs.min_docs), "frequent"), text_col, min_chars))

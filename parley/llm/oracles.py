@@ -43,12 +43,17 @@ SELECT doc_id, count(*) AS n_lines, count(n.key) AS n_dropped, sha256(coalesce(s
 WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, url FROM pages), r AS (SELECT page_id, h, CASE WHEN octet_length(encode(h)) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS holder FROM p)
 SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN holder != page_id THEN holder END AS refers_to FROM r"""
 
-MIXING = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '/mix') AS turn FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
-o AS (SELECT *, 2 * source_size AS cap, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 2 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+MIXING = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), 'mix', coalesce(text, ''))) AS turn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
+v AS (SELECT *, [5.0, 2.0, 1.0][1 + place % 3]::DOUBLE AS w FROM s),
+o AS (SELECT *, 2 * source_size AS cap, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 2 * source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM v),
 f AS (SELECT arg_min((budget - stopped) / rest, cap / w) FILTER ((budget - stopped) / rest <= cap / w) AS time FROM o),
-g AS (SELECT source, source_size, CASE WHEN time IS NULL OR w * time > cap THEN cap::DOUBLE ELSE w * time END AS target FROM o, f),
-c AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)) AS BIGINT) AS taken FROM c"""
+g AS (SELECT source, place, w, source_size, CASE WHEN time IS NULL OR w * time > cap THEN cap::DOUBLE ELSE w * time END AS target FROM o, f),
+q AS (SELECT d.*, place, w, source_size, target, (sum(size) OVER (PARTITION BY place ORDER BY turn, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT place, w, source_size, least(start + size, start + i * 256) AS stop, least(256, size - (i - 1) * 256) AS n FROM (SELECT *, unnest(range(1, ceil(size / 256)::BIGINT + 1)) AS i FROM q)),
+x AS (SELECT place, n, e, stop, (stop + e * source_size) / w AS finish FROM p, (VALUES (0), (1)) AS t(e)),
+y AS (SELECT place, n, sum(n) OVER (ORDER BY finish, place, e, stop ROWS UNBOUNDED PRECEDING) - n AS before FROM x),
+z AS (SELECT place, sum(greatest(0, least(n, (SELECT floor(sum(size) * 1.5) FROM d) - before)))::BIGINT AS words FROM y GROUP BY place)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, coalesce(words, 0) - start)) + greatest(0, least(size, coalesce(words, 0) - start - source_size)) AS BIGINT) AS taken FROM q LEFT JOIN z USING (place)"""
 
 ORACLE_SQL = {"op1_secret_scan": _secrets(), "op2_decontaminate": DECONTAMINATE, "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC, "op9_mixing": MIXING}

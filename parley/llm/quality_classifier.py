@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import small_batches
+from parley.llm.common import packed, small_batches
 from parley.llm.quality_rules import SYMBOL, repeated_words
 
 #: Labelled rows that a fit takes at most.
@@ -164,7 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("double").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    # Of rows that repeat an id one is learnt from, so that max_rows bounds what the driver gets.
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), _meta(meta_cols).alias("_m")).join(F.broadcast(chosen), "_id")
+    one = F.min_by(F.struct("_t", "_m"), F.struct(F.xxhash64("_t"), "_m"))
+    own = own.groupBy("_id", "_y").agg(one.alias("_r")).select("_id", "_y", "_r.*")
     rows = own.select("_id", "_y", F.xxhash64("_t").alias("_h"), features("_t", "_m").alias("f")).select("_id", "_h", "_y", "f.*").toArrow().sort_by([("_id", "ascending"), ("_h", "ascending")])
     stats = np.array(rows["stats"].to_pylist(), float).reshape(len(rows), len(STATISTICS) + width)
     model = Machine(stats)
@@ -182,7 +185,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels, ids and whatever is not named in ``meta_cols`` never enter a score. A null text is an
     empty one and scored like it; null metadata count as 0; a null id is not held out; null labels
     and labels of null ids are ignored, of repeated labels the largest holds. Repeated rows score
-    alike. Without labels every score is 0.5. An empty table gives an empty result.
+    alike. Without labels every score is 0.5. An empty table gives an empty result. Other columns are
+    kept and not read; an input column ``_score`` is replaced.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, meta_cols, max_rows))
@@ -195,5 +199,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             out.append(model.value.score(*chunk_features(data, off, every[lo:hi])))
         return pa.array(np.concatenate(out), pa.float64())
 
-    scored = docs.select(F.struct("*").alias("_row"), score(F.col(text_col).cast("string"), _meta(meta_cols)).alias("_s"))
-    return scored.select("_row.*", F.struct(held_out(F.col(f"_row.{id_col}")).alias("held_out"), F.col("_s").alias("score"), F.when(F.col("_s") >= threshold, 1).otherwise(0).alias("predicted")).alias("_score"))
+    scored = docs.select(packed(docs, "_score"), F.col(id_col).alias("_id"), score(F.col(text_col).cast("string"), _meta(meta_cols)).alias("_s"))
+    return scored.select("_row.*", F.struct(held_out(F.col("_id")).alias("held_out"), F.col("_s").alias("score"), F.when(F.col("_s") >= threshold, 1).otherwise(0).alias("predicted")).alias("_score"))

@@ -3,8 +3,10 @@
 A fixed base rule rejects very short and very repetitive texts. Beyond it, four rates are
 held against fences that come from mergeable quantile sketches, one per (lang, source):
 counts of log-linear buckets with 32 steps per power of two (relative error at most
-1/32), which add up exactly, in any order. A group with fewer than ``MIN_ROWS`` documents
-takes its language's merged sketch, and a small language the whole corpus's.
+1/32), which add up exactly, in any order. A fence is a quantile of the group's own sketch, moved
+on by a multiple of its distance from the median. A group's quantiles are weighed against its
+language's by its number of rows, and those against the whole corpus's, so small groups lean on
+larger ones without a break at any size.
 """
 
 from __future__ import annotations
@@ -16,15 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize, small_batches
+from parley.llm.common import materialize, packed, small_batches
 
 SUB_BITS = 6
-#: Documents a sketch needs before its fences count.
-MIN_ROWS = 200
-#: Fences are quartile + REACH * interquartile range, but never tighter than the slack below.
-REACH = 4.0
-#: metric: (scale, slack). Rates are integers in parts of scale; slack is in the same unit.
-METRICS = {"word_len": (1000, 1500), "symbol_rate": (1000, 300), "dup_line_rate": (1000, 400), "repeat_rate": (1000, 300)}
+#: Rows that the coarser sketch counts for beside a group's own.
+PRIOR = 100
+#: metric: (scale, quantile, reach). Rates are integers in parts of scale. A fence is the quantile (on the lower side, that of 1 - quantile) and reach times its distance from the median.
+#: Junk that a quarter of a group may be sets the first two apart from the rest; of repetition only the extreme hundredth counts.
+METRICS = {"word_len": (1000, 0.75, 4.0), "symbol_rate": (1000, 0.75, 4.0), "dup_line_rate": (1000, 0.99, 1.0), "repeat_rate": (1000, 0.99, 1.0)}
 #: Groups whose fences are broadcast; with more, fences are joined by shuffle with salted groups.
 BROADCAST_GROUPS = 20_000
 SALTS = 64
@@ -116,25 +117,29 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, metric, rows, q1, q3) of each sketch."""
+def _of_metric(i: int) -> Column:
+    return F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[i]))])[F.col("metric")]
+
+
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, rows, q_low, q_mid, q_high) of each sketch: the metric's quantile on either side, and the median."""
     group = [*keys, "metric"]
     w = Window.partitionBy(*group).orderBy("bucket")
-    cum = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("rows", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda num: F.min(F.when(4 * F.col("upto") >= num * F.col("rows"), F.col("bucket")))
-    return cum.groupBy(*group).agg(F.first("rows").alias("rows"), bucket_low(at(1)).alias("q1"), bucket_low(at(3)).alias("q3"))
+    cum = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("rows", F.sum("n").over(Window.partitionBy(*group))).withColumn("p", _of_metric(1))
+    at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("rows"), F.col("bucket")))
+    return cum.groupBy(*group).agg(F.first("rows").alias("rows"), bucket_low(at(1 - F.col("p"))).alias("q_low"), bucket_low(at(F.lit(0.5))).alias("q_mid"), (bucket_low(at(F.col("p")) + 1) - 1).alias("q_high"))
 
 
 def fences(rows: DataFrame) -> DataFrame:
     """(lang, source, fence: map metric -> (low, high)) for each (lang, source) present."""
     sketch = materialize(sketches(rows), "sketch")
-    by_group, by_lang, by_all = quartiles(sketch, "lang", "source"), quartiles(merge(sketch, "lang"), "lang"), quartiles(merge(sketch))
+    by_group, by_lang, by_all = quantiles(sketch, "lang", "source"), quantiles(merge(sketch, "lang"), "lang"), quantiles(merge(sketch))
     pick = by_group.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.metric") == F.col("l.metric"))).join(F.broadcast(by_all.alias("a")), F.col("g.metric") == F.col("a.metric"))
-    use = lambda c: F.when(F.col("g.rows") >= MIN_ROWS, F.col(f"g.{c}")).when(F.col("l.rows") >= MIN_ROWS, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    slack = F.create_map(*[x for m, (_, s) in METRICS.items() for x in (F.lit(m), F.lit(float(s)))])[F.col("g.metric")]
-    q1, q3 = use("q1"), use("q3")
-    room = F.greatest(REACH * (q3 - q1), slack)
-    return pick.select("g.lang", "g.source", F.col("g.metric").alias("metric"), (q1 - room).alias("low"), (q3 + room).alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("fence"))
+    weigh = lambda own, n, other: (n * own + PRIOR * other) / (n + PRIOR)
+    q = lambda c: weigh(F.col(f"g.{c}"), F.col("g.rows"), weigh(F.col(f"l.{c}"), F.col("l.rows"), F.col(f"a.{c}"))).alias(c)
+    own = pick.select("g.lang", "g.source", F.col("g.metric").alias("metric"), q("q_low"), q("q_mid"), q("q_high")).withColumn("reach", _of_metric(2))
+    low, high = F.col("q_low") - F.col("reach") * (F.col("q_mid") - F.col("q_low")), F.col("q_high") + F.col("reach") * (F.col("q_high") - F.col("q_mid"))
+    return own.select("lang", "source", "metric", low.alias("low"), high.alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("fence"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -142,15 +147,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     A null or empty text has no words and one line, and fails the base rule. Null languages
     and sources are groups of their own. Rows are judged one by one, so repeated rows and ties
-    are all judged alike; an empty table gives an empty result. Other columns are kept, not read.
+    are all judged alike; an empty table gives an empty result. Other columns are kept, not read; an
+    input column ``_quality`` is replaced.
     """
     small_batches(docs.sparkSession)
     features = F.arrow_udf(text_features, FEATURES)
-    own = docs.select(F.struct("*").alias("_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col).cast("string")).alias("_f"))
+    own = docs.select(packed(docs, "_quality"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col).cast("string")).alias("_f"))
     scored = own.select("*", *[c.alias(m) for m, c in rates("_f").items()])
     fence = materialize(fences(scored.where(~base_failed("_f")).select("lang", "source", *METRICS)), "fences")
     small = fence.count() <= BROADCAST_GROUPS
-    salt = F.lit(0) if small else F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")
+    salt = F.lit(0) if small else F.pmod(F.xxhash64("_f", "lang", "source"), F.lit(SALTS)).cast("int")
     fence = fence.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(0 if small else SALTS - 1))))
     fence = (F.broadcast(fence) if small else fence).alias("t")
     joined = scored.withColumn("_salt", salt).alias("s").join(fence, F.col("s.lang").eqNullSafe(F.col("t.lang")) & F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s._salt") == F.col("t._salt")), "left")

@@ -64,13 +64,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
-#: Host rules of the URL query, and what marks hosts as known bad.
+#: Host and path rules of the URL query.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-BAD_HOST = "(^|[.-])(ads|adult|bets?|casino|pills|porn|spam|viagra|xxx)([.-]|$)"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, F.col("host").rlike(BAD_HOST))
+    out = url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.score")
 
 

@@ -2,9 +2,9 @@
 
 From each rule's regex a Boolean query over trigrams follows: any match holds all trigrams of one
 of the query's alternatives. The index holds a posting (trigram, document) for each trigram that
-some query names; the postings of a document are intersected as bits, and only documents that
-satisfy a rule's query are searched with its regex. A rule without mandatory trigrams searches
-every document.
+some query names, stored in order of trigram, then document. The posting lists of each alternative
+are intersected, and only documents in one of its rule's intersections are searched with the regex.
+A rule without mandatory trigrams searches every document.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize
+from parley.llm.common import materialize, packed, shuffle_partitions
 
 #: Strings that a part of a regex may be spelled out to.
 EXACT_LIMIT = 64
@@ -126,34 +126,33 @@ def vocabulary(rules: Sequence[Rule]) -> list[str]:
 
 
 def build_index(docs: DataFrame, key: str, text: Column, terms: Sequence[str]) -> DataFrame:
-    """Postings (term: number of the trigram, key) of the trigrams that queries name."""
+    """Posting lists: (term, key) of the trigrams that queries name, sorted by both over all files, so a list is read without the others."""
     low = docs.select(key, F.lower(text).alias("_low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(i)) for i, t in enumerate(terms)]))
-    return low.select(F.explode(found).alias("term"), key)
+    found = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in terms]))
+    postings = low.select(F.explode(found).alias("term"), F.col(key).alias("key"))
+    n = shuffle_partitions(docs.sparkSession)
+    return materialize(postings.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key"), "postings")
 
 
-def candidates(index: DataFrame, key: str, rules: Sequence[Rule], terms: Sequence[str]) -> DataFrame:
-    """(key, rules: bits of the rules whose query the document's postings satisfy)."""
-    at = {t: i for i, t in enumerate(terms)}
-    words = range(-(-len(terms) // 63))
-    bits = [F.bit_or(F.when(F.call_function("div", F.col("term"), F.lit(63)) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("term") % 63)).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in words]
+def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(key, rules: bits of the rules whose query the document satisfies): posting lists of each alternative, intersected.
 
-    def holds(alternative: frozenset[str]) -> Column:
-        ok = F.lit(True)
-        for w in words:
-            need = sum(1 << (at[t] % 63) for t in alternative if at[t] // 63 == w)
-            ok &= F.col(f"w{w}").bitwiseAND(F.lit(need)) == need
-        return ok
-
-    satisfied = F.lit(0)
+    Alternatives with an empty list fall away first. In an alternative's lists a document has one bit
+    for each trigram, however often it is posted, and is in the intersection if it has all bits.
+    """
+    sizes = {r["term"]: r["count"] for r in index.groupBy("term").count().collect()}  # one row for each trigram of the queries
+    lists = []
     for n, rule in enumerate(rules):
-        query = trigram_query(rule.regex)
-        if query != ANY:
-            either = F.lit(False)
-            for alternative in query:
-                either |= holds(alternative)
-            satisfied = satisfied + F.when(either, 1 << n).otherwise(0)
-    return index.groupBy(key).agg(*bits).select(key, satisfied.cast("int").alias("rules")).where("rules > 0")
+        for m, alternative in enumerate(trigram_query(rule.regex)):
+            # The rarest lists first; beyond 62 trigrams (bits of a number) the others are left to the regex.
+            wanted = sorted(alternative, key=lambda t: (sizes.get(t, 0), t))[:62]
+            if wanted and sizes.get(wanted[0], 0):
+                lists += [(t, n, m, 1 << i, (1 << len(wanted)) - 1) for i, t in enumerate(wanted)]
+    wanted = index.sparkSession.createDataFrame(lists, "term string, rule int, alternative int, bit bigint, every bigint")
+    postings = index.where(F.col("term").isin(sorted({x[0] for x in lists}))) if lists else index.limit(0)
+    both = postings.join(F.broadcast(wanted), "term").groupBy("rule", "alternative", "key").agg(F.bit_or("bit").alias("bits"), F.first("every").alias("every"))
+    hit = F.call_function("shiftleft", F.lit(1), F.col("rule"))
+    return both.where("bits = every").groupBy("key").agg(F.bit_or(hit).alias("rules"))
 
 
 def running_sum(steps: str) -> tuple[Column, Column]:
@@ -185,20 +184,21 @@ def joined(spans: Column, rules: Sequence[Rule]) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, base: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, base: int = 3, broadcast_rows: int = BROADCAST_ROWS, index: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` and struct ``_secrets``: counts (of the first ``base`` rules), base, spans.
 
     ``base`` and ``spans`` list kind:start:end of the base rules and of all rules, starts and ends in
     code points. Per rule, matches do not overlap, leftmost first, and those that are too short are
     dropped after that. A null or empty text has no spans. Rows with one id, or with none, share
     postings, which only adds candidates: each row is searched in its own text. An empty table
-    gives an empty result. Other columns are kept and not read.
+    gives an empty result. Other columns are kept and not read; an input column ``_secrets`` is
+    replaced. ``index`` is an earlier result of :func:`build_index` over the same documents.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    terms = vocabulary(rules)
-    keyed = docs.select(F.col(id_col).alias("_key"), text.alias("_text"))
-    own = materialize(candidates(build_index(keyed, "_key", F.col("_text"), terms), "_key", rules, terms), "candidates")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
+    if index is None:
+        index = build_index(docs.select(F.col(id_col).alias("_key"), text.alias("_text")), "_key", F.col("_text"), vocabulary(rules))
+    own = materialize(candidates(index, rules).withColumnRenamed("key", "_key"), "candidates")
+    rows = docs.select(packed(docs, "_secrets"), F.col(id_col).alias("_id"), text.alias("_text"))
     if own.count() <= broadcast_rows:
         own = F.broadcast(own)
     rows = rows.join(own, F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")

@@ -271,5 +271,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     nodes = materialize(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep"), "nodes")
     texts = own.join(nodes, "rep", "left_semi")
     gone = components(similar_pairs(texts, shingle, components)).where("root != node").select(F.col("node").alias("rep"))
-    kept = materialize(nodes.join(gone, "rep", "left_anti").withColumnRenamed("rep", "_kept"), "kept")
-    return rest.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(~named))
+    kept = materialize(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
+    return rest.alias("_all_rows").join(kept, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))

@@ -7,24 +7,28 @@ A byte goes if a ``WINDOW``-byte (50) string over it also starts in a document w
    whose anchor it is lie within its context, at most ``2 * WINDOW - GRAM`` bytes.
 2. Equal contexts under one anchor hash are collapsed: of a class only the smallest document
    stays, and every other member's context goes as a whole, as a smaller document has all of it.
-   This is done within each batch before the shuffle, so copies do not gather anywhere.
+   This is done within each batch before the shuffle, so copies do not gather anywhere. Anchors that
+   a sample shows to be frequent are dealt by their contexts as well.
 3. What is left under an anchor hash is one representative for each different context. Where
    there are two or more, their bytes are concatenated and their suffixes sorted in two stages:
    only suffixes smaller than their successors are sorted directly, the rest are induced by
    scanning the buckets in order; adjacent common prefixes of WINDOW bytes or more then join
    equal windows, and those of all but the smallest document go.
+4. An anchor with more than ``CROWD`` different contexts does not go to one task: its windows are
+   rows, dealt by all their bytes, and the smallest document of each is an aggregate.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize, partitions_for, small_batches
+from parley.llm.common import materialize, packed, partitions_for, small_batches
 
 WINDOW = 50
 GRAM = 16
@@ -33,8 +37,16 @@ HASH_BYTES = (6, 7)
 K_MASK, CTX_MASK = (np.uint64((1 << 8 * n) - 1) for n in HASH_BYTES)
 #: Bytes of text whose anchors are collapsed together before the shuffle.
 BATCH_BYTES = 12 << 20
+#: Parts of a partition that are collapsed one after the other.
+PARTS = 8
 #: Bytes of contexts that one suffix array covers, but for a larger group.
 ARRAY_BYTES = 1 << 20
+#: Different contexts of one anchor that one suffix array covers.
+CROWD = 8192
+#: Bytes of text that frequent anchors are looked for in, the share of its anchors that makes one frequent, and into how many parts those are dealt.
+SAMPLE_BYTES, FREQUENT, SALTS = 8 << 20, 2000, 256
+#: Crowded windows (24 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_WINDOWS = 200_000
 
 
 def sliding(op: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
@@ -243,8 +255,24 @@ def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(row), pa.array(a.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
 
 
-def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """(part, anchors, spans): packed anchors by hash, and Arrow bytes of spans already known to go."""
+def frequent_anchors(docs: DataFrame, n_bytes: int, window: int, gram: int) -> np.ndarray:
+    """Hashes of anchors that make up a large share of a sample; how they are dealt depends on it, the result does not."""
+
+    def count(batches):
+        for batch in batches:
+            for _, _, data, off in tv.chunks(batch.column("text")):
+                k, n = np.unique(anchors(data, off, window, gram)[2] & K_MASK, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    few = docs.select("text") if n_bytes <= SAMPLE_BYTES else docs.select("text").sample(SAMPLE_BYTES / n_bytes, seed=7)
+    every = materialize(few.mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "anchors")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    hot = every.where((F.col("n") > 16) & (F.col("n") * FREQUENT > total)).select("k").collect()  # fewer than FREQUENT
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
+
+
+def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int, hot: np.ndarray) -> DataFrame:
+    """(part, anchors, spans): packed anchors by hash, those of ``hot`` by context as well, and Arrow bytes of spans already known to go."""
 
     def emit(batches):
         held, size = [], 0
@@ -265,7 +293,8 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int) -> DataFram
         rows, _, _, least = Rows.of(held).classes()
         gone = rows[~least]
         rows = rows[least]
-        part = (rows.k % np.uint64(parts)).astype(np.int64)
+        at = rows.k + np.where(np.isin(rows.k, hot), rows.ctx % np.uint64(SALTS), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)
+        part = (at % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         packed = [(i, rows[order[cut[i] : cut[i + 1]]].pack(), None) for i in range(parts) if cut[i] < cut[i + 1]]
@@ -285,25 +314,31 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int) -> DataFram
 CLASSES = "k bigint, doc bigint, row bigint, a int, p int, b int, others array<int>"
 
 
-def classes(rows: DataFrame, n: int) -> DataFrame:
+def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """Spans to go (k null), and of each anchor hash with several classes one row for each, with the other places that hold it."""
 
     def reduce(batches):
-        parts = []
+        now, parts = None, []
         for batch in batches:
-            for packed, known in zip(batch.column("anchors"), batch.column("spans"), strict=True):
+            for part, packed_rows, known in zip(batch.column("part").to_pylist(), batch.column("anchors"), batch.column("spans"), strict=True):
+                if part != now:
+                    yield from collapsed(parts)
+                    now, parts = part, []
                 if known.is_valid:
                     yield from pa.ipc.open_stream(known.as_buffer())
                 else:
-                    parts.append(Rows.unpack(packed.as_buffer().to_pybytes()))
+                    parts.append(Rows.unpack(packed_rows.as_buffer().to_pybytes()))
+        yield from collapsed(parts)
+
+    def collapsed(parts):
         if not parts:
             return
         rows, new, cls, least = Rows.of(parts).classes()
-        del parts
+        parts.clear()
         gone = rows[~least]
         yield _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail)
         hk = rows.k[new]
-        several = np.zeros(len(hk), bool)
+        several = np.isin(hk, hot)  # their other classes may be elsewhere
         same = hk[1:] == hk[:-1]
         several[1:] |= same
         several[:-1] |= same
@@ -319,27 +354,35 @@ def classes(rows: DataFrame, n: int) -> DataFrame:
         ints = (pa.array(x.astype(np.int32)) for x in (lead.p - lead.head, lead.p, lead.p + lead.tail))
         yield pa.RecordBatch.from_arrays([pa.array(lead.k.view(np.int64)), pa.array(lead.doc), pa.array(lead.row), *ints, others], ["k", "doc", "row", "a", "p", "b", "others"])
 
-    return rows.repartition(n, "part").mapInArrow(reduce, CLASSES)
+    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(reduce, CLASSES)
 
 
 def sorted_out(contexts: DataFrame, n: int, window: int) -> DataFrame:
     """Spans (row, a, b) that suffix arrays find, from (k, doc, row, a, p, others, bytes)."""
 
     def search(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.concat_tables(tables).sort_by([("k", "ascending")]).combine_chunks()
-        k, size = table["k"].to_numpy(), np.array([len(x) for x in table["bytes"].to_pylist()])
-        upto, lo = np.cumsum(size), 0
-        while lo < len(k):
-            hi = int(np.searchsorted(upto, upto[lo] - size[lo] + ARRAY_BYTES, "right"))
-            hi = int(np.searchsorted(k, k[max(lo, hi - 1)], "right"))  # never within a group
-            part = table.slice(lo, hi - lo)
-            yield from found(part)
-            lo = hi
+        held, size = [], 0
+        for batch in batches:
+            k, upto = _column(batch, "k"), np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(k):
+                room = ARRAY_BYTES - size + (upto[lo - 1] if lo else 0)
+                hi = int(np.searchsorted(upto, room, "right"))
+                last = held[-1].column("k")[-1].as_py() if held else None
+                if hi <= lo and last is not None and k[lo] != last:
+                    yield from found(pa.Table.from_batches(held))
+                    held, size = [], 0
+                    continue
+                hi = max(lo + 1, hi)
+                hi = int(np.searchsorted(k, k[hi - 1], "right"))  # never within a group
+                held.append(batch.slice(lo, hi - lo))
+                size += int(upto[hi - 1] - (upto[lo - 1] if lo else 0))
+                lo = hi
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     def found(part):
+        part = part.combine_chunks()
         doc, row, a, p = (part[c].to_numpy() for c in ("doc", "row", "a", "p"))
         own, o = repeated(part["bytes"].to_pylist(), doc, window)
         if not len(own):
@@ -353,7 +396,21 @@ def sorted_out(contexts: DataFrame, n: int, window: int) -> DataFrame:
         d = np.concatenate([np.zeros(len(c), np.int64), np.array([x for _, x in shift], np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(row[c[i]]), pa.array((s[i] + d).astype(np.int32)), pa.array((e[i] + d).astype(np.int32))], ["row", "a", "b"])
 
-    return contexts.repartition(n, "k").mapInArrow(search, "row bigint, a int, b int")
+    return contexts.repartition(n, "k").sortWithinPartitions("k").mapInArrow(search, "row bigint, a int, b int")
+
+
+def dealt_out(contexts: DataFrame, window: int) -> DataFrame:
+    """Spans (row, a, b) of crowded anchors: every window a row, gone where a smaller document has the same bytes."""
+    starts = F.transform(F.sequence(F.lit(0), F.octet_length("bytes") - window), lambda i: F.struct(i.alias("at"), F.substring("bytes", i + 1, F.lit(window)).alias("w")))
+    windows = contexts.where(F.octet_length("bytes") >= window).select("doc", "row", "a", "p", "others", F.explode(starts).alias("x"))
+    windows = windows.select("doc", "row", F.xxhash64("x.w").alias("h"), F.xxhash64(F.lit(1), "x.w").alias("i"), (F.col("a") + F.col("x.at")).alias("s"), "p", "others")
+    low = materialize(windows.groupBy("h", "i").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("high > low").select("h", "i", "low"), "crowded-windows")
+    if low.count() <= BROADCAST_WINDOWS:
+        low = F.broadcast(low)
+    gone = windows.join(low, ["h", "i"]).where("doc > low")
+    places = F.concat(F.array(F.lit(0)), F.transform("others", lambda x: x - F.col("p")))
+    gone = gone.select("row", F.col("s"), F.explode(places).alias("shift"))
+    return gone.select("row", (F.col("s") + F.col("shift")).cast("int").alias("a"), (F.col("s") + F.col("shift") + window).cast("int").alias("b"))
 
 
 PIECES = "array<struct<k:bigint,doc:bigint,a:int,p:int,others:array<int>,bytes:binary>>"
@@ -391,13 +448,14 @@ def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """The columns of ``docs`` but for the text, and struct ``_cut``: n_bytes, n_removed, n_spans, kept (bytes).
 
     Texts count as UTF-8 bytes; a null one is empty, and one of fewer than ``window`` bytes is never
     cut. Ids are integers; a null id is larger than all others. Rows with one id (repeated rows
     included) are not smaller than each other, so only smaller ids cut them, each row on its own. An
-    empty table gives an empty result. Other columns are kept and not read.
+    empty table gives an empty result. Other columns are kept and not read; an input column ``_cut``
+    is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -411,15 +469,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not unique:
         own = own.dropDuplicates(["row"])
     n = partitions_for(spark, total)
-    found = materialize(classes(anchor_rows(own, window, gram, n), n), "classes")
-    wanted = found.where(F.col("k").isNotNull()).groupBy("row").agg(F.collect_list(F.struct("k", "doc", "a", "p", "b", "others")).alias("wanted"))
+    hot = frequent_anchors(own, total, window, gram)
+    found = materialize(classes(anchor_rows(own, window, gram, PARTS * n, hot), n, hot), "classes")
+    left = found.where(F.col("k").isNotNull())
+    crowded = materialize(left.groupBy("k").count().where(F.col("count") > crowd).select("k"), "crowded")
     texts = own.select("row", "text").repartition(n, "row")
-    pieces = texts.join(wanted, "row").select("row", F.explode(F.arrow_udf(cut_contexts, PIECES)("text", "wanted")).alias("x")).select("row", "x.*")
-    spans = found.where(F.col("k").isNull()).select("row", "a", "b").unionByName(sorted_out(pieces, n, window))
+
+    def pieces(contexts):
+        wanted = contexts.groupBy("row").agg(F.collect_list(F.struct("k", "doc", "a", "p", "b", "others")).alias("wanted"))
+        return texts.join(wanted, "row").select("row", F.explode(F.arrow_udf(cut_contexts, PIECES)("text", "wanted")).alias("x")).select("row", "x.*")
+
+    spans = found.where(F.col("k").isNull()).select("row", "a", "b")
+    if crowded.isEmpty():
+        spans = spans.unionByName(sorted_out(pieces(left), n, window))
+    else:  # of rows / crowd anchors at most, so they are broadcast
+        few = F.broadcast(crowded)
+        spans = spans.unionByName(sorted_out(pieces(left.join(few, "k", "left_anti")), n, window)).unionByName(dealt_out(pieces(left.join(few, "k", "left_semi")), window))
     gone = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     cut = texts.join(gone, "row", "left").select(F.col("row").alias("_key"), F.arrow_udf(cut_spans, CUT)("text", "gone").alias("_cut"))
-    light = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_row"), row.alias("_own"))
-    if unique and [c for c in docs.columns if c != text_col] == [id_col] and docs.schema[id_col].dataType.simpleString() == "bigint":
+    rest = docs.drop(text_col)
+    light = docs.select(packed(rest, "_cut"), row.alias("_own"))
+    if unique and rest.columns == [id_col] and docs.schema[id_col].dataType.simpleString() == "bigint":
         # The id is all there is besides the text, so it need not be joined back.
         return cut.select(F.when(F.col("_key") != F.lit((1 << 63) - 1), F.col("_key")).alias(id_col), "_cut")
     return light.join(cut, F.col("_own") == F.col("_key")).select("_row.*", "_cut")

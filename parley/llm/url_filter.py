@@ -3,8 +3,10 @@
 Two smoothed Markov models, of accepted and of rejected URLs, predict each character from up to
 two before it: a context's estimate is interpolated with that of the next shorter context in
 proportion to how many different characters followed it (Witten-Bell), so contexts are as long
-as the data bear. A URL's score is the sum of log ratios divided by its length; the threshold is the
-one that best separates the calibration share of the labelled URLs.
+as the data bear, down to none. The models learn from the URLs that the rules allow and block, and
+carry that over to URLs without a rule. A URL's score is the sum of log ratios divided by its
+length; the threshold is the highest that costs at most ``MAX_LOSS`` of the accepted URLs in the
+calibration share.
 
 Characters are dealt to 41 symbols, so both models together are one table of 41**3 log ratios,
 whatever the corpus: it enters the plan as one array, and scoring needs no join.
@@ -19,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.llm.common import packed
+
 #: Symbols 1 to 40; symbol 0 is any other character, and stands before the first.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-?"
 SYMBOLS = len(ALPHABET) + 1
 #: One labelled URL in this many calibrates the threshold and is not learnt from.
 CALIBRATION = 5
+#: Share of accepted URLs that the threshold may cost.
+MAX_LOSS = 0.01
 #: Steps of the score that thresholds are searched in.
 STEP = 0.01
 #: A context counts from this many characters on.
@@ -72,9 +78,9 @@ def grams(codes: str) -> Column:
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(accepted) - log P(rejected) for grams seen in ``labelled`` (grams, accepted)."""
+    """(gram, ratio): log P(accepted) - log P(rejected) of each of the SYMBOLS**3 grams, as learnt from ``labelled`` (grams, accepted)."""
     seen = labelled.select("accepted", F.explode("grams").alias("gram")).groupBy("accepted", "gram").agg(F.count("*").alias("n"))
-    every = seen.select("gram").distinct()
+    every = labelled.sparkSession.range(SYMBOLS**3).select(F.col("id").cast("int").alias("gram"))
     both = every.withColumn("accepted", F.explode(F.array(F.lit(True), F.lit(False)))).join(seen, ["accepted", "gram"], "left").fillna(0, ["n"])
     c, ab = F.col("gram") % SYMBOLS, F.call_function("div", F.col("gram"), F.lit(SYMBOLS))
     t = both.withColumns({"c": c, "ab": ab, "b": ab % SYMBOLS})
@@ -94,33 +100,33 @@ def score(grams_col: str, ratios: Column) -> Column:
 
 
 def best_threshold(scored: DataFrame) -> float | None:
-    """The score, in steps, under which the share of rejected less the share of accepted is largest; None without both."""
+    """The highest score, in steps, under which at most MAX_LOSS of the accepted lie, where any rejected do; None without both."""
     bins = scored.groupBy(F.floor(F.col("score") / STEP).alias("bin")).agg(F.sum((~F.col("accepted")).cast("long")).alias("bad"), F.sum(F.col("accepted").cast("long")).alias("good"))
     every, upto = Window.partitionBy(), Window.orderBy("bin")
-    share = F.sum("bad").over(upto) / F.nullif(F.sum("bad").over(every), F.lit(0)) - F.sum("good").over(upto) / F.nullif(F.sum("good").over(every), F.lit(0))
-    best = bins.select("bin", share.alias("gain")).where("gain > 0").orderBy(F.col("gain").desc(), "bin").first()
+    cost = F.sum("good").over(upto) / F.nullif(F.sum("good").over(every), F.lit(0))
+    best = bins.select("bin", cost.alias("cost"), F.sum("bad").over(upto).alias("found")).where((F.col("cost") <= MAX_LOSS) & (F.col("found") > 0)).orderBy(F.col("bin").desc()).first()
     return None if best is None else (best["bin"] + 1) * STEP
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], rejected: Column, url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], label: Column | None = None, url_col: str = "url") -> DataFrame:
     """All columns of ``pages`` and struct ``_url``: host, path, rule, verdict (allow, block), score.
 
-    ``rejected`` is a condition on column host that marks known bad URLs, which train the rejected
-    model; URLs that it does not mark and no rule blocks train the accepted one. The longest rule
-    that fits decides; else the model does, and blocks URLs that score under the threshold. A null
-    URL, or one without ``://``, has an empty host and path, meets no rule and trains no model;
-    scored on its characters, a null scores 0. Repeated rows are judged alike, each on its own. An
-    empty table gives an empty result; with nothing to learn rejected or accepted URLs from, the
-    models block nothing.
+    The longest rule that fits decides; else the model does, and blocks URLs that score under the
+    threshold. The models learn from the verdicts of the rules, or from ``label`` (allow, block or
+    null, an expression over columns host, path and by_rule) where one is given. A null URL, or one
+    without ``://``, has an empty host and path, meets no rule and trains no model; scored on its
+    characters, a null scores 0. Repeated rows are judged alike, each on its own. An empty table gives
+    an empty result; with nothing to learn rejected or accepted URLs from, the models block nothing.
+    Other columns are kept and not read; an input column ``_url`` is replaced.
     """
     url = F.col(url_col).cast("string")
-    own = pages.select(F.struct("*").alias("_row"), host_of(url).alias("host"), path_of(url).alias("path"), symbols(url).alias("codes"), F.pmod(F.xxhash64(url), F.lit(CALIBRATION)).alias("share"))
+    own = pages.select(packed(pages, "_url"), host_of(url).alias("host"), path_of(url).alias("path"), symbols(url).alias("codes"), F.pmod(F.xxhash64(url), F.lit(CALIBRATION)).alias("share"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = own.select("_row", "host", "path", "share", grams("codes").alias("grams"), rule.alias("rule"), verdict.alias("by_rule"))
-    bad = F.coalesce(rejected, F.lit(False))
-    labelled = own.where((F.col("host") != "") & (bad | F.coalesce(F.col("by_rule") != "block", F.lit(True)))).select("grams", "share", (~bad).alias("accepted"))
+    kind = F.col("by_rule") if label is None else label
+    labelled = own.where((F.col("host") != "") & kind.isin("allow", "block")).select("grams", "share", (kind == "allow").alias("accepted"))
     ratios = [0.0] * SYMBOLS**3
-    for r in log_ratios(labelled.where("share > 0")).collect():  # at most SYMBOLS**3 numbers
+    for r in log_ratios(labelled.where("share > 0")).collect():  # SYMBOLS**3 numbers, whatever the input
         ratios[r["gram"]] = r["ratio"]
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to a literal
     cut = best_threshold(labelled.where("share = 0").select("accepted", score("grams", table).alias("score")))

@@ -23,12 +23,12 @@ def contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
     for i, t in items:
-        if i is None or t is None:
+        if t is None:
             continue
         w = word.findall(lower(t))
         n = min(10, len(w))
         for k in range(len(w) - n + 1) if n else []:
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].add(i if i is None else str(i))
     sizes = {len(k) for k in windows}
     out = []
     for d, t in docs:
@@ -39,7 +39,7 @@ def contamination(docs, items):
                 if (g := tuple(w[k : k + n])) in windows:
                     own |= windows[g]
                     hit.update(range(k, k + n))
-        out.append((d, len(w), len(hit), len(own), sha(",".join(sorted(own))), bool(hit)))
+        out.append((d, len(w), len(hit), len(own), sha(",".join(sorted(own - {None}))), bool(hit)))
     return out
 
 
