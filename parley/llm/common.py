@@ -54,6 +54,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(rows: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
+    """``rows`` written to the shared folder in buckets of ``key``, sorted in each, and read back: joins on it do not shuffle them again."""
+    table = f"parley_{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def packed(docs: DataFrame, out: str) -> Column:
     """The columns of ``docs`` as struct ``_row``, but for one by the name of the result ``out``, which the result replaces."""
     names = [c for c in docs.columns if c.lower() != out.lower()]

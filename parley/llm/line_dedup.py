@@ -10,8 +10,6 @@ the same way, so neither the joins nor the merges shuffle.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import HOT_SHARE, join_unique, materialize, packed, partitions_for, shuffle_partitions, small_batches, work_path
+from parley.llm.common import HOT_SHARE, bucketed, join_unique, materialize, packed, partitions_for, shuffle_partitions, small_batches
 
 FANOUT = 2
 BATCHES = 4
@@ -27,13 +25,6 @@ BATCHES = 4
 BROADCAST_KEYS = 500_000
 
 
-def bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
-    """``rows`` written in buckets of ``h``, sorted in each, and read back."""
-    table = f"parley_{name}_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "h").sortBy("h").option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
-    return rows.sparkSession.table(table)
-
-
 class LineRuns:
     """Sorted runs (h binary, n: documents) by level. A key that ``min_docs`` documents hold is settled: it enters no further run."""
 
@@ -50,7 +41,7 @@ class LineRuns:
         for run in self.runs():
             found = run.select("h", F.col("n").alias("_n"))
             known = known.join(found.hint("merge"), "h", "left").select("h", "n", (F.col("before") + F.coalesce("_n", F.lit(0))).alias("before"))
-        batch = bucketed(known, self.buckets, "line_batch")
+        batch = bucketed(known, self.buckets, "h", "line_batch")
         self.levels[0].append(batch.where(F.col("before") < self.min_docs).select("h", "n"))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
@@ -78,7 +69,7 @@ class LineRuns:
 
     def _merge(self, one: DataFrame, other: DataFrame) -> DataFrame:
         both = one.join(other.select("h", F.col("n").alias("_n")).hint("merge"), "h", "full_outer")
-        return bucketed(both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")), self.buckets, "line_run")
+        return bucketed(both.select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")), self.buckets, "h", "line_run")
 
 
 def keys(raw: bytes, min_chars: int) -> list[bytes | None]:
@@ -114,7 +105,7 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) ->
 def batch_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int, buckets: int) -> DataFrame:
     """(batch, h, n) of all batches from one pass over ``docs``, in buckets of ``h``."""
     rows = line_counts(docs, text_col, min_chars, batches).repartition(buckets, "h")
-    return bucketed(rows.groupBy("batch", "h").agg(F.sum("n").alias("n")), buckets, "line_counts")
+    return bucketed(rows.groupBy("batch", "h").agg(F.sum("n").alias("n")), buckets, "h", "line_counts")
 
 
 def _clean(texts: pa.Array, dropped) -> pa.Array:
