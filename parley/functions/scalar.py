@@ -123,3 +123,10 @@ def round_index_percentile(values: Column, p: float) -> Column:
 
 def masked(value: Column, valid: Column) -> Column:
     return F.when(valid, value).otherwise(F.lit(-1.0))
+
+
+def nearest_rank(x: Column | str, p: float) -> Column:
+    """Aggregate: the value of rank ceil(p * n), 1 at least, among those that are not null; null without any."""
+    values = F.array_sort(F.collect_list(col(x)))
+    rank = F.greatest(F.ceil(F.lit(p) * F.size(values)), F.lit(1)).cast("int")
+    return F.get(values, rank - 1)

@@ -117,11 +117,6 @@ def review_plan(df: DataFrame, group: str, key: str, n: int, seed: str) -> DataF
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def causal_frame(time: Column, start: Column, frame: float, n: int) -> Column:
-    """The frame at or after a time, within the window."""
-    return F.least(F.greatest(F.ceil((time - start) / frame - 1e-9), F.lit(0)), F.lit(n - 1)).cast("int")
-
-
 def anchors_by_frame(anchors: DataFrame, keys: Sequence[str], frame: Column) -> DataFrame:
     """One anchor per frame; a frame with several is ambiguous and has none."""
     per = anchors.withColumn("frame", frame).groupBy(*keys, "frame").agg(F.count("*").alias("n"), F.first("probability").alias("_p"))

@@ -86,12 +86,13 @@ def event_candidates(spans: DataFrame, keys: list[str], width: float, rules: Eve
 def density(spans: DataFrame, events: DataFrame, durations: DataFrame, keys: list[str], width: float, unit: float = 1.0, slice_width: float | None = None) -> DataFrame:
     """Per recording: speech, silence and overlap ratios, turns and windows per hour, and their mean score.
 
-    ``durations`` has (keys, duration); recordings without spans have ratios of 0.
+    Every event but a plain overlap makes a usable window. ``durations`` has (keys, duration);
+    recordings without spans have ratios of 0.
     """
     one, two = spans.where("side = 1"), spans.where("side = 2")
     speech = intervals.measure(spans, keys, out="speech", slice_width=slice_width)
     shared = intervals.measure(intervals.intersect(one, two, keys, width), keys, out="overlap", slice_width=slice_width)
-    counts = events.groupBy(*keys).agg(F.count_if(F.col("kind") == "turn_completion").alias("n_turns"), F.count("*").alias("n_events"))
+    counts = events.groupBy(*keys).agg(F.count_if(F.col("kind") == "turn_completion").alias("n_turns"), F.count_if(F.col("kind") != "overlap").alias("n_events"))
     base = durations.join(speech, keys, "left").join(shared, keys, "left").join(counts, keys, "left").fillna(0, ["speech", "overlap", "n_turns", "n_events"])
     seconds = F.col("duration") / unit
     out = base.withColumns({"speech_ratio": clamp(safe_ratio("speech", "duration")), "overlap_ratio": clamp(safe_ratio("overlap", "duration")), "turns_per_hour": per_hour("n_turns", seconds), "windows_per_hour": per_hour("n_events", seconds)})
@@ -114,9 +115,29 @@ def timing(spans: DataFrame, events: DataFrame, keys: list[str], unit: float = 1
     return out.withColumn("balance", balance).withColumn("timing_score", (plausible + F.col("balance")) / 2)
 
 
-def quality_flags(speech: Column, overlap: Column, turns_per_hour: Column, tiny: Column, long: Column, leakage: Column) -> Column:
-    """Names of what is wrong; overlap has two grades."""
-    return flags((speech < 0.12, "low_speech"), (turns_per_hour < 20, "few_turns"), (overlap > 0.36, "excessive_overlap"), ((overlap > 0.18) & (overlap <= 0.36), "high_overlap"), (tiny > 0.5, "fragmented_speech"), (long > 0.15, "long_spans"), (leakage > -12, "track_leakage"))
+def quality_flags(scores: dict[str, Column]) -> Column:
+    """Names of what is wrong with a recording.
+
+    ``scores``: speech_ratio, overlap_ratio, windows_per_hour, timing_score, gap_ratio (of the tracks'
+    durations), envelope_correlation (may be null), annotated_events (0 without an annotation), and
+    booleans low_information_1, low_information_2, very_low_rms, leakage. Annotated events speak
+    for themselves, so with some of them neither little speech nor poor timing counts.
+    """
+    s = scores
+    plain, shared, speech = s["annotated_events"] <= 0, s["overlap_ratio"], s["speech_ratio"]
+    # The limits of the rules.
+    return flags(
+        (plain & ((speech < 0.08) | (s["windows_per_hour"] < 25.0)), "empty_or_no_interaction"),
+        (s["low_information_1"] & s["low_information_2"], "both_tracks_low_information"),
+        (s["very_low_rms"], "very_low_rms"),
+        (F.coalesce(s["envelope_correlation"] >= 0.75, F.lit(False)), "shared_energy_reverb_or_bleed"),
+        (s["leakage"], "inactive_track_leakage"),
+        (shared >= 0.45, "severe_overlap"),
+        ((shared >= 0.30) & (shared < 0.45), "high_overlap"),
+        ((shared >= 0.18) & (shared < 0.30) & (speech >= 0.70), "dense_overlap"),
+        ((s["gap_ratio"] > 0.01) & (speech < 0.35), "low_interaction_duration_mismatch"),
+        (plain & (s["timing_score"] < 0.35), "poor_timing_plausibility"),
+    )
 
 
 def total_score(density_score: Column, timing_score: Column, audio_score: Column, annotation_score: Column) -> Column:

@@ -17,8 +17,8 @@ from parley.functions.scalar import clamp, smoothstep
 from parley.operators import intervals
 
 # Replies that hold no floor.
-BACKCHANNEL_TOKENS = ("yeah", "yep", "yes", "mhm", "mm-hm", "mm", "uh-huh", "right", "okay", "ok", "sure", "wow", "oh", "hm", "hmm", "really", "true", "exactly")
-BACKCHANNEL_PHRASES = ("i see", "got it", "of course", "oh wow", "oh okay", "that's right", "all right")
+BACKCHANNEL_TOKENS = ("yeah", "yep", "yup", "yes", "ok", "okay", "right", "sure", "mhm", "mm", "hmm", "huh", "haha", "hah", "laugh", "laughs", "laughter", "chuckle", "chuckles")
+BACKCHANNEL_PHRASES = ("uh huh", "uh-huh", "mm hmm", "mm-hmm", "mm hm", "mm-hm", "mhm mhm", "yeah yeah", "yep yep", "ok ok", "okay okay", "ha ha", "haha haha")
 
 
 def sessions(words: DataFrame, keys: Sequence[str], gap: float, running_end: bool = True, out: str = "session") -> DataFrame:
@@ -75,10 +75,15 @@ def gated(candidates: DataFrame, scores: DataFrame, keys: Sequence[str], thresho
     return candidates.join(scores, [*keys, "evaluate_at"]).where(F.col("score") >= threshold)
 
 
+def normalized_tokens(text: Column) -> Column:
+    """Words in lower case, of letters, digits and hyphens only; what is left empty is no word."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9\\s-]", ""), "\\s+"), lambda t: t != "")
+
+
 def lexical_backchannel(text: Column) -> Column:
     """1 for an acknowledgement, 0.15 for any other one or two words, else 0."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[\\[\\]()]", ""), "[^a-z0-9' -]", ""))
-    tokens = F.filter(F.split(plain, " +"), lambda t: t != "")
+    tokens = normalized_tokens(text)
+    plain = F.array_join(tokens, " ")
     known = F.array(*[F.lit(t) for t in BACKCHANNEL_TOKENS])
     phrase = plain.isin(*BACKCHANNEL_PHRASES)
     return F.when(phrase | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.array_contains(known, t))), 1.0).when(F.size(tokens) <= 2, 0.15).otherwise(0.0)

@@ -1,6 +1,6 @@
 """Registered queries: each a function of (spark, sf_dir), with DuckDB SQL for the same rows where SQL can express it."""
 
-from parley.plans import catalog_queries, corpus_queries, interval_queries, stream_queries, turn_queries
+from parley.plans import catalog_queries, corpus_queries, interval_queries, stream_queries, supervision_queries, turn_queries
 from parley.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog_queries", "corpus_queries", "interval_queries", "stream_queries", "turn_queries"]
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "corpus_queries", "interval_queries", "stream_queries", "supervision_queries", "turn_queries"]

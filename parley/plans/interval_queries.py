@@ -153,7 +153,7 @@ def _between(x: str, a: float, b: float) -> str:
 
 DENSITY = f"""{EVENTS}, {union_sql('u', 'spans')}, {union_sql('o', 'pairs')}, len AS (SELECT k, max(e) - min(s) AS duration FROM spans GROUP BY k),
 su AS (SELECT k, CAST(sum(e - s) AS BIGINT) AS speech FROM u GROUP BY k), so AS (SELECT k, CAST(sum(e - s) AS BIGINT) AS overlap FROM o GROUP BY k),
-ne AS (SELECT k, count(*) FILTER (kind = 'turn_completion') AS n_turns, count(*) AS n_events FROM events_all GROUP BY k),
+ne AS (SELECT k, count(*) FILTER (kind = 'turn_completion') AS n_turns, count(*) FILTER (kind != 'overlap') AS n_events FROM events_all GROUP BY k),
 base AS (SELECT len.k, duration, coalesce(speech, 0) AS speech, coalesce(overlap, 0) AS overlap, coalesce(n_turns, 0) AS n_turns, coalesce(n_events, 0) AS n_events FROM len LEFT JOIN su USING (k) LEFT JOIN so USING (k) LEFT JOIN ne USING (k)),
 r AS (SELECT *, {_clamp('speech::DOUBLE / duration')} AS speech_ratio, {_clamp('overlap::DOUBLE / duration')} AS overlap_ratio, n_turns * 3600.0::DOUBLE / (duration / 1000000.0::DOUBLE) AS turns_per_hour, n_events * 3600.0::DOUBLE / (duration / 1000000.0::DOUBLE) AS windows_per_hour FROM base),
 density AS (SELECT *, 1.0::DOUBLE - speech_ratio AS silence_ratio, ({_between('speech_ratio', 0.12, 0.45)} + {_between('turns_per_hour', 0.0, 120.0)} + {_between('windows_per_hour', 0.0, 180.0)} + {_above('overlap_ratio', 0.18, 0.36)}) / 4 AS density_score FROM r)"""
@@ -185,11 +185,20 @@ def timing_metrics(spark, d):
     return t.select("k", "median_span", "n_1", "n_2", *[F.round(c, 9).alias(c) for c in ("tiny_ratio", "long_ratio", "balance", "timing_score")])
 
 
-@query(f"""{DENSITY} SELECT k, concat_ws(',', CASE WHEN speech_ratio < 0.12 THEN 'low_speech' END, CASE WHEN turns_per_hour < 20 THEN 'few_turns' END, CASE WHEN overlap_ratio > 0.36 THEN 'excessive_overlap' END, CASE WHEN overlap_ratio > 0.18 AND overlap_ratio <= 0.36 THEN 'high_overlap' END) AS flags FROM density""")
+SCORED = f"""{DENSITY}, {TIMING.removeprefix(EVENTS + ', ')}, both_scores AS (SELECT density.*, (({_between('median_span', 0.25, 1.20)} + {_above('tiny_ratio', 0.15, 0.50)} + {_above('long_ratio', 0.02, 0.15)}) / 3 + balance) / 2 AS timing_score, k % 3 = 0 AS low_1, k % 2 = 0 AS low_2, k % 11 = 0 AS quiet, CASE WHEN k % 7 > 0 THEN (k % 100) / 100.0::DOUBLE END AS env, k % 13 = 0 AS leak, (k % 5) / 100.0::DOUBLE AS gap, k % 17 AS annotated FROM density JOIN timing USING (k))"""
+
+
+@query(f"""{SCORED} SELECT k, concat_ws(',', CASE WHEN annotated = 0 AND (speech_ratio < 0.08 OR windows_per_hour < 25) THEN 'empty_or_no_interaction' END, CASE WHEN low_1 AND low_2 THEN 'both_tracks_low_information' END, CASE WHEN quiet THEN 'very_low_rms' END,
+CASE WHEN env >= 0.75 THEN 'shared_energy_reverb_or_bleed' END, CASE WHEN leak THEN 'inactive_track_leakage' END, CASE WHEN overlap_ratio >= 0.45 THEN 'severe_overlap' WHEN overlap_ratio >= 0.30 THEN 'high_overlap' WHEN overlap_ratio >= 0.18 AND speech_ratio >= 0.70 THEN 'dense_overlap' END,
+CASE WHEN gap > 0.01 AND speech_ratio < 0.35 THEN 'low_interaction_duration_mismatch' END, CASE WHEN annotated = 0 AND timing_score < 0.35 THEN 'poor_timing_plausibility' END) AS flags FROM both_scores""")
 def quality_flags(spark, d):
-    none = F.lit(0.0)
-    x = _density(spark, d)
-    return x.select("k", F.array_join(ev.quality_flags(F.col("speech_ratio"), F.col("overlap_ratio"), F.col("turns_per_hour"), none, none, F.lit(-60.0)), ",").alias("flags"))
+    """Audio figures, which the stand-in lacks, are made from the key."""
+    x = spans(spark, d)
+    timing = ev.timing(x, ev.event_candidates(x, K, BUCKET, WIDE), K, US).select("k", "timing_score")
+    k, c = F.col("k"), F.col
+    audio = {"low_information_1": k % 3 == 0, "low_information_2": k % 2 == 0, "very_low_rms": k % 11 == 0, "envelope_correlation": F.when(k % 7 > 0, (k % 100) / F.lit(100.0)), "leakage": k % 13 == 0, "gap_ratio": (k % 5) / F.lit(100.0), "annotated_events": k % 17}
+    scores = {n: c(n) for n in ("speech_ratio", "overlap_ratio", "windows_per_hour", "timing_score")} | audio
+    return _density(spark, d).join(timing, "k").select("k", F.array_join(ev.quality_flags(scores), ",").alias("flags"))
 
 
 @query(f"""WITH {SPANS}, a AS (SELECT k, e AS pt, s FROM spans WHERE side = 1), b AS (SELECT k, s AS pt FROM spans WHERE side = 2)

@@ -10,17 +10,30 @@ from parley.operators import text as tx
 from parley.plans.registry import query, table
 from parley.streaming import jobs, policy
 
-ACK = "('mm-hm', 'mhm', 'uh-huh', 'yeah', 'yes', 'yep', 'okay', 'ok', 'right', 'sure')"
+SAID = {"view": "", "click": "Yeah.", "purchase": "wait, no", "signup": "haha", "error": "okay, and then", "search": "right so the plan", "login": "who is it", "logout": "that's not it"}
 
 
-@query(f"""WITH e AS (SELECT event_id, CAST(event_id % 8 * 100 AS INTEGER) AS elapsed, event_id % 3 != 0 AS active, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'yeah' WHEN 'purchase' THEN 'wait no' WHEN 'signup' THEN 'is it done?' ELSE 'okay and then' END AS text, (event_id * 7 % 100) / 100.0 AS p FROM events)
-SELECT event_id, CASE WHEN p >= 0.7 THEN 'predicted_interruption' WHEN text = 'wait no' THEN 'repair' WHEN text = 'is it done?' THEN 'question' WHEN text = 'okay and then' THEN 'acknowledgement_continued'
-WHEN text = 'yeah' AND (NOT active OR elapsed >= 500) THEN 'acknowledgement' WHEN text = '' AND active AND elapsed >= 500 THEN 'deadline' WHEN NOT active THEN 'burst_ended' ELSE 'unresolved' END AS reason FROM e""")
+@query(f"""WITH e AS (SELECT event_id, event_type AS kind, CAST(event_id % 8 * 100 AS INTEGER) AS elapsed, event_id % 3 != 0 AS active, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in SAID.items())} ELSE 'the train leaves' END AS text, CASE WHEN event_id % 5 > 0 THEN (event_id * 7 % 100) / 100.0 END AS p FROM events)
+SELECT event_id, CASE WHEN p >= 0.7 THEN 'floor_taking:predicted_interruption' WHEN text IN ('wait, no', 'that''s not it') THEN 'response_required:explicit_stop_or_repair' WHEN text = 'who is it' THEN 'response_required:question' WHEN text = 'okay, and then' THEN 'floor_taking:acknowledgement_continuation' WHEN text = 'right so the plan' THEN 'floor_taking:meaningful_lexical_material'
+WHEN text = 'Yeah.' AND NOT active THEN 'non_floor_taking:closed_acknowledgement' WHEN text = 'haha' AND NOT active THEN 'non_floor_taking:short_laughter' WHEN text NOT IN ('', 'Yeah.', 'haha') THEN 'response_required:meaningful_lexical_material'
+WHEN active AND elapsed >= 500 THEN 'floor_taking:speech_duration_deadline' WHEN NOT active THEN 'non_floor_taking:acoustic_burst_ended' ELSE 'unresolved:awaiting_more_evidence' END AS decision FROM e""")
 def overlap_policy_rules(spark, d):
-    said = F.when(F.col("event_type") == "view", "").when(F.col("event_type") == "click", "yeah").when(F.col("event_type") == "purchase", "wait no").when(F.col("event_type") == "signup", "is it done?").otherwise("okay and then")
-    e = table(spark, d, "events")
-    out = policy.classify((F.col("event_id") % 8 * 100).cast("int"), F.col("event_id") % 3 != 0, said, (F.col("event_id") * 7 % 100) / F.lit(100.0))
-    return e.select("event_id", out["reason"].alias("reason"))
+    said = F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv])
+    e = table(spark, d, "events").withColumn("text", F.coalesce(said[F.col("event_type")], F.lit("the train leaves")))
+    p = F.when(F.col("event_id") % 5 > 0, (F.col("event_id") * 7 % 100) / F.lit(100.0))
+    out = policy.classify((F.col("event_id") % 8 * 100).cast("int"), F.col("event_id") % 3 != 0, F.col("text"), p)
+    return e.select("event_id", F.concat_ws(":", out["kind"], out["reason"]).alias("decision"))
+
+
+@query("""WITH o AS (SELECT user_id AS k, CASE WHEN event_id % 4 = 0 THEN 'non_floor_taking' WHEN event_id % 4 < 3 THEN 'floor_taking' END AS kind, CAST(round(value * 1000) AS BIGINT) * 1000000 AS t FROM events)
+, v AS (SELECT k, list_sort(list(t / 1e6) FILTER (kind = 'non_floor_taking')) AS a, list_sort(list(t / 1e6) FILTER (kind = 'floor_taking')) AS b, count(*) AS n, count(*) FILTER (kind = 'non_floor_taking') AS n_a, count(*) FILTER (kind = 'floor_taking') AS n_b FROM o GROUP BY k)
+SELECT k, n AS n_overlaps, n_a AS n_cooperative, n_b AS n_competitive, a[greatest(1, CAST(ceil(0.95::DOUBLE * n_a) AS INTEGER))]::DOUBLE AS cooperative_p95_ms, b[greatest(1, CAST(ceil(0.95::DOUBLE * n_b) AS INTEGER))]::DOUBLE AS competitive_p95_ms FROM v""")
+def overlap_metrics(spark, d):
+    at = F.round(F.col("value") * 1000).cast("bigint") * 1_000_000
+    none = F.lit(None).cast("bigint")
+    kind = F.when(F.col("event_id") % 4 == 0, "non_floor_taking").when(F.col("event_id") % 4 < 3, "floor_taking")
+    o = table(spark, d, "events").select(F.col("user_id").alias("k"), kind.alias("kind"), F.lit(0).cast("bigint").alias("onset"), at.alias("decision"), *[none.alias(c) for c in ("duck", "pause", "cancel", "resume", "paused_at")], F.lit(True).alias("fast_path"), F.lit(1).alias("samples"))
+    return policy.overlap_metrics(o, ["k"]).select("k", "n_overlaps", "n_cooperative", "n_competitive", "cooperative_p95_ms", "competitive_p95_ms")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN left(text, 40) || ' and on' ELSE left(text, 60) END AS text FROM (SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations))),

@@ -48,7 +48,7 @@ UNIT = 600_000_000.0
 
 
 def _turns(spark, d):
-    return spans(spark, d).withColumn("n_words", (F.floor((F.col("end") - F.col("start")) / 120_000_000) + 1).cast("bigint")).withColumn("text", F.when(F.col("n_words") <= 1, "yeah").when(F.col("n_words") == 2, "oh wow").otherwise("and then we went on and on"))
+    return spans(spark, d).withColumn("n_words", (F.floor((F.col("end") - F.col("start")) / 120_000_000) + 1).cast("bigint")).withColumn("text", F.when(F.col("n_words") <= 1, "yeah").when(F.col("n_words") == 2, "uh huh").otherwise("and then we went on and on"))
 
 
 TURNS = f"{SPANS}, t AS (SELECT *, n_words <= 1 AS one, CASE WHEN n_words <= 1 THEN 1.0::DOUBLE WHEN n_words = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lex, CASE WHEN n_words <= 2 THEN 1.0::DOUBLE WHEN n_words = 3 THEN 0.65::DOUBLE WHEN n_words = 4 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS short FROM (SELECT *, CAST(floor((e - s) / 120000000.0::DOUBLE) + 1 AS BIGINT) AS n_words FROM spans))"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,10 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the workers of this application, once; where PYTHONPATH has them already, nothing is sent."""
+    """Send the package's sources to the workers of this application, once: the driver's PYTHONPATH says nothing about theirs."""
     root = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
-    if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if app in _shipped:
         return
     _shipped.add(app)
     path = Path(tempfile.mkdtemp(prefix="parley-")) / "parley.zip"

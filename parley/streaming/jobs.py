@@ -136,12 +136,17 @@ def vad_turns(chunks: DataFrame, keys: list[str], silence_seconds: float = 0.5,
     return w.agg(F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample"), F.count("*").alias("n_chunks")).drop("w")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its table; for tests and back-fills."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def run_once(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream (append) over what is there and return its rows, written as Parquet under the shared checkpoint folder."""
+    root = checkpoint or f"{shared_folder(stream.sparkSession)}/{name}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; where it is unset, the warehouse, which the executors share as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def acknowledgements(commands: DataFrame, acks: DataFrame, generation: str = "generation") -> DataFrame:

@@ -4,54 +4,91 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary of the rules.
-REPAIRS = ("no", "wait", "stop", "actually", "sorry", "hold on", "i mean", "not that")
-QUESTIONS = ("what", "why", "how", "when", "where", "who", "which", "can", "could", "would", "do", "does", "is", "are")
-ACKNOWLEDGEMENTS = ("mm-hm", "mhm", "uh-huh", "yeah", "yes", "yep", "okay", "ok", "right", "sure", "i see", "got it", "of course")
-LAUGHTER = ("haha", "hahaha", "heh", "lol", "[laughter]", "(laughs)")
+from parley.functions.scalar import nearest_rank
+
+# The vocabulary of the rules, and their limits.
+ACKNOWLEDGEMENTS = ("mm hm", "mhm", "uh huh", "okay", "right", "yeah", "yes", "exactly")
+LAUGHTER = ("ha", "haha", "hehe", "laugh", "laughter")
+QUESTIONS = ("how", "what", "why", "when", "where", "who")
+REPAIRS = ("no", "wait", "actually", "stop", "repeat", "again")
+REPAIR_PHRASES = ("say that again", "say it again", "hold on", "that's not", "that is not")
+CONTINUATIONS = ("and", "but", "though", "however")
 DEADLINE_MS = 500
 INTERRUPTION = 0.7
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[-'][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:'[a-z0-9]+)?"), F.lit(0))
 
 
-def _begins(plain: Column, phrases: tuple[str, ...]) -> Column:
-    return F.rlike(plain, F.lit("^(" + "|".join(re.escape(p) for p in phrases) + ")( |$)"))
+def _starts(plain: Column, phrases: tuple[str, ...], whole_words: bool = True) -> Column:
+    return F.rlike(plain, F.lit("^(" + "|".join(map(re.escape, phrases)) + ")" + ("( |$)" if whole_words else "")))
 
 
 def matched_acknowledgement(plain: Column) -> Column:
     """Number of words of the longest acknowledgement that the text begins with, 0 for none."""
-    longest = sorted(ACKNOWLEDGEMENTS, key=lambda p: -len(p.split()))
-    found = F.regexp_extract(plain, "^(" + "|".join(re.escape(p) for p in longest) + ")( |$)", 1)
+    longest = sorted(ACKNOWLEDGEMENTS, key=lambda p: -len(p))
+    found = F.regexp_extract(plain, "^(" + "|".join(map(re.escape, longest)) + ")( |$)", 1)
     return F.when(found == "", 0).otherwise(F.size(F.split(found, " ")))
 
 
 def classify(elapsed_ms: Column, active: Column, transcript: Column, interruption: Column) -> Column:
-    """struct kind, reason, confidence, fast_path; the first rule that holds decides.
+    """struct kind, reason, confidence, source, fast_path; the first rule that holds decides.
 
-    Kinds are floor_taking, response_required, non_floor_taking, undecided. Nulls are no evidence.
+    Kinds are floor_taking, response_required, non_floor_taking, unresolved. Nulls are no evidence.
+    An acknowledgement or a laugh says nothing while speech goes on; then time decides.
     """
-    plain = F.array_join(words_of(F.coalesce(transcript, F.lit(""))), " ")
-    n, ack = F.size(words_of(F.coalesce(transcript, F.lit("")))), matched_acknowledgement(plain)
-    laugh = F.trim(F.lower(F.coalesce(transcript, F.lit("")))).isin(*LAUGHTER)
+    words = words_of(F.coalesce(transcript, F.lit("")))
+    plain, n = F.array_join(words, " "), F.size(words)
+    ack = matched_acknowledgement(plain)
     on, late = F.coalesce(active, F.lit(False)), F.coalesce(elapsed_ms, F.lit(0)) >= DEADLINE_MS
-    out = lambda kind, reason, confidence, fast: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"), F.lit(fast).alias("fast_path"))
+    laugh = plain.isin(*LAUGHTER)
+
+    def out(kind: str, reason: str, confidence, source: str = "lexical", fast: bool = False) -> Column:
+        confidence = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), confidence.cast("double").alias("confidence"), F.lit(source).alias("source"), F.lit(fast).alias("fast_path"))
+
     return (
-        F.when(F.coalesce(interruption, F.lit(0.0)) >= INTERRUPTION, out("floor_taking", "predicted_interruption", 0.9, True))
-        .when(_begins(plain, REPAIRS), out("response_required", "repair", 0.9, True))
-        .when(F.endswith(F.trim(F.coalesce(transcript, F.lit(""))), F.lit("?")) | _begins(plain, QUESTIONS), out("response_required", "question", 0.85, True))
-        .when((ack > 0) & (n > ack), out("floor_taking", "acknowledgement_continued", 0.8, False))
-        .when((ack > 0) & (~on | late), out("non_floor_taking", "acknowledgement", 0.85, False))
-        .when(laugh, out("non_floor_taking", "laughter", 0.85, False))
-        .when((n > 0) & (ack == 0), out("floor_taking", "other_text", 0.75, False))
-        .when(on & late, out("floor_taking", "deadline", 0.6, False))
-        .when(~on, out("non_floor_taking", "burst_ended", 0.6, False))
-        .otherwise(out("undecided", "unresolved", 0.0, False))
+        F.when(F.coalesce(interruption >= INTERRUPTION, F.lit(False)), out("floor_taking", "predicted_interruption", interruption, "model", True))
+        .when(_starts(plain, REPAIRS) | _starts(plain, REPAIR_PHRASES, False), out("response_required", "explicit_stop_or_repair", 0.95, fast=True))
+        .when(_starts(plain, QUESTIONS), out("response_required", "question", 0.9, fast=True))
+        .when((ack > 0) & (n > ack) & F.get(words, ack).isin(*CONTINUATIONS), out("floor_taking", "acknowledgement_continuation", 0.9, fast=True))
+        .when((ack > 0) & (n > ack), out("floor_taking", "meaningful_lexical_material", 0.9, fast=True))
+        .when((ack > 0) & ~on, out("non_floor_taking", "closed_acknowledgement", 0.85))
+        .when((ack == 0) & laugh & ~on, out("non_floor_taking", "short_laughter", 0.75))
+        .when((ack == 0) & ~laugh & (n > 0), out("response_required", "meaningful_lexical_material", 0.8))
+        .when(on & late, out("floor_taking", "speech_duration_deadline", 0.9, "activity"))
+        .when(~on, out("non_floor_taking", "acoustic_burst_ended", F.when(late, 0.6).otherwise(0.7), "activity"))
+        .otherwise(out("unresolved", "awaiting_more_evidence", 0.5, "activity"))
+    )
+
+
+
+
+def overlap_metrics(overlaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys``: overlaps, co-operative and competitive ones, 95th percentiles (nearest rank) of their latencies in ms, samples generated.
+
+    ``overlaps`` has kind, onset, decision, duck, pause, cancel, resume, paused_at (ns, null: did not happen), fast_path, samples.
+    """
+    ms = lambda a, b: (F.col(b) - F.col(a)) / 1e6
+    shared = F.col("kind") == "non_floor_taking"
+    resolved = F.col("kind").isNotNull()
+    p95 = lambda x, name: nearest_rank(x, 0.95).alias(name)
+    return overlaps.groupBy(*keys).agg(
+        F.count("*").alias("n_overlaps"),
+        F.count_if(shared).alias("n_cooperative"),
+        F.count_if(resolved & ~shared).alias("n_competitive"),
+        p95(ms("onset", "duck"), "duck_p95_ms"),
+        p95(ms("onset", "pause"), "pause_p95_ms"),
+        p95(F.when(F.col("fast_path"), ms("onset", "cancel")), "explicit_stop_p95_ms"),
+        p95(ms("onset", "resume"), "resume_p95_ms"),
+        p95(F.when(shared, ms("onset", "decision")), "cooperative_p95_ms"),
+        p95(F.when(resolved & ~shared, ms("onset", "decision")), "competitive_p95_ms"),
+        p95(F.when(F.col("resume").isNotNull(), ms("paused_at", "resume")), "buffer_age_p95_ms"),
+        F.sum(F.when(resolved, F.col("samples")).otherwise(0)).alias("generated_samples"),
     )
 
 

@@ -51,9 +51,9 @@ def test_shards(spark, tmp_path):
 
 
 def test_overlap_policy(spark):
-    cases = [(100, False, "mm-hm", None, "non_floor_taking"), (100, False, "[laughter]", None, "non_floor_taking"), (100, False, "", None, "non_floor_taking"), (100, True, "why is that", None, "response_required"), (100, True, "no wait", None, "response_required"), (200, True, "yeah but then", None, "floor_taking"), (500, True, "", None, "floor_taking"), (100, True, None, None, "undecided"), (100, True, "", 0.8, "floor_taking")]
-    df = spark.createDataFrame(cases, "e int, a boolean, t string, p double, want string")
-    bad = df.select("t", "want", policy.classify(F.col("e"), F.col("a"), F.col("t"), F.col("p"))["kind"].alias("kind")).where("kind != want").collect()
+    cases = [(100, False, "mm-hm", None, "non_floor_taking", 0.85), (100, False, "[laughter]", None, "non_floor_taking", 0.75), (100, False, "", None, "non_floor_taking", 0.7), (600, False, "", None, "non_floor_taking", 0.6), (100, True, "why is that", None, "response_required", 0.9), (100, True, "no wait", None, "response_required", 0.95), (200, True, "yeah but then", None, "floor_taking", 0.9), (500, True, "", None, "floor_taking", 0.9), (100, True, None, None, "unresolved", 0.5), (100, True, "", 0.8, "floor_taking", 0.8), (600, True, "yeah", None, "floor_taking", 0.9), (100, True, "haha", None, "unresolved", 0.5), (100, True, "is it done?", None, "response_required", 0.8)]
+    df = spark.createDataFrame(cases, "e int, a boolean, t string, p double, want string, sure double")
+    bad = df.select("t", "want", "sure", policy.classify(F.col("e"), F.col("a"), F.col("t"), F.col("p")).alias("x")).where("x.kind != want or abs(x.confidence - sure) > 1e-9").collect()
     assert bad == []
 
 
