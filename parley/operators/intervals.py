@@ -124,12 +124,12 @@ def covered_seconds(a: DataFrame, b: DataFrame, keys: Sequence[str], width: floa
 def contains(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: float, at: str = "at", out: str = "inside") -> DataFrame:
     """Whether each point lies in some span (start <= at < end)."""
     merged = union(spans, keys)
-    dealt = _buckets(merged.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "start", "end"), F.col("start"), F.col("end"), width, True)
+    dealt = _buckets(merged.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("start").alias("_cs"), F.col("end").alias("_ce")), F.col("_cs"), F.col("_ce"), width, True)
     same = F.floor(F.col(at) / width) == F.col("_bucket")
     for k in keys:
         same = same & (F.col(k) == F.col(f"_b_{k}"))
-    inside = points.join(dealt, same & (F.col("start") <= F.col(at)) & (F.col(at) < F.col("end")), "left")
-    return inside.withColumn(out, F.col("start").isNotNull()).select(*points.columns, out)
+    inside = points.join(dealt, same & (F.col("_cs") <= F.col(at)) & (F.col(at) < F.col("_ce")), "left")
+    return inside.withColumn(out, F.col("_cs").isNotNull()).select(*points.columns, out)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, forward: bool, tolerance: float | None = None, strict: bool = False, out: str = "match") -> DataFrame:
