@@ -11,24 +11,18 @@ from parley.operators import evaluation as evl
 from parley.operators import sync as sy
 from parley.plans.registry import query, table
 
-MASKS = "m AS (SELECT a.vec_id, generate_subscripts(a.embedding, 1) AS i, unnest(a.embedding) > 0 AS x, unnest(b.embedding) > 0 AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0)"
+MASKS = "m AS (SELECT a.vec_id, generate_subscripts(a.embedding, 1) AS i, unnest(a.embedding) > 0 AS x, unnest(b.embedding) > 0 AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 
-def _masks(spark, d, which="true"):
+def _masks(spark, d):
     e = table(spark, d, "embeddings")
-    pair = e.where(which).select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    pair = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
     return pair.select("vec_id", F.posexplode(F.zip_with("a", "b", lambda x, y: F.struct((x > 0).alias("x"), (y > 0).alias("y")))).alias("i", "p")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), "p.x", "p.y")
 
 
-@query(f"""WITH {MASKS}, l AS (SELECT a.vec_id, g.lag, count(*) FILTER (a.x = b.y) AS loss FROM m a, (SELECT unnest(range(-5, 6)) AS lag) g JOIN m b ON true WHERE b.vec_id = a.vec_id AND b.i = a.i - g.lag AND a.i BETWEEN 7 AND 58 GROUP BY ALL)
+@query(f"""WITH {MASKS}, l AS (SELECT a.vec_id, a.lag, count(*) FILTER (a.x = b.y) AS loss FROM (SELECT m.*, unnest(range(-5, 6)) AS lag FROM m WHERE i BETWEEN 7 AND 58) a JOIN m b ON b.vec_id = a.vec_id AND b.i = a.i - a.lag GROUP BY ALL)
 SELECT vec_id, CAST(arg_min(lag, loss * 100 + lag) AS INTEGER) AS lag, min(loss) AS loss FROM l GROUP BY vec_id""")
 def lag_loss_argmin(spark, d):
-    return sy.best_lag(sy.lag_loss(_masks(spark, d, "vec_id % 20 = 0"), ["vec_id"], "x", "y", "i", range(-5, 6), 6), ["vec_id"])
-
-
-@query()
-def lag_loss_argmin_whole(spark, d):
-    """Of every pair; lag_loss_argmin is held to its SQL's sample."""
     return sy.best_lag(sy.lag_loss(_masks(spark, d), ["vec_id"], "x", "y", "i", range(-5, 6), 6), ["vec_id"])
 
 

@@ -36,22 +36,11 @@ def overlap_metrics(spark, d):
     return policy.overlap_metrics(o, ["k"]).select("k", "n_overlaps", "n_cooperative", "n_competitive", "cooperative_p95_ms", "competitive_p95_ms")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN left(text, 40) || ' and on' ELSE left(text, 60) END AS text FROM (SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations))),
-c AS (SELECT *, CASE WHEN p = text THEN length(text) ELSE coalesce((SELECT min(i) - 1 FROM (SELECT unnest(range(1, least(length(p), length(text)) + 1)) AS i) WHERE substr(p, i, 1) != substr(text, i, 1)), least(length(p), length(text))) END AS n FROM r WHERE p IS NOT NULL)
-SELECT conv_id, turn, CASE WHEN p = text THEN text ELSE regexp_extract(substr(text, 1, n), '(?s)^.*[\\s.,!?;:]') END AS stable FROM c""")
+@query(r"""WITH r AS (SELECT conv_id, turn, text, regexp_replace(text, '\S+\s*$', 'and on') AS p FROM conversations),
+c AS (SELECT *, CASE WHEN p = text THEN length(text) ELSE coalesce((SELECT min(i) - 1 FROM (SELECT unnest(range(1, least(length(p), length(text)) + 1)) AS i) WHERE substr(p, i, 1) != substr(text, i, 1)), least(length(p), length(text))) END AS n FROM r)
+SELECT conv_id, turn, CASE WHEN p = text THEN text ELSE regexp_extract(substr(text, 1, n), '(?s)^.*[\s.,!?;:]') END AS stable FROM c""")
 def revision_stable_prefix(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").withColumn("text", F.first("text").over(w))
-    c = c.withColumn("text", F.when(F.col("turn") % 2 == 1, F.concat(F.substring("text", 1, 40), F.lit(" and on"))).otherwise(F.substring("text", 1, 60)))
-    p = c.withColumn("p", F.lag("text").over(w)).where("p is not null")
-    return p.select("conv_id", "turn", tx.stable_prefix(F.col("p"), F.col("text")).alias("stable"))
-
-
-@query()
-def revision_stable_prefix_whole(spark, d):
-    """Of every turn's whole text against a revision with another last word; revision_stable_prefix is held to its SQL's first characters."""
+    """Of every turn's whole text against a revision with another last word."""
     c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", tx.stable_prefix(F.regexp_replace("text", r"\S+\s*$", "and on"), F.col("text")).alias("stable"))
 

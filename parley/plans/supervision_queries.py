@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.operators import frames as fr
 from parley.operators import supervision as sv
 from parley.plans.registry import BUCKET, query, spans, table
 from parley.plans.turn_queries import CONNECT, UNIT, _connections, _segments
@@ -77,6 +78,14 @@ def floor_input(spark, d):
     return x.select("event_id", F.round("floor_input", 6).alias("floor_input"))
 
 
+@query(f"""WITH {BASE}, lk AS (SELECT c.k, a, b, merge * (1 - 0.5::DOUBLE * pause) * least((SELECT arg_min(turn, s) FROM usr WHERE usr.k = c.k AND abs(usr.e - a) <= 48000000), (SELECT arg_min(turn, s) FROM usr WHERE usr.k = c.k AND abs(usr.s - b) <= 48000000)) AS v FROM step c),
+x AS (SELECT event_id, arg_min(turn, s) AS turn FROM f JOIN usr ON usr.k = f.k AND s <= t AND t < e GROUP BY 1), y AS (SELECT event_id, arg_min(v, a) AS v FROM f JOIN lk ON lk.k = f.k AND a <= t AND t < b GROUP BY 1), z AS (SELECT DISTINCT event_id FROM f JOIN ast ON ast.k = f.k AND s <= t AND t < e)
+SELECT event_id, round(coalesce(x.turn, y.v, CASE WHEN z.event_id IS NOT NULL THEN -1.0 END, 0.0), 6) AS floor FROM f LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id) LEFT JOIN z USING (event_id)""")
+def frame_floor_state(spark, d):
+    x = fr.floor_state(_frames(spark, d), _segments(spark, d), _connections(spark, d), spans(spark, d).where("side = 2"), K, BUCKET, int(0.08 * UNIT))
+    return x.select("event_id", F.round("floor", 6).alias("floor"))
+
+
 CONFIDENCE = """sure AS (SELECT b.k, b.s, b.e, (SELECT arg_max(keep_playing, least(said.e, b.e) - greatest(said.s, b.s)) FROM said WHERE said.k = b.k AND said.s < b.e AND said.e > b.s) AS confidence FROM (SELECT DISTINCT * FROM brief1) b)"""
 
 

@@ -198,18 +198,3 @@ def frame_future_occupancy(spark, d):
     f = table(spark, d, "events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
     o = fr.future_occupancy(f, spans(spark, d), ["k"], [(i * hour, (i + 1) * hour) for i in range(4)], BUCKET)
     return f.join(o, ["k", "time"]).select("event_id", F.array_join(F.transform("occupancy", lambda v: F.round(v, 6).cast("decimal(10,6)").cast("string")), ",").alias("occupancy"))
-
-
-@query(f"""WITH {SPANS}, f AS (SELECT event_id, user_id AS k, epoch_us(ts) AS t FROM events WHERE event_type = 'click')
-SELECT event_id, coalesce((SELECT max(0.9) FROM spans a WHERE a.k = f.k AND a.side = 1 AND a.s <= t AND t < a.e), (SELECT max(-1.0) FROM spans b WHERE b.k = f.k AND b.side = 2 AND b.s <= t AND t < b.e), 0.0) AS floor FROM f""")
-def frame_floor_state(spark, d):
-    f = table(spark, d, "events").where("event_type = 'click'").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
-    x = spans(spark, d)
-    turns = x.where("side = 1").withColumn("turn", F.lit(0.9))
-    return fr.floor_state(f, turns, turns.limit(0).withColumn("merge", F.lit(0.0)).withColumn("pause", F.lit(0.0)), x.where("side = 2"), ["k"], BUCKET).select("event_id", F.col("floor"))
-
-
-@query()
-def frame_floor_state_connections(spark, d):
-    f = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
-    return fr.floor_state(f, _segments(spark, d), _connections(spark, d), spans(spark, d).where("side = 2"), ["k"], BUCKET, int(0.08 * UNIT)).select("event_id", "floor")
