@@ -42,7 +42,7 @@ PARTS = 8
 #: Bytes of contexts that one suffix array covers, but for a larger group.
 ARRAY_BYTES = 1 << 20
 #: Different contexts of one anchor that one suffix array covers.
-CROWD = 8192
+CROWD = 30_000
 #: Bytes of text that frequent anchors are looked for in, the share of its anchors that makes one frequent, and into how many parts those are dealt.
 SAMPLE_BYTES, FREQUENT, SALTS = 8 << 20, 2000, 256
 #: Crowded windows (24 bytes each) that are broadcast; more are joined by shuffle.
