@@ -3,10 +3,10 @@
 A fixed base rule rejects very short and very repetitive texts. Beyond it, four rates are
 held against fences that come from mergeable quantile sketches, one per (lang, source):
 counts of log-linear buckets with 32 steps per power of two (relative error at most
-1/32), which add up exactly, in any order. A fence is a quantile of the group's own sketch, moved
-on by a multiple of its distance from the median. A group's quantiles are weighed against its
-language's by its number of rows, and those against the whole corpus's, so small groups lean on
-larger ones without a break at any size.
+1/32), which add up exactly, in any order. The fences are a low and a high quantile of the group's
+own sketch, moved apart by a multiple of their distance. A group's quantiles are weighed against
+its language's by its number of rows, and those against the whole corpus's, so small groups lean
+on larger ones without a break at any size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from parley.llm.common import materialize, packed, small_batches
 SUB_BITS = 6
 #: Rows that the coarser sketch counts for beside a group's own.
 PRIOR = 100
-#: metric: (scale, quantile, reach). Rates are integers in parts of scale. A fence is the quantile (on the lower side, that of 1 - quantile) and reach times its distance from the median.
+#: metric: (scale, quantile, reach). Rates are integers in parts of scale. Fences lie reach times the distance of the quantiles p and 1 - p outside them.
 #: Junk that a quarter of a group may be sets the first two apart from the rest; of repetition only the extreme hundredth counts.
 METRICS = {"word_len": (1000, 0.75, 4.0), "symbol_rate": (1000, 0.75, 4.0), "dup_line_rate": (1000, 0.99, 1.0), "repeat_rate": (1000, 0.99, 1.0)}
 #: Groups whose fences are broadcast; with more, fences are joined by shuffle with salted groups.
@@ -122,12 +122,12 @@ def _of_metric(i: int) -> Column:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, metric, rows, q_low, q_mid, q_high) of each sketch: the metric's quantile on either side, and the median."""
+    """(keys, metric, rows, q_low, q_high) of each sketch: the metric's quantile on either side."""
     group = [*keys, "metric"]
     w = Window.partitionBy(*group).orderBy("bucket")
     cum = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("rows", F.sum("n").over(Window.partitionBy(*group))).withColumn("p", _of_metric(1))
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("rows"), F.col("bucket")))
-    return cum.groupBy(*group).agg(F.first("rows").alias("rows"), bucket_low(at(1 - F.col("p"))).alias("q_low"), bucket_low(at(F.lit(0.5))).alias("q_mid"), (bucket_low(at(F.col("p")) + 1) - 1).alias("q_high"))
+    return cum.groupBy(*group).agg(F.first("rows").alias("rows"), bucket_low(at(1 - F.col("p"))).alias("q_low"), (bucket_low(at(F.col("p")) + 1) - 1).alias("q_high"))
 
 
 def fences(rows: DataFrame) -> DataFrame:
@@ -137,9 +137,9 @@ def fences(rows: DataFrame) -> DataFrame:
     pick = by_group.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.metric") == F.col("l.metric"))).join(F.broadcast(by_all.alias("a")), F.col("g.metric") == F.col("a.metric"))
     weigh = lambda own, n, other: (n * own + PRIOR * other) / (n + PRIOR)
     q = lambda c: weigh(F.col(f"g.{c}"), F.col("g.rows"), weigh(F.col(f"l.{c}"), F.col("l.rows"), F.col(f"a.{c}"))).alias(c)
-    own = pick.select("g.lang", "g.source", F.col("g.metric").alias("metric"), q("q_low"), q("q_mid"), q("q_high")).withColumn("reach", _of_metric(2))
-    low, high = F.col("q_low") - F.col("reach") * (F.col("q_mid") - F.col("q_low")), F.col("q_high") + F.col("reach") * (F.col("q_high") - F.col("q_mid"))
-    return own.select("lang", "source", "metric", low.alias("low"), high.alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("fence"))
+    own = pick.select("g.lang", "g.source", F.col("g.metric").alias("metric"), q("q_low"), q("q_high")).withColumn("reach", _of_metric(2))
+    room = F.col("reach") * (F.col("q_high") - F.col("q_low"))
+    return own.select("lang", "source", "metric", (F.col("q_low") - room).alias("low"), (F.col("q_high") + room).alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("fence"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
