@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,8 +35,37 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths made since each open scratch() began.
+_scratch: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables made inside when it ends, but for those that :func:`kept` has handed out."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, for a table that outlives the innermost scratch()."""
+    inner = _scratch.pop() if _scratch else None
+    try:
+        return materialize(df, name)
+    finally:
+        if inner is not None:
+            _scratch.append(inner)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import join_unique, materialize, shuffle_partitions, small_batches
+from parley.llm.common import join_unique, kept, materialize, scratch, shuffle_partitions, small_batches
 from parley.llm.shingle_join import similar_pairs
 
 RADIUS = 4
@@ -269,7 +269,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = rest.select(F.col(id_col).cast("bigint").alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
     nodes = materialize(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep"), "nodes")
-    texts = own.join(nodes, "rep", "left_semi")
-    gone = components(similar_pairs(texts, shingle, components)).where("root != node").select(F.col("node").alias("rep"))
-    kept = materialize(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
-    return rest.alias("_all_rows").join(kept, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))
+    with scratch(docs.sparkSession):
+        texts = own.join(nodes, "rep", "left_semi")
+        gone = components(similar_pairs(texts, shingle, components)).where("root != node").select(F.col("node").alias("rep"))
+        stay = kept(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
+    return rest.alias("_all_rows").join(stay, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))
