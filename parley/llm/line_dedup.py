@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import HOT_SHARE, bucketed, join_unique, materialize, packed, partitions_for, shuffle_partitions, small_batches
+from parley.llm.common import HOT_SHARE, bucketed, join_unique, kept, materialize, packed, partitions_for, scratch, shuffle_partitions, small_batches
 
 FANOUT = 2
 BATCHES = 4
@@ -166,7 +166,7 @@ def _result(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("_row.*", F.struct(F.col("_c.n_lines").alias("n_lines"), F.col("_c.n_dropped").alias("n_dropped"), text.alias("kept")).alias("_lines"))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS, runs: LineRuns | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """All columns of ``docs`` and struct ``_lines``: n_lines, n_dropped, kept (the text without dropped lines).
 
     A line's key is the line without white space at its ends, A-Z lowered. Keys of ``min_chars``
@@ -180,13 +180,14 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
     small_batches(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     buckets = partitions_for(spark, total)
-    runs = runs or LineRuns(spark, min_docs, buckets)
-    counts = batch_counts(docs, text_col, min_chars, batches, runs.buckets)
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h", "n"))
-    settled = runs.settled().select("h")
-    frequent = settled.hint("merge").join(counts.groupBy("h").agg(F.sum("n").alias("n")), "h")
-    return _result(drop_frequent(docs, materialize(frequent, "frequent"), text_col, min_chars, broadcast_keys))
+    runs = LineRuns(spark, min_docs, buckets)
+    with scratch(spark):
+        counts = batch_counts(docs, text_col, min_chars, batches, runs.buckets)
+        for b in range(batches):
+            runs.add(counts.where(F.col("batch") == b).select("h", "n"))
+        settled = runs.settled().select("h")
+        frequent = kept(settled.hint("merge").join(counts.groupBy("h").agg(F.sum("n").alias("n")), "h"), "frequent")
+    return _result(drop_frequent(docs, frequent, text_col, min_chars, broadcast_keys))
 
 
 def dedup_batch(batch: DataFrame, runs: LineRuns, text_col: str = "text", min_chars: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import materialize, packed, partitions_for, range_sums, shuffle_partitions
+from parley.llm.common import kept, materialize, packed, partitions_for, range_sums, scratch, shuffle_partitions
 
 MAX_EPOCHS = 2
 #: Words of a queue that are served at once.
@@ -85,21 +85,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turn = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed), text))
     rows = docs.select(packed(docs, "_mix"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), turn.alias("turn"))
-    light = materialize(rows.select("source", "size", "turn"), "sizes")
-    target = materialize(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "targets")
-    n_rows, total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    depth = max(0, min(8, -(-((n_rows // SLICE_ROWS).bit_length()) // 4)))
-    # Within a source rows follow each other by turn; a slice is what turns of one beginning have.
-    slices = light.groupBy("source", F.substring("turn", 1, depth).alias("slice")).agg(F.sum("size").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = slices.select("source", "slice", before.alias("slice_start"))
-    plan = start.alias("a").join(target.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "slice", "slice_start", "source_size", "place", "weight", "target")
-    plan = materialize(plan, "slices").alias("p")
-    within = Window.partitionBy("source", "slice").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
-    own = light.withColumn("slice", F.substring("turn", 1, depth)).withColumn("cum", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
-    both = own.join(plan, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice")))
-    got = materialize(served(both.select("place", "weight", "source_size", (F.col("slice_start") + F.col("cum")).alias("start"), "size"), int(total * share), quantum), "served")
-    done = materialize(plan.join(got, "place", "left").select("p.source", "p.slice", "slice_start", "source_size", "weight", "target", F.coalesce("words", F.lit(0)).alias("words")), "plan").alias("q")
+    with scratch(docs.sparkSession):
+        light = materialize(rows.select("source", "size", "turn"), "sizes")
+        target = materialize(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "targets")
+        n_rows, total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        depth = max(0, min(8, -(-((n_rows // SLICE_ROWS).bit_length()) // 4)))
+        # Within a source rows follow each other by turn; a slice is what turns of one beginning have.
+        slices = light.groupBy("source", F.substring("turn", 1, depth).alias("slice")).agg(F.sum("size").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        start = slices.select("source", "slice", before.alias("slice_start"))
+        plan = start.alias("a").join(target.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "slice", "slice_start", "source_size", "place", "weight", "target")
+        plan = materialize(plan, "slices").alias("p")
+        within = Window.partitionBy("source", "slice").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+        own = light.withColumn("slice", F.substring("turn", 1, depth)).withColumn("cum", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
+        both = own.join(plan, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice")))
+        got = materialize(served(both.select("place", "weight", "source_size", (F.col("slice_start") + F.col("cum")).alias("start"), "size"), int(total * share), quantum), "served")
+        done = kept(plan.join(got, "place", "left").select("p.source", "p.slice", "slice_start", "source_size", "weight", "target", F.coalesce("words", F.lit(0)).alias("words")), "plan").alias("q")
     placed = rows.withColumn("slice", F.substring("turn", 1, depth)).withColumn("cum", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
     out = placed.join(done, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.slice") == F.col("q.slice")))
     first = F.col("slice_start") + F.col("cum")

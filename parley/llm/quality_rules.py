@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.llm import textvec as tv
-from parley.llm.common import materialize, packed, small_batches
+from parley.llm.common import kept, materialize, packed, scratch, small_batches
 
 SUB_BITS = 6
 #: Rows that the coarser sketch counts for beside a group's own.
@@ -154,7 +154,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     features = F.arrow_udf(text_features, FEATURES)
     own = docs.select(packed(docs, "_quality"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col).cast("string")).alias("_f"))
     scored = own.select("*", *[c.alias(m) for m, c in rates("_f").items()])
-    fence = materialize(fences(scored.where(~base_failed("_f")).select("lang", "source", *METRICS)), "fences")
+    with scratch(docs.sparkSession):
+        fence = kept(fences(scored.where(~base_failed("_f")).select("lang", "source", *METRICS)), "fences")
     small = fence.count() <= BROADCAST_GROUPS
     salt = F.lit(0) if small else F.pmod(F.xxhash64("_f", "lang", "source"), F.lit(SALTS)).cast("int")
     fence = fence.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(0 if small else SALTS - 1))))

@@ -17,7 +17,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, packed, shuffle_partitions
+from parley.llm.common import kept, materialize, packed, scratch, shuffle_partitions
 
 #: Strings that a part of a regex may be spelled out to.
 EXACT_LIMIT = 64
@@ -195,9 +195,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replaced. ``index`` is an earlier result of :func:`build_index` over the same documents.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    if index is None:
-        index = build_index(docs.select(F.col(id_col).alias("_key"), text.alias("_text")), "_key", F.col("_text"), vocabulary(rules))
-    own = materialize(candidates(index, rules).withColumnRenamed("key", "_key"), "candidates")
+    with scratch(docs.sparkSession):
+        if index is None:
+            index = build_index(docs.select(F.col(id_col).alias("_key"), text.alias("_text")), "_key", F.col("_text"), vocabulary(rules))
+        own = kept(candidates(index, rules).withColumnRenamed("key", "_key"), "candidates")
     rows = docs.select(packed(docs, "_secrets"), F.col(id_col).alias("_id"), text.alias("_text"))
     if own.count() <= broadcast_rows:
         own = F.broadcast(own)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textvec as tv
-from parley.llm.common import join_unique, kept, materialize, scratch, shuffle_partitions, small_batches
+from parley.llm.common import bucketed, join_unique, kept, materialize, partitions_for, scratch, small_batches
 from parley.llm.shingle_join import similar_pairs
 
 RADIUS = 4
@@ -209,7 +209,8 @@ def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         big = materialize(rows.where("resident").groupBy("key").count().where(F.col("count") > DIRECT).select("key"), "crowded")
         crowded = not big.isEmpty()
     usual = rows.join(big, "key", "left_anti") if crowded else rows
-    found = usual.select("key", "fp").repartition(shuffle_partitions(spark), "key").mapInArrow(compare, "t int, u bigint, v bigint")
+    n = partitions_for(spark, nodes.count() * sum(1 + w / 2 for w in WIDTHS) * 24)
+    found = usual.select("key", "fp").repartition(n, "key").mapInArrow(compare, "t int, u bigint, v bigint")
     if crowded:
         table = F.call_function("div", F.call_function("shiftright", "key", F.lit(26)), F.lit(RING)).cast("int").alias("t")
         dense = materialize(rows.join(big, "key", "left_semi").select(table, "fp").distinct(), "dense").mapInArrow(points, "t int, y bigint, fp bigint")
@@ -246,11 +247,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     own = materialize(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle, "_f").select("_id", F.col("_f")[0].alias("_fp")), "fingerprints")
-    nodes = materialize(own.groupBy("_fp").agg(F.min("_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    roots = components(edges(nodes.select(F.lit(0).alias("t"), F.col("_fp").alias("fp"))))
-    known = materialize(nodes.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "rep", "n", F.coalesce("root", "_fp").alias("root")), "roots")
-    low = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "classes")
-    of = materialize(join_unique(known, low, "root", "members").select("_fp", "n", "component_id"), "membership")
+    with scratch(docs.sparkSession):
+        nodes = materialize(own.groupBy("_fp").agg(F.min("_id").alias("rep"), F.count("*").alias("n")), "nodes")
+        roots = components(edges(nodes.select(F.lit(0).alias("t"), F.col("_fp").alias("fp"))))
+        known = materialize(nodes.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "rep", "n", F.coalesce("root", "_fp").alias("root")), "roots")
+        low = materialize(known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "classes")
+        of = kept(join_unique(known, low, "root", "members").select("_fp", "n", "component_id"), "membership")
     out = join_unique(own, of, "_fp", "n")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -261,16 +263,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Ids are integers. Of rows that repeat one id any single one stays. Rows without an id are never
     dropped. Texts without words are alike; an empty table gives an empty result. Other columns are kept.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     named = F.col(id_col).isNotNull()
     rest = docs.where(named)
     if not rest.groupBy(id_col).count().where("count > 1").isEmpty():
         rest = materialize(rest.dropDuplicates([id_col]), "single-ids")
+    n_bytes = rest.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    n = partitions_for(spark, n_bytes)
+    # Dealt by id once; no join below moves texts again but for the pairs that are compared.
+    base = bucketed(rest.repartition(n, id_col), n, id_col, "documents")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = rest.select(F.col(id_col).cast("bigint").alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
-    nodes = materialize(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep"), "nodes")
-    with scratch(docs.sparkSession):
-        texts = own.join(nodes, "rep", "left_semi")
-        gone = components(similar_pairs(texts, shingle, components)).where("root != node").select(F.col("node").alias("rep"))
+    own = base.select(F.col(id_col).alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
+    with scratch(spark):
+        nodes = bucketed(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep").repartition(n, "rep"), n, "rep", "nodes")
+        texts = own.join(nodes.hint("merge"), "rep", "left_semi")
+        gone = components(similar_pairs(texts, shingle, components, n)).where("root != node").select(F.col("node").alias("rep"))
         stay = kept(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
-    return rest.alias("_all_rows").join(stay, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))
+    return base.alias("_all_rows").join(stay, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))
