@@ -16,7 +16,9 @@ from parley.operators import intervals
 # Fixed value: what a normal token looks like.
 TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)*-?"
 # Fillers by class.
-FILLERS = {"um": ("um", "umm"), "uh": ("uh", "uhh"), "er": ("er", "erm"), "mm": ("mm", "mmm", "hmm"), "like": ("like",)}
+FILLERS = {"um": ("um", "umm", "uhm"), "uh": ("uh", "er", "eh"), "mhm_mm": ("mhm", "mm", "mm-hmm", "mmhm"), "hmm": ("hmm", "hm"), "uh_huh": ("uh-huh", "uhuh")}
+# Probes of a recording's language.
+PROBES, PROBE_SECONDS, PROBES_KEPT, PROBE_DB = 9, 8.0, 3, -55.0
 OPS = ("equal", "delete", "insert", "substitute")
 
 
@@ -110,6 +112,78 @@ def repetitions(words: str) -> Column:
     return F.filter(F.transform(F.col(words), lambda t, i: F.when((i > 0) & (F.get(F.col(words), i - 1) == t), t)), lambda t: t.isNotNull())
 
 
+def partials(words: str) -> Column:
+    """Tokens broken off: those that end in a hyphen."""
+    return F.filter(F.col(words), lambda t: F.endswith(t, F.lit("-")) & (F.length(t) > 1))
+
+
+def recalled(events: Column, found: Column) -> Column:
+    """How many of an array's events another array has as well, each of its own once."""
+    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
+    return F.aggregate(F.array_distinct(events), F.lit(0), lambda n, t: n + F.least(count(events, t), count(found, t))).cast("bigint")
+
+
+def disfluencies(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """``df`` with numbers of repetitions and broken-off words: expected, found, recalled, and their recall (0 without any)."""
+    out = df
+    for name, of in (("repetition", repetitions), ("partial", partials)):
+        a, b = of(reference), of(hypothesis)
+        hit = recalled(a, b)
+        n = F.size(a).cast("bigint")
+        out = out.withColumns({f"{name}_expected": n, f"{name}_found": F.size(b).cast("bigint"), f"{name}_recalled": hit, f"{name}_recall": F.when(n > 0, hit / n).otherwise(0.0)})
+    return out
+
+
+def evaluate(df: DataFrame, reference: str, hypothesis: str, alignment: str = "alignment") -> DataFrame:
+    """``df`` with what is said of a transcript: word errors, each class of fillers and all together, disfluencies. Names end in the class."""
+    out = with_alignment(df, reference, hypothesis, alignment)
+    out = disfluencies(out.withColumns(error_counts(alignment)), reference, hypothesis)
+    for name, members in {**FILLERS, "filler_any": sum(FILLERS.values(), ())}.items():
+        out = class_metrics(out, reference, hypothesis, alignment, members)
+        out = out.withColumnsRenamed({c: f"{c}_{name}" for c in ("tp", "fp", "fn", "precision", "recall", "f1")})
+    return out
+
+
+def largest_errors(pairs: DataFrame, keys: Sequence[str], k: int = 25) -> DataFrame:
+    """The ``k`` pairs of equal words (ref_start, ref_end, start, end; null where unknown) of each key with the largest error of start or end."""
+    a, b = F.col("start") - F.col("ref_start"), F.col("end") - F.col("ref_end")
+    most = F.coalesce(F.greatest(F.abs(a), F.abs(b)), F.lit(0.0))
+    x = pairs.withColumns({"start_error": a, "end_error": b, "largest": most})
+    w = Window.partitionBy(*keys).orderBy(F.col("largest").desc(), "ref_start", "ref_end", "start", "end")
+    return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def probe_windows(duration: Column, length: float = PROBE_SECONDS, n: int = PROBES) -> Column:
+    """Evenly spread windows of a recording, the first at its start and the last at its end; one where there is no room for more."""
+    size = F.least(duration, F.lit(float(length)))
+    room = F.greatest(F.lit(0.0), duration - size)
+    many = F.transform(F.sequence(F.lit(0), F.lit(max(1, n - 1))), lambda i: F.struct((room * i / max(1, n - 1)).alias("start"), size.alias("length")))
+    return F.when((room == 0) | F.lit(n == 1), F.array(F.struct(F.lit(0.0).alias("start"), size.alias("length")))).otherwise(many)
+
+
+def active_windows(windows: DataFrame, keys: Sequence[str], db: str = "db", k: int = PROBES_KEPT, least: float = PROBE_DB) -> DataFrame:
+    """The ``k`` loudest windows of each key that are not too quiet."""
+    w = Window.partitionBy(*keys).orderBy(F.col(db).desc(), "start")
+    return windows.where(F.col(db) >= least).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
+
+
+def placement(match: str, words: str, mode: str, milliseconds: Column) -> Column:
+    """Where a reply goes by a match (first, end) in timed words: after the anchor, or before its end, its start or its last word.
+
+    ``mode``: backchannel (delay after the end), at_anchor_end, at_anchor_start, before_last_word (lead, not before 0).
+    """
+    word = lambda i: F.get(F.col(words), i)
+    last = word(F.col(f"{match}.end") - 1)
+    at = {"backchannel": last["end"], "at_anchor_end": last["end"], "at_anchor_start": word(F.col(f"{match}.first"))["start"], "before_last_word": last["start"]}[mode]
+    return at + milliseconds / 1000.0 if mode == "backchannel" else F.greatest(F.lit(0.0), at - milliseconds / 1000.0)
+
+
+def pause_after(match: str, words: str) -> Column:
+    """Milliseconds between the end of a match and the next word; null at the end of the transcript."""
+    end = F.col(f"{match}.end")
+    return F.round(F.greatest(F.lit(0.0), F.get(F.col(words), end)["start"] - F.get(F.col(words), end - 1)["end"]) * 1000).cast("int")
+
+
 def multiset_recall(a: DataFrame, b: DataFrame, keys: Sequence[str], token: str) -> DataFrame:
     """(keys, expected, recalled): size of ``a``'s multiset of tokens, and of its intersection with ``b``'s."""
     n = lambda x, c: x.groupBy(*keys, token).agg(F.count("*").alias(c))

@@ -198,3 +198,36 @@ def frame_future_occupancy(spark, d):
     f = table(spark, d, "events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
     o = fr.future_occupancy(f, spans(spark, d), ["k"], [(i * hour, (i + 1) * hour) for i in range(4)], BUCKET)
     return f.join(o, ["k", "time"]).select("event_id", F.array_join(F.transform("occupancy", lambda v: F.round(v, 6).cast("decimal(10,6)").cast("string")), ",").alias("occupancy"))
+
+
+PAIRS_OF_TURNS = f"{WORDS}, l AS (SELECT conv_id, turn - turn % 2 AS pair, turn % 2 AS part, n, token, lag(token) OVER (PARTITION BY conv_id, turn ORDER BY n) AS p FROM w WHERE token != ''), ev AS (SELECT conv_id, pair, part, 'repetition' AS kind, token FROM l WHERE token = p UNION ALL SELECT conv_id, pair, part, 'partial', token FROM l WHERE token LIKE '%-' AND length(token) > 1)"
+
+
+@query(f"""WITH {PAIRS_OF_TURNS}, k AS (SELECT DISTINCT a.conv_id, a.turn AS pair FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0), c AS (SELECT conv_id, pair, kind, token, count(*) FILTER (part = 0) AS a, count(*) FILTER (part = 1) AS b FROM ev GROUP BY ALL)
+SELECT k.conv_id, k.pair, CAST(coalesce(sum(a) FILTER (kind = 'repetition'), 0) AS BIGINT) AS repetition_expected, CAST(coalesce(sum(b) FILTER (kind = 'repetition'), 0) AS BIGINT) AS repetition_found, CAST(coalesce(sum(least(a, b)) FILTER (kind = 'repetition'), 0) AS BIGINT) AS repetition_recalled, CAST(coalesce(sum(a) FILTER (kind = 'partial'), 0) AS BIGINT) AS partial_expected FROM k LEFT JOIN c ON c.conv_id = k.conv_id AND c.pair = k.pair GROUP BY k.conv_id, k.pair""")
+def disfluency_recall(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("words"))
+    a = c.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("pair"), F.col("words").alias("reference"))
+    b = c.where("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("pair"), F.col("words").alias("hypothesis"))
+    return tx.disfluencies(a.join(b, ["conv_id", "pair"]), "reference", "hypothesis").select("conv_id", "pair", "repetition_expected", "repetition_found", "repetition_recalled", "partial_expected")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, l_quantity::DOUBLE AS rs, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity + l_discount END::DOUBLE AS s, l_quantity + 1::DOUBLE AS re, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity + 1 + l_tax END::DOUBLE AS e FROM lineitem),
+m AS (SELECT *, coalesce(greatest(abs(s - rs), abs(e - re)), 0.0) AS largest FROM p) SELECT k, place, round(largest, 9) AS largest FROM (SELECT k, largest, row_number() OVER (PARTITION BY k ORDER BY largest DESC, rs, re, s, e) AS place FROM m) WHERE place <= 25""")
+def largest_timestamp_errors(spark, d):
+    i = table(spark, d, "lineitem")
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber")
+    x = i.select(F.col("l_suppkey").alias("k"), q.alias("ref_start"), F.when(n % 3 > 0, q + F.col("l_discount")).alias("start"), (q + 1).alias("ref_end"), F.when(n % 2 == 0, q + 1 + F.col("l_tax")).alias("end"))
+    return tx.largest_errors(x, ["k"]).select("k", F.col("place").cast("bigint").alias("place"), F.round("largest", 9).alias("largest"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(n_chars, 0) / 100.0::DOUBLE AS t FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS i, round(CASE WHEN t > 8 THEN (t - 8) * i / 8 ELSE 0.0 END, 6) AS "start", round(least(t, 8.0), 6) AS length FROM (SELECT *, unnest(range(CASE WHEN t > 8 THEN 9 ELSE 1 END)) AS i FROM d)""")
+def probe_windows(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(tx.probe_windows(F.coalesce("n_chars", F.lit(0)) / F.lit(100.0))).alias("i", "w"))
+    return t.select("doc_id", "i", F.round("w.start", 6).alias("start"), F.round("w.length", 6).alias("length"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS s, -l_quantity * 1.5::DOUBLE AS db FROM lineitem) SELECT k, s AS "start", round(db, 6) AS db FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY db DESC, s) AS n FROM x WHERE db >= -55) WHERE n <= 3""")
+def active_probe_windows(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), (-F.col("l_quantity") * F.lit(1.5)).alias("db"))
+    return tx.active_windows(x, ["k"]).select("k", "start", F.round("db", 6).alias("db"))

@@ -7,7 +7,7 @@ from parley.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["interval_union", "interval_overlap_pairs", "density_metrics", "latest_by_key", "logical_turns", "hash_split_quota", "overlap_policy_rules"]
+SOME = ["interval_union", "interval_overlap_pairs", "density_metrics", "latest_by_key", "logical_turns", "hash_split_quota", "overlap_policy_rules", "overlap_metrics", "quality_flags", "completion_anchors", "audit_conversations", "timeline_windows", "synchronization_candidates", "audit_evidence", "review_items", "disfluency_recall"]
 
 
 def same(v):
