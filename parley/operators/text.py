@@ -47,28 +47,27 @@ def align(reference: Sequence[str], hypothesis: Sequence[str]) -> list[tuple[str
     vocabulary: dict[str, int] = {}
     r, h = (np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x], np.int64) for x in (reference, hypothesis))
     n, m = len(r), len(h)
-    cost = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(m + 1, dtype=np.int32)
-    cost[0] = steps
+    last, ways = steps, []  # one row of costs; of each cell only its way back, in two bits
     for i in range(1, n + 1):
         best = np.empty(m + 1, np.int32)
         best[0] = i
-        np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (h != r[i - 1]), out=best[1:])
-        cost[i] = np.minimum.accumulate(best - steps) + steps  # insertions chain from the left
+        same = h == r[i - 1]
+        np.minimum(last[1:] + 1, last[:-1] + ~same, out=best[1:])
+        cost = np.minimum.accumulate(best - steps) + steps  # insertions chain from the left
+        way = np.where(same & (cost[1:] == last[:-1]), 0, np.where(cost[1:] == last[1:] + 1, 1, np.where(cost[1:] == cost[:-1] + 1, 2, 3)))
+        ways.append((np.packbits(way & 1), np.packbits(way >> 1)))
+        last = cost
     out, i, j = [], n, m
     while i or j:
-        if i and j and r[i - 1] == h[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("equal", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            out.append(("delete", i, -1))
-        elif j and cost[i, j] == cost[i, j - 1] + 1:
-            j -= 1
-            out.append(("insert", -1, j))
+        if i and j:
+            low, high = ways[i - 1]
+            at, shift = (j - 1) >> 3, 7 - ((j - 1) & 7)
+            op = OPS[(low[at] >> shift & 1) | (high[at] >> shift & 1) << 1]
         else:
-            i, j = i - 1, j - 1
-            out.append(("substitute", i, j))
+            op = "delete" if i else "insert"
+        i, j = i - (op != "insert"), j - (op != "delete")
+        out.append((op, -1 if op == "insert" else i, -1 if op == "delete" else j))
     return out[::-1]
 
 

@@ -215,3 +215,41 @@ def bce_brier(spark, d):
 @query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def latency_percentiles_nearest_rank(spark, d):
     return evl.nearest_rank(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.9, 0.95])
+
+
+GENERATED = """CASE turn % 6 WHEN 0 THEN text || ' <tool_call>{"name": "weather", "arguments": {"city": "x"}}</tool_call>' WHEN 1 THEN text WHEN 2 THEN '<tool_call>{"name": "weather"}</tool_call>' WHEN 3 THEN text || '<tool_call>{"name": "a", "arguments": {}}' WHEN 4 THEN '<tool_call>{"name": "clock", "arguments": {}}</tool_call>' ELSE '' END"""
+
+
+def _generated(spark, d):
+    c, t = table(spark, d, "conversations"), F.col("turn") % 6
+    call = lambda x: F.lit(f"<tool_call>{x}</tool_call>")
+    good = F.concat(F.col("text"), F.lit(" "), call('{"name": "weather", "arguments": {"city": "x"}}'))
+    said = F.when(t == 0, good).when(t == 1, F.col("text")).when(t == 2, call('{"name": "weather"}')).when(t == 3, F.concat(F.col("text"), F.lit('<tool_call>{"name": "a", "arguments": {}}'))).when(t == 4, call('{"name": "clock", "arguments": {}}')).otherwise("")
+    return c.select("conv_id", "turn", evl.parse_generation(said).alias("g")).select("conv_id", "turn", "g.*")
+
+
+PARSED = f"""gen AS (SELECT conv_id, turn, text, {GENERATED} AS g FROM conversations), par AS (SELECT conv_id, turn, CASE WHEN turn % 6 IN (0, 1, 3) THEN trim(text, ' ') ELSE '' END AS spoken, CASE turn % 6 WHEN 0 THEN 'weather' WHEN 4 THEN 'clock' END AS tool, turn % 6 NOT IN (2, 3) AS parser_valid, len(list_filter(string_split_regex(CASE WHEN turn % 6 IN (0, 1, 3) THEN text ELSE '' END, '\\s+'), lambda x: x != '')) AS bridge_words FROM gen)"""
+
+
+@query(f"WITH {PARSED} SELECT conv_id, turn, spoken, tool, parser_valid, CAST(bridge_words AS INTEGER) AS bridge_words FROM par")
+def parse_generation(spark, d):
+    return _generated(spark, d).select("conv_id", "turn", "spoken", "tool", "parser_valid", "bridge_words")
+
+
+@query(f"""WITH {PARSED}, k AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'no_tool' ELSE 'tool_continuation' END AS kind, tool IS NOT NULL AS schema_valid FROM par), r AS (SELECT turn % 2 AS variant, count(*) AS n, avg(parser_valid::INTEGER) AS a, avg((tool IS NOT NULL)::INTEGER) FILTER (kind = 'tool_call') AS b, avg(coalesce(tool = 'weather', false)::INTEGER) FILTER (kind = 'tool_call') AS c,
+avg((bridge_words BETWEEN 1 AND 12)::INTEGER) FILTER (kind = 'tool_call') AS e, avg((tool IS NULL AND parser_valid)::INTEGER) FILTER (kind = 'no_tool') AS f, avg((tool IS NULL AND parser_valid AND spoken != '')::INTEGER) FILTER (kind = 'tool_continuation') AS g FROM k GROUP BY 1)
+SELECT variant, n, round(a, 6) AS parser_valid_rate, round(coalesce(b, 0), 6) AS tool_decision_accuracy, round(coalesce(c, 0), 6) AS tool_name_accuracy, round(coalesce(e, 0), 6) AS bridge_concise_rate, round(coalesce(f, 0), 6) AS no_tool_accuracy, round(coalesce(g, 0), 6) AS continuation_nonempty_rate FROM r""")
+def generation_metrics(spark, d):
+    kind = F.when(F.col("conv_id") % 3 == 0, "tool_call").when(F.col("conv_id") % 3 == 1, "no_tool").otherwise("tool_continuation")
+    x = _generated(spark, d).withColumns({"kind": kind, "expected": F.lit("weather"), "schema_valid": F.col("tool").isNotNull(), "variant": F.col("turn") % 2})
+    names = ("parser_valid_rate", "tool_decision_accuracy", "tool_name_accuracy", "bridge_concise_rate", "no_tool_accuracy", "continuation_nonempty_rate")
+    return evl.generation_metrics(x, ["variant"]).select("variant", "n", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query("""WITH x AS (SELECT user_id AS k, event_id % 3 = 0 AS promoted, CASE WHEN event_id % 4 = 0 THEN event_type END AS inv, event_id % 50 AS tokens, round(value / 100, 4) AS played, event_id % 4 = 0 AS gone FROM events),
+v AS (SELECT k, count(*) AS n, count(*) FILTER (promoted) AS p, count(*) FILTER (gone) AS g, coalesce(sum(tokens) FILTER (gone), 0) AS w, list_sort(list(greatest(0.0, played) * 1000)) AS l, list_sort(list(greatest(0.0, played) * 1000) FILTER (gone)) AS lg FROM x GROUP BY k)
+SELECT k, n, round(p / n::DOUBLE, 6) AS hit_rate, round(g / n::DOUBLE, 6) AS invalidation_rate, CAST(w AS BIGINT) AS wasted_tokens, round(l[greatest(1, CAST(ceil(0.5 * n) AS INTEGER))], 4) AS played_p50_ms, round(lg[greatest(1, CAST(ceil(0.5 * g) AS INTEGER))], 4) AS after_invalidation_p50_ms FROM v""")
+def predictive_metrics(spark, d):
+    e = F.col("event_id")
+    x = table(spark, d, "events").select(F.col("user_id").alias("k"), (e % 3 == 0).alias("promoted"), F.when(e % 4 == 0, F.col("event_type")).alias("invalidation"), (e % 50).alias("tokens"), F.lit(0.0).alias("commit"), F.lit(None).cast("double").alias("released"), F.round(F.col("value") / 100, 4).alias("played"), F.lit(None).cast("double").alias("true_end"))
+    return evl.predictive_metrics(x, ["k"]).select("k", "n", "wasted_tokens", F.round("hit_rate", 6).alias("hit_rate"), F.round("invalidation_rate", 6).alias("invalidation_rate"), F.round("played_p50_ms", 4).alias("played_p50_ms"), F.round("after_invalidation_p50_ms", 4).alias("after_invalidation_p50_ms"))

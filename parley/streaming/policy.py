@@ -100,3 +100,12 @@ def can_resume(state: Column, paused_at_ms: Column, now_ms: Column) -> Column:
 def final_invalidation(stable_prefix: Column, prompted: Column, final: Column) -> Column:
     """Why a prepared reply no longer fits the final text; null if it does: the prefix must stand, and the words be the same."""
     return F.when(~F.startswith(final, stable_prefix), "prefix_changed").when(F.array_join(words_of(prompted), " ") != F.array_join(words_of(final), " "), "words_changed")
+
+
+def revision_invalidation(source: Column, stable_prefix: Column, prompted: Column, new_stable: Column, new_volatile: Column) -> Column:
+    """Why a prepared reply no longer fits a revised transcript; null if it does.
+
+    A reply that silence set off needs the whole text as it was; one that the transcript set off only the stable part.
+    """
+    whole = F.trim(F.concat(new_stable, new_volatile))
+    return F.when(source == "activity", F.when(whole != prompted, "transcript_superseded")).otherwise(F.when(~F.startswith(new_stable, stable_prefix), "stable_prefix_revised"))
