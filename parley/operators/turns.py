@@ -21,6 +21,9 @@ BACKCHANNEL_TOKENS = ("yeah", "yep", "yup", "yes", "ok", "okay", "right", "sure"
 BACKCHANNEL_PHRASES = ("uh huh", "uh-huh", "mm hmm", "mm-hmm", "mm hm", "mm-hm", "mhm mhm", "yeah yeah", "yep yep", "ok ok", "okay okay", "ha ha", "haha haha")
 
 
+LAUGHTER = ("ha", "haha", "hahaha", "hah", "laugh", "laughs", "laughter", "chuckle", "chuckles")
+
+
 def sessions(words: DataFrame, keys: Sequence[str], gap: float, running_end: bool = True, out: str = "session") -> DataFrame:
     """Number the sessions of ``words``: a new one where a word starts more than ``gap`` after the end of those before.
 
@@ -89,6 +92,14 @@ def lexical_backchannel(text: Column) -> Column:
     return F.when(phrase | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: F.array_contains(known, t))), 1.0).when(F.size(tokens) <= 2, 0.15).otherwise(0.0)
 
 
+def short_backchannel(text: Column) -> Column:
+    """Whether a text is one known acknowledgement, a known phrase, or laughter only."""
+    tokens = normalized_tokens(text)
+    known, laughs = (F.array(*[F.lit(t) for t in x]) for x in (BACKCHANNEL_TOKENS, LAUGHTER))
+    one = (F.size(tokens) == 1) & F.array_contains(known, F.get(tokens, 0))
+    return F.coalesce((F.size(tokens) > 0) & (F.array_join(tokens, " ").isin(*BACKCHANNEL_PHRASES) | one | ((F.size(tokens) > 1) & F.forall(tokens, lambda t: F.array_contains(laughs, t)))), F.lit(False))
+
+
 def word_shortness(n: Column) -> Column:
     # Fixed values.
     return F.when(n <= 2, 1.0).when(n == 3, 0.65).when(n == 4, 0.3).otherwise(0.0)
@@ -169,15 +180,71 @@ def contextual(all_turns: DataFrame, keys: Sequence[str], speaker: str = "speake
     t = context(all_turns, keys, speaker)
     s = lambda c: F.col(c) / unit
     # Limits of the rules, in seconds.
-    short = (s("end") - s("start") <= 1.2) & (F.col("n_words") <= 2) & (lexical_backchannel(F.col("text")) == 1.0)
+    short = (s("end") - s("start") <= 1.2) & (F.col("n_words") <= 2) & short_backchannel(F.col("text"))
     answers = F.coalesce(F.endswith(F.rtrim(F.col("prev_other.text")), F.lit("?")), F.lit(False))
-    own = ((F.col("prev_speaker") == F.col(speaker)) & (s("start") - s("prev_end") <= 1.5)) | ((F.col("next_speaker") == F.col(speaker)) & (s("next_start") - s("end") <= 1.5))
+    own = F.when(F.col("prev_speaker") == F.col(speaker), s("start") - s("prev_end") <= 1.5).otherwise((F.col("next_speaker") == F.col(speaker)) & (s("next_start") - s("end") <= 1.5))
     goes_on = (s("start") - s("prev_other.end") <= 0.5) | (s("next_other.start") - s("end") <= 1.5)
     no = lambda c: F.coalesce(c, F.lit(False))
     cut = no(s("prev_other.end") - s("start") >= 0.1)
     return t.withColumn("backchannel", short & ~answers & ~no(own) & no(goes_on)).withColumn("interruption", cut)
 
 
+def classified(all_turns: DataFrame, keys: Sequence[str], speaker: str = "speaker", unit: float = 1.0, gap: float = 1.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(speech spans merged over short gaps, back-channels, interruptions) of each speaker, by the contextual rules."""
+    x = contextual(all_turns, keys, speaker, unit)
+    own = [*keys, speaker]
+    speech = x.where(~F.col("backchannel"))
+    merged = merge_to_later_end(speech.select(*own, "start", "end"), own, gap * unit)
+    return merged, x.where("backchannel").select(*own, "start", "end", "text"), speech.where("interruption").select(*own, F.col("start").alias("time"))
+
+
+def activity_backchannels(activity: DataFrame, own: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0) -> DataFrame:
+    """Short activity of a speaker that none of their turns explains."""
+    brief = activity.where(F.col("end") - F.col("start") <= 1.2 * unit)
+    return intervals.overlap_join(brief, own.select(*keys, "start", "end"), keys, width, how="left_anti").withColumn("text", F.lit("[activity]"))
+
+
+def clipped(words: DataFrame, limit: Column) -> DataFrame:
+    """Words cut to [0, limit); what is left empty vanishes."""
+    return intervals.clip(words, F.lit(0.0), limit)
+
+
+#: Detectors by name: each takes (spans, keys, scores or None) and gives (keys, at, silence).
+DETECTORS: dict[str, object] = {}
+
+
+def detector(name: str):
+    """Registers a detector of ends of turns."""
+
+    def add(f):
+        DETECTORS[name] = f
+        return f
+
+    return add
+
+
+@detector("silence")
+def _silence(spans: DataFrame, keys: Sequence[str], scores: DataFrame | None = None, silence: float = 1.5) -> DataFrame:
+    return end_of_turn(spans, keys, silence)
+
+
+@detector("delayed_silence")
+def _delayed(spans: DataFrame, keys: Sequence[str], scores: DataFrame | None = None, silence: float = 1.5) -> DataFrame:
+    return end_of_turn(spans, keys, silence, shift=True)
+
+
+def run_detectors(names: Sequence[str], spans: DataFrame, keys: Sequence[str], scores: DataFrame | None = None, **options) -> DataFrame:
+    """(detector, keys, at, silence) of the named detectors; an unknown name is an error."""
+    unknown = [n for n in names if n not in DETECTORS]
+    if unknown or not names:
+        raise ValueError(f"unknown detectors: {unknown}" if unknown else "no detector is named")
+    parts = [DETECTORS[n](spans, keys, scores, **options).select(F.lit(n).alias("detector"), *keys, "at", "silence") for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def chat_context(all_turns: DataFrame, keys: Sequence[str], n: int, speaker: str = "speaker") -> DataFrame:
     """Each turn with its last ``n`` turns as chat messages: role user for its own speaker, assistant for the other."""
     w = Window.partitionBy(*keys).orderBy("start", "end", speaker).rowsBetween(-(n - 1), 0)

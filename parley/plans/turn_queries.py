@@ -231,3 +231,23 @@ def probe_windows(spark, d):
 def active_probe_windows(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("start"), (-F.col("l_quantity") * F.lit(1.5)).alias("db"))
     return tx.active_windows(x, ["k"]).select("k", "start", F.round("db", 6).alias("db"))
+
+
+CONTEXT = f"""{TURNS}, tx AS (SELECT *, CASE WHEN n_words <= 1 THEN 'yeah' WHEN n_words = 2 THEN 'uh huh' ELSE 'and then we went on and on' END AS said FROM t),
+cx AS (SELECT *, lag(side) OVER w AS ps, lead(side) OVER w AS ns, lag(e) OVER w AS pe, lead(s) OVER w AS nst FROM tx WINDOW w AS (PARTITION BY k ORDER BY s, e, side)),
+co AS (SELECT c.*, (SELECT arg_max(o.e, {{'a': o.s, 'b': o.e}}) FROM tx o WHERE o.k = c.k AND o.side != c.side AND (o.s, o.e, o.side) < (c.s, c.e, c.side)) AS poe, (SELECT arg_min(o.s, {{'a': o.s, 'b': o.e}}) FROM tx o WHERE o.k = c.k AND o.side != c.side AND (o.s, o.e, o.side) > (c.s, c.e, c.side)) AS nos FROM cx c),
+cl AS (SELECT *, n_words <= 2 AND e - s <= 720000000 AND NOT coalesce(CASE WHEN ps = side THEN s - pe <= 900000000 ELSE ns = side AND nst - e <= 900000000 END, false) AND coalesce(s - poe <= 300000000, false) OR (n_words <= 2 AND e - s <= 720000000 AND NOT coalesce(CASE WHEN ps = side THEN s - pe <= 900000000 ELSE ns = side AND nst - e <= 900000000 END, false) AND coalesce(nos - e <= 900000000, false)) AS bc, coalesce(poe - s >= 60000000, false) AS cut FROM co)"""
+
+
+def _contextual(spark, d):
+    return tn.contextual(_turns(spark, d).withColumnRenamed("side", "speaker"), K, unit=UNIT)
+
+
+@query(f'WITH {CONTEXT} SELECT k, side AS speaker, s AS "start", e AS "end", bc AS backchannel, cut AS interruption FROM cl')
+def contextual_turns(spark, d):
+    return _contextual(spark, d).select("k", "speaker", "start", "end", "backchannel", "interruption")
+
+
+@query(f"""WITH {SPANS}, {union_sql('un', 'spans', 'k, side')}, l AS (SELECT k, side, e, lead(s) OVER (PARTITION BY k, side ORDER BY s, e) - e AS quiet FROM un) SELECT 'silence' AS detector, k, side, e AS "at", quiet AS silence FROM l WHERE quiet >= {HALF} UNION ALL SELECT 'delayed_silence', k, side, e + {HALF}, quiet FROM l WHERE quiet >= {HALF}""")
+def detector_registry(spark, d):
+    return tn.run_detectors(["silence", "delayed_silence"], iv.union(spans(spark, d), KS), KS, silence=HALF)
