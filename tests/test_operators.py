@@ -284,7 +284,7 @@ def test_lag_loss_argmin_takes_every_pair(spark, tmp_path):
         loss = {lag: sum((x[i][t] > 0) == (x[i + 1][t - lag] > 0) for t in range(6, 58)) for lag in range(-5, 6)}
         lag = min(loss, key=lambda g: (loss[g], g))
         expected.append((i, lag, loss[lag]))
-    assert rows(QUERIES["lag_loss_argmin_whole"](spark, str(tmp_path)), "vec_id", "lag", "loss") == sorted(expected, key=repr)
+    assert rows(QUERIES["lag_loss_argmin"](spark, str(tmp_path)), "vec_id", "lag", "loss") == sorted(expected, key=repr)
 
 
 def test_revision_stable_prefix_reads_whole_texts(spark, tmp_path):
@@ -302,4 +302,4 @@ def test_revision_stable_prefix_reads_whole_texts(spark, tmp_path):
         cut = re.match(r"(?s)^.*[\s.,!?;:]", os.path.commonprefix([was, text]))
         expected.append((c, t, text if was == text else cut.group() if cut else ""))
     assert max(len(e[2]) for e in expected) > 60
-    assert rows(QUERIES["revision_stable_prefix_whole"](spark, str(tmp_path)), "conv_id", "turn", "stable") == sorted(expected, key=repr)
+    assert rows(QUERIES["revision_stable_prefix"](spark, str(tmp_path)), "conv_id", "turn", "stable") == sorted(expected, key=repr)
