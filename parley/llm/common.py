@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -35,37 +36,74 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Paths made since each open scratch() began.
-_scratch: list[list[str]] = []
+class _Frames(threading.local):
+    """Of each thread: paths and catalogue tables made since each open scratch() began; at the bottom, those made outside any."""
+
+    def __init__(self) -> None:
+        self.open: list[list[tuple[str, str]]] = [[]]
+
+
+_frames = _Frames()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    _frames.open[-1].append(("path", path))
     return path
 
 
+def _remove(spark: SparkSession, made: list[tuple[str, str]]) -> None:
+    for kind, what in made:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {what}")
+        else:
+            p = spark._jvm.org.apache.hadoop.fs.Path(what)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Deletes the intermediate tables made inside when it ends, but for those that :func:`kept` has handed out."""
-    _scratch.append([])
+    """Deletes the intermediate tables made inside when it ends, but for those that :func:`kept` has handed out.
+
+    Scopes nest, and each thread has its own. What an operator hands out with its result belongs to
+    the scope around it: ``with scratch(spark): op(...).write...`` leaves nothing behind.
+    """
+    _frames.open.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(spark, _frames.open.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what operators called outside any scope have handed out with their results, once those are read."""
+    _remove(spark, _frames.open[0])
+    _frames.open[0].clear()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """:func:`materialize`, for a table that outlives the innermost scratch()."""
-    inner = _scratch.pop() if _scratch else None
+    inner = _frames.open.pop() if len(_frames.open) > 1 else None
     try:
         return materialize(df, name)
     finally:
         if inner is not None:
-            _scratch.append(inner)
+            _frames.open.append(inner)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`materialize`, and the path, for :func:`discard`."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table before its scope ends, so that rounds do not pile up."""
+    _remove(spark, [("path", path)])
+    for frame in _frames.open:
+        if ("path", path) in frame:
+            frame.remove(("path", path))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -79,14 +117,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
 
 
 def bucketed(rows: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
     """``rows`` written to the shared folder in buckets of ``key``, sorted in each, and read back: joins on it do not shuffle them again."""
     table = f"parley_{name}_{uuid.uuid4().hex}"
+    _frames.open[-1].append(("table", table))
     rows.write.bucketBy(buckets, key).sortBy(key).option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
     return rows.sparkSession.table(table)
 

@@ -56,4 +56,37 @@ y AS (SELECT place, n, sum(n) OVER (ORDER BY finish, place, e, stop ROWS UNBOUND
 z AS (SELECT place, sum(greatest(0, least(n, (SELECT floor(sum(size) * 1.5) FROM d) - before)))::BIGINT AS words FROM y GROUP BY place)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, coalesce(words, 0) - start)) + greatest(0, least(size, coalesce(words, 0) - start - source_size)) AS BIGINT) AS taken FROM q LEFT JOIN z USING (place)"""
 
-ORACLE_SQL = {"op1_secret_scan": _secrets(), "op2_decontaminate": DECONTAMINATE, "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC, "op9_mixing": MIXING}
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    d = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [
+        """WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, x[part * w + 1:(part + 1) * w] AS x FROM v, (SELECT max(len(x)) // 8 AS w FROM v), (SELECT unnest(range(8)) AS part)),
+c0 AS MATERIALIZED (SELECT part, e, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)) USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, part, x, b.e AS e, b.d AS d FROM (SELECT vec_id, p.part, any_value(label) AS label, any_value(p.x) AS x, min({{'d': {d}, 'e': c.e}}) AS b FROM p JOIN c{r} c ON p.part = c.part GROUP BY vec_id, p.part))")
+        if r < rounds:
+            parts.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m, c{r}.x) AS x FROM c{r} LEFT JOIN (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM (SELECT part, e, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM (SELECT part, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY part, e, i) GROUP BY part, e) USING (part, e))"
+            )
+    return (
+        ",\n".join(parts)
+        + f""",
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"""
+    )
+
+
+FILTER_AUDIT = """WITH RECURSIVE f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT '' AS filter_order, 0 AS before UNION ALL SELECT filter_order || f, before | bit FROM o, f WHERE before & bit = 0),
+s AS (SELECT a.filter_order, length(b.filter_order) + 1 AS step, b.before, (SELECT bit FROM f WHERE f = a.filter_order[length(b.filter_order) + 1]) AS bit FROM o a JOIN o b ON length(a.filter_order) = 5 AND length(b.filter_order) < 5 AND starts_with(a.filter_order, b.filter_order)),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT | ((100 * len(list_distinct(w)) < 50 * len(w))::INT << 1) | ((100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT << 2) | (regexp_matches(t, '[#$%&*|]')::INT << 3) | ((doc_id > min(doc_id) OVER (PARTITION BY t))::INT << 4) AS mask FROM t),
+l AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+x AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & bit = 0 AND mask & before = 0) AS kept, sum(n) FILTER (mask & bit != 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit != 0 AND mask & before != 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit != 0 AND mask & before = 0) AS good_lost, sum(bad) FILTER (mask & bit != 0 AND mask & before = 0) AS toxic_lost FROM l, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x"""
+
+ORACLE_SQL = {"op1_secret_scan": _secrets(), "op2_decontaminate": DECONTAMINATE, "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC, "op9_mixing": MIXING, "op12_vector_codes": _vector_codes(), "op13_filter_audit": FILTER_AUDIT}

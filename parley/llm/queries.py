@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc
+from parley.llm import decontaminate, filter_audit, line_dedup, mixing, neighbours, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, vector_codes, warc
 from parley.llm.oracles import ORACLE_SQL
 
 
@@ -73,6 +73,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op6_warc, op7_suffix_dedup, op8_simhash, op9_mixing, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=100, n=10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+    return out.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_line_dedup, op6_warc, op7_suffix_dedup, op8_simhash, op9_mixing, op10_url_filter, op11_neighbours, op12_vector_codes, op13_filter_audit)} | {"pipeline": corpus_pipeline.run}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
