@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.operators import intervals
+from parley.operators.folds import fold
 
 # Fixed value: what a normal token looks like.
 TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)*-?"
@@ -219,6 +220,44 @@ def merge_aligned(df: DataFrame, primary: str, secondary: str, alignment: str, o
     return df.withColumn(out, F.transform(by_start, lambda x: x["w"]))
 
 
+def progressive_merge(transcripts: DataFrame, keys: Sequence[str], rank: str = "rank", words: str = "words") -> DataFrame:
+    """(keys, place, text, start, end, confidence): the words of all of a recording's transcripts, merged one after the other by ``rank``.
+
+    Every next transcript is aligned with what the ones before have become: equal words get the
+    mean of both times and confidences (of the one that has any) and keep the first text; of unlike
+    ones both stay, the earlier first; all others stay where the alignment has them. Words without a
+    token vanish, as they cannot be aligned, from the second transcript on. ``words``: arrays of
+    structs with text, start, end, confidence; null arrays are empty ones.
+    """
+    keys = list(keys)
+    own = F.transform(F.coalesce(F.col(words), F.array().cast(transcripts.schema[words].dataType)), lambda w: F.struct(w["text"].alias("text"), *[w[c].cast("double").alias(c) for c in ("start", "end", "confidence")], F.coalesce(normalize_token(w["text"]), F.lit("")).alias("token")))
+    rows = transcripts.select(*keys, rank, own.alias("_w"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def mean(a, b):
+        return b if a is None else a if b is None else (a + b) / 2
+
+    def merge(key, models):
+        merged, first = [], True
+        for *_, own in models:
+            if first:
+                merged, first = own, False
+                continue
+            a, b, out = [w for w in merged if w["token"]], [w for w in own if w["token"]], []
+            for op, i, j in align([w["token"] for w in a], [w["token"] for w in b]):
+                if op == "equal":
+                    out.append(a[i] | {c: mean(a[i][c], b[j][c]) for c in ("start", "end", "confidence")})
+                elif op == "substitute":
+                    out += sorted((a[i], b[j]), key=lambda w: float("inf") if w["start"] is None else w["start"])
+                else:
+                    out.append(a[i] if op == "delete" else b[j])
+            merged = out
+        for n, w in enumerate(merged):
+            yield (*key, n, w["text"], w["start"], w["end"], w["confidence"])
+
+    return fold(rows, keys, [rank], f"{kinds}, place int, text string, start double, end double, confidence double", merge)
+
+
 def chunk_windows(duration: Column, length: float = 30.0, overlap: float = 1.0) -> Column:
     """Chunks of a recording: start, end, and the part whose words each keeps (up to the middle of what two share); the last one reaches the end."""
     hop = length - overlap

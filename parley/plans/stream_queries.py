@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import text as tx
 from parley.plans.registry import query, table
-from parley.streaming import jobs, policy
+from parley.streaming import evidence, jobs, policy, turns
 
 SAID = {"view": "", "click": "Yeah.", "purchase": "wait, no", "signup": "haha", "error": "okay, and then", "search": "right so the plan", "login": "who is it", "logout": "that's not it"}
 
@@ -50,17 +50,94 @@ def _event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query()
+#: Event time and key of the row that ends a stream.
+END, ENDED = F.lit("2100-01-01").cast("timestamp"), -1
+
+
+@query("""WITH s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events))
+SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts)) AS "last", count(*) AS n FROM s GROUP BY user_id, r""")
 def stream_sessions(spark, d):
-    s = jobs.stream_sessions(_event_stream(spark, d), ["user_id"], "ts", "30 minutes", "1 hour")
-    return jobs.run_once(s, f"sessions_{uuid.uuid4().hex}")
+    out = jobs.run_to_end(lambda e: jobs.stream_sessions(e, ["user_id"], "ts", "30 minutes", "1 hour"), _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED)}, f"sessions_{uuid.uuid4().hex}")
+    return out.where(F.col("user_id") != ENDED).select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
 
 
-@query()
+@query("""SELECT concat_ws(':', user_id, strftime(date_trunc('day', ts), '%Y-%m-%d')) AS "group", least(max(value) FILTER (event_type = 'view'), max(value) FILTER (event_type = 'click'), max(value) FILTER (event_type = 'error')) AS confidence FROM events GROUP BY user_id, date_trunc('day', ts)
+HAVING count(DISTINCT CASE WHEN event_type IN ('view', 'click', 'error') AND value IS NOT NULL THEN event_type END) = 3""")
 def stream_evidence_join(spark, d):
     kinds = ["view", "click", "error"]
-    e = _event_stream(spark, d).where(F.col("event_type").isin(*kinds)).withColumn("day", F.date_trunc("day", "ts")).withColumn("group", F.concat_ws(":", "user_id", "day"))
-    return jobs.run_once(jobs.complete_evidence(e, "group", "event_type", kinds, "value", "day", "1 hour"), f"evidence_{uuid.uuid4().hex}")
+
+    def groups(e):
+        x = e.where(F.col("event_type").isin(*kinds)).withColumn("day", F.date_trunc("day", "ts"))
+        return jobs.complete_evidence(x.withColumn("group", F.concat_ws(":", "user_id", F.date_format("day", "yyyy-MM-dd"))), "group", "event_type", kinds, "value", "day", "1 hour")
+
+    return jobs.run_to_end(groups, _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED), "event_type": F.lit("view")}, f"evidence_{uuid.uuid4().hex}").select("group", "confidence")
+
+
+def _chunks(events):
+    c = F.col
+    said = c("event_id") % 4 == 0
+    p = lambda i: F.when(said, c("event_id") * i % 10 / F.lit(10.0))
+    return events.select(c("user_id").cast("string").alias("session"), c("event_id").alias("seq"), (160 * (1 + c("event_id") % 30)).cast("bigint").alias("samples"), (c("event_id") * 7 % 10 < 3).alias("speech"), p(1).alias("confidence"), (p(3) + 0.15).alias("p_yield"), p(7).alias("p_speech"), "ts")
+
+
+#: Chunk by chunk, as the live session goes.
+LIVE_TURNS = """WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS session, event_id AS seq, 160 * (1 + event_id % 30) AS n, event_id * 7 % 10 < 3 AS speech, event_id % 4 = 0 AND (event_id % 10) / 10.0::DOUBLE >= 0.7 AS sure, (event_id * 3 % 10) / 10.0::DOUBLE + 0.15 >= 0.9 AS yields, (event_id * 7 % 10) / 10.0::DOUBLE >= 0.65 AS hold, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (sum(160 * (1 + event_id % 30)) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS stop FROM events),
+t AS (SELECT session, 0::BIGINT AS i, false AS talks, 0 AS epoch, 0::BIGINT AS spoke, 0::BIGINT AS first_stop, 0::BIGINT AS free, 0::BIGINT AS quiet, 0 AS n_speech, NULL::VARCHAR AS reason, 0::BIGINT AS stop FROM c WHERE i = 1
+UNION ALL SELECT t.session, c.i, CASE WHEN NOT was THEN speech ELSE ended IS NULL END, CASE WHEN t.reason IS NOT NULL THEN epoch + 1 ELSE epoch END, CASE WHEN NOT was AND speech THEN c.stop - n ELSE spoke END, CASE WHEN NOT was AND speech THEN c.stop ELSE first_stop END, CASE WHEN t.reason IS NOT NULL THEN t.stop ELSE free END, CASE WHEN speech THEN 0 ELSE quiet + n END, CASE WHEN NOT was THEN speech::INTEGER ELSE n_speech + speech::INTEGER END, CASE WHEN was THEN ended END, c.stop
+FROM (SELECT t.*, t.talks AS was FROM t) t JOIN (SELECT c.*, NULL AS x FROM c) c ON c.session = t.session AND c.i = t.i + 1, LATERAL (SELECT CASE WHEN speech THEN NULL WHEN sure AND yields THEN 'prediction' WHEN quiet + n >= 8000 AND NOT (sure AND hold) THEN 'silence' END AS ended)),
+o AS (SELECT session, epoch, spoke, first_stop, free, stop AS over, n_speech, reason FROM t WHERE reason IS NOT NULL UNION ALL SELECT session, epoch, spoke, first_stop, free, stop, n_speech, 'end' FROM t JOIN (SELECT session, max(i) AS i FROM c GROUP BY session) m USING (session, i) WHERE talks)
+SELECT session, epoch, coalesce((SELECT min(c.stop - c.n) FROM c WHERE c.session = o.session AND c.stop - c.n >= free AND c.stop - c.n <= spoke AND first_stop - (c.stop - c.n) <= 4800), first_stop) AS start_sample, spoke AS speech_sample, over AS end_sample, n_speech, reason FROM o"""
+
+
+@query(LIVE_TURNS)
+def live_turns(spark, d):
+    """Turns by the stateful operator, the open ones ended by its timer."""
+    out = jobs.run_to_end(lambda e: turns.stream_turns(_chunks(e).withColumnRenamed("ts", "at")), _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED), "event_id": F.lit(1)}, f"turns_{uuid.uuid4().hex}", rocks=True)
+    return out.where(F.col("session") != str(ENDED))
+
+
+@query(LIVE_TURNS)
+def batch_turns(spark, d):
+    return turns.batch_turns(_chunks(table(spark, d, "events")))
+
+
+def _evidence(events):
+    """Each event is a chunk and the four kinds of evidence about it; some come late, about another sample, without a value, or cite nothing."""
+    c = F.col
+    i, late = c("event_id"), F.when(c("event_id") % 7 == 0, c("event_id") % 5 * 40).otherwise(0)
+    row = lambda k, kind, seq, sample, playback, p: F.struct(F.lit(kind).alias("kind"), (seq * 8 + k).alias("seq"), sample.alias("sample"), playback.alias("playback"), p.alias("p"))
+    at = i * 10
+    none = F.lit(None).cast("string")
+    own = F.concat(F.lit("p"), i)
+    rows = F.array(
+        row(0, "chunk", i, at, own, F.lit(None).cast("double")),
+        row(1, "yield", i, at, F.when(i % 19 == 0, "other").when(i % 17 > 0, own), i % 100 / 100.0),
+        row(2, "future", i, at, none, F.lit(0.5)),
+        row(3, "turn", i, at + F.when(i % 11 == 0, 1).otherwise(0), none, i % 50 / 100.0),
+        row(F.when(late > 0, 5).otherwise(4), "overlap", i + late, at, none, F.when(i % 13 > 0, i % 20 / 100.0)),
+    )
+    x = events.select(c("user_id").cast("string").alias("session"), F.lit(1).alias("stream_epoch"), F.floor(i / 2000).cast("int").alias("turn_epoch"), i.cast("string").alias("group_id"), i.alias("_i"), F.explode(rows).alias("r"))
+    return x.select("session", "r.seq", "r.kind", "stream_epoch", "turn_epoch", "r.sample", "group_id", "r.playback", "r.p", (1 - F.coalesce("r.p", F.lit(0.0))).alias("p_speech"), ((c("r.seq") % 64) / 64.0).alias("confidence"))
+
+
+EVIDENCE = """WITH b AS (SELECT user_id::VARCHAR AS session, event_id AS i, event_id // 2000 AS ep, event_id * 10 AS pos, CASE WHEN event_id % 7 = 0 THEN event_id % 5 * 40 ELSE 0 END AS late FROM events),
+ev AS (SELECT session, i, ep, i * 8 AS seq, 0 AS kind, pos AS sample, NULL::DOUBLE AS p FROM b UNION ALL SELECT session, i, ep, i * 8 + 1, 1, pos, i % 100 / 100.0::DOUBLE FROM b UNION ALL SELECT session, i, ep, i * 8 + 2, 2, pos, 0.5::DOUBLE FROM b UNION ALL SELECT session, i, ep, i * 8 + 3, 3, pos + (i % 11 = 0)::INTEGER, i % 50 / 100.0::DOUBLE FROM b UNION ALL SELECT session, i, ep, (i + late) * 8 + 4 + (late > 0)::INTEGER, 4, pos, CASE WHEN i % 13 > 0 THEN i % 20 / 100.0::DOUBLE END FROM b),
+la AS (SELECT *, last_value(CASE WHEN kind = 0 THEN sample END IGNORE NULLS) OVER w AS cs, last_value(CASE WHEN kind = 0 THEN ep END IGNORE NULLS) OVER w AS ce FROM ev WINDOW w AS (PARTITION BY session ORDER BY seq)),
+va AS (SELECT *, ep = ce AND sample >= greatest(0, cs - 1600) AS ok FROM la WHERE kind > 0), gr AS (SELECT *, first_value(CASE WHEN ok THEN sample END IGNORE NULLS) OVER (PARTITION BY session, i ORDER BY seq) AS gs FROM va),
+me AS (SELECT *, CASE WHEN NOT ok THEN 'stale' WHEN sample != gs THEN 'inconsistent' ELSE 'member' END AS state FROM gr), fu AS (SELECT session, i, max(seq) AS seq, max(p) FILTER (kind = 1) AS y, max(p) FILTER (kind = 3) AS bc, max(p) FILTER (kind = 4) AS it, min(seq % 64 / 64.0::DOUBLE) AS conf FROM me WHERE state = 'member' GROUP BY session, i HAVING count(*) = 4),
+ou AS (SELECT *, CASE WHEN i % 19 > 0 AND i % 17 = 0 THEN 'uncited' WHEN it IS NULL THEN 'incomplete' WHEN i % 19 = 0 THEN 'unknown_playback' ELSE 'predicted' END AS outcome FROM fu)
+SELECT session, seq, i::VARCHAR AS group_id, outcome, CASE WHEN outcome = 'predicted' THEN 1 - y END AS p_speech, CASE WHEN outcome = 'predicted' THEN y END AS p_yield, CASE WHEN outcome = 'predicted' THEN bc END AS p_backchannel, CASE WHEN outcome = 'predicted' THEN it END AS p_interruption, CASE WHEN outcome = 'predicted' THEN 'p' || i END AS playback, CASE WHEN outcome = 'predicted' THEN conf END AS confidence FROM ou
+UNION ALL SELECT session, seq, i::VARCHAR, state, NULL, NULL, NULL, NULL, NULL, NULL FROM me WHERE state != 'member'"""
+
+
+@query(EVIDENCE)
+def evidence_predictions(spark, d):
+    return evidence.batch_predictions(_evidence(table(spark, d, "events")))
+
+
+@query(EVIDENCE)
+def stream_predictions(spark, d):
+    return jobs.run_once(evidence.stream_predictions(_evidence(_event_stream(spark, d))), f"predictions_{uuid.uuid4().hex}")
 
 
 @query()

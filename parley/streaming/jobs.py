@@ -6,7 +6,7 @@ count in audio time. State is kept per session and goes with the watermark or th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -144,6 +144,39 @@ def run_once(stream: DataFrame, name: str, checkpoint: str | None = None) -> Dat
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(build: Callable[[DataFrame], DataFrame], source: DataFrame, marker: dict[str, Column], name: str, checkpoint: str | None = None, rocks: bool = False) -> DataFrame:
+    """Run the stream ``build(source)`` over what is there and then end it, and return all its rows, those of the table's tail as well.
+
+    After the rows of ``source`` one row follows, ``marker`` (columns by name; others are null), by a
+    source of its own and in a second run of the same query; its event time, past all others by more than the
+    lateness and any time-out, lets the watermark pass whatever is open. ``build`` sees it as a row
+    among others, so its key should be one that can be told apart in the result. ``rocks``: use the
+    RocksDB state store (transformWithState needs it).
+    """
+    spark = source.sparkSession
+    root = checkpoint or f"{shared_folder(spark)}/{name}"
+    row = spark.range(1).select(*[marker.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema])
+    row.where("false").write.parquet(f"{root}/marker")
+    markers = spark.readStream.schema(source.schema).parquet(f"{root}/marker")
+    out = build(source.unionByName(markers))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    try:
+        if rocks:
+            spark.conf.set(key, ROCKS)
+        for at_end in (False, True):
+            if at_end:
+                row.write.mode("append").parquet(f"{root}/marker")
+            q = out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")
+
+
 def shared_folder(spark) -> str:
     """``spark.checkpoint.dir``; where it is unset, the warehouse, which the executors share as well."""
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
