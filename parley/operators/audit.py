@@ -19,6 +19,7 @@ FRAME, BURN_IN = 0.08, 4.0
 SHIFT_GAP, HOLD_GAP, HOLD_MERGE = 1.5, 0.25, 0.5
 HORIZONS = (0.2, 0.5, 1.0, 1.5)
 CATEGORIES = ("overlap_interruption", "non_floor_feedback", "hold_pause", "turn_shift", "background")
+REJECTIONS = ("missing_region_analysis", "insufficient_supervised_duration", "insufficient_primary_supervision", "insufficient_future_supervision", "excessive_masking", "human_review_exclusion")
 PILOT = (("usable_hours", 100.0), ("turn_shifts", 20_000.0), ("hold_pauses", 20_000.0), ("backchannels", 5_000.0), ("interruptions_and_overlaps", 2_000.0))
 
 
@@ -93,27 +94,34 @@ def supervision(windows: DataFrame, valid: DataFrame, doubtful: DataFrame, keys:
     return x.select(*keys, "start", "end", "n_frames", primary.alias("primary"), future.alias("future"))
 
 
-def audit_windows(windows: DataFrame, found: DataFrame, regions: DataFrame, exclusions: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, supervised: float = 8.0, primary: float = 0.9, future: float = 0.95, most_masked: float = 0.35) -> DataFrame:
-    """Windows (keys, start, end, primary, future) with supervised, masked, category, counts of events covered, rejections, accepted and effective seconds.
+def audit_windows(windows: DataFrame, found: DataFrame, regions: DataFrame, exclusions: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, supervised: float = 8.0, primary: float = 0.9, future: float = 0.95, most_masked: float = 0.35, analysed: str | None = None) -> DataFrame:
+    """Windows (keys, start, end, primary, future) with supervised, masked, category, counts of events covered (n_events, and by kind), rejections, accepted and effective seconds.
 
     ``regions`` are unusable spans (disjoint), ``exclusions`` those that people excluded, ``found`` the events.
+    ``analysed`` names a boolean column of the windows: whether the recording's regions were ever
+    analysed. A window of one that was not is rejected for that alone, as nothing is known about its masks.
     """
+    seen = F.lit(True) if analysed is None else F.coalesce(F.col(analysed), F.lit(False))
     begin = F.least(F.col("end"), F.col("start") + BURN_IN * unit)
     x = windows.withColumn("_from", begin).withColumn("supervised", F.greatest(F.lit(0.0), F.col("end") - F.col("_from")) / unit)
     inner = x.select(*keys, F.col("_from").alias("start"), F.col("end"), F.col("start").alias("_w"))
     cut = intervals.overlap_join(inner, regions.select(*keys, "start", "end"), keys, width).groupBy(*keys, F.col("a._w").alias("start"), F.col("a.end").alias("end")).agg((F.sum(F.col("to") - F.col("from")) / unit).alias("masked"))
     points = found.select(*keys, F.col("time").alias("start"), F.col("time").alias("end"), "kind")
     met = intervals.overlap_join(inner, points, keys, width, closed=True).where("b.start < a.end")
-    about = met.groupBy(*keys, F.col("a._w").alias("start"), F.col("a.end").alias("end")).agg(F.collect_set("b.kind").alias("_kinds"), F.count("*").alias("n_events"))
+    of = F.create_map(*[x for c in CATEGORIES[:-1] for x in (F.lit(c), F.count_if(F.col("b.kind") == c))])
+    about = met.groupBy(*keys, F.col("a._w").alias("start"), F.col("a.end").alias("end")).agg(F.collect_set("b.kind").alias("_kinds"), F.count("*").alias("n_events"), of.alias("covered"))
     out = intervals.overlap_join(x.select(*keys, "start", "end"), exclusions.select(*keys, "start", "end"), keys, width).select(*keys, F.col("a.start").alias("start"), F.col("a.end").alias("end")).distinct().withColumn("_out", F.lit(True))
     same = [*keys, "start", "end"]
     x = x.join(cut, same, "left").join(about, same, "left").join(out, same, "left").fillna(0.0, ["masked"]).fillna(0, ["n_events"])
     share = F.when(F.col("supervised") > 0, F.col("masked") / F.col("supervised")).otherwise(0.0)
     why = flags((F.col("supervised") < supervised, "insufficient_supervised_duration"), (F.col("primary") < primary, "insufficient_primary_supervision"), (F.col("future") < future, "insufficient_future_supervision"), (share > most_masked, "excessive_masking"), (F.col("_out").isNotNull(), "human_review_exclusion"))
+    why = F.when(seen, why).otherwise(F.array(F.lit("missing_region_analysis")))
     category = F.coalesce(*[F.when(F.array_contains("_kinds", c), F.lit(c)) for c in CATEGORIES[:-1]], F.lit(CATEGORIES[-1]))
     effective = F.greatest(F.lit(0.0), F.col("supervised") * F.col("primary") - F.col("masked"))
-    x = x.withColumns({"category": category, "rejections": why}).withColumn("accepted", F.size("rejections") == 0)
-    return x.withColumn("effective", F.when(F.col("accepted"), effective).otherwise(0.0)).withColumn("n_events", F.when(F.col("accepted"), F.col("n_events")).otherwise(0)).drop("_from", "_kinds", "_out")
+    x = x.withColumns({"category": category, "rejections": why, "masked": F.when(seen, F.col("masked")).otherwise(0.0)}).withColumn("accepted", F.size("rejections") == 0)
+    none = F.create_map(*[v for c in CATEGORIES[:-1] for v in (F.lit(c), F.lit(0).cast("bigint"))])
+    x = x.withColumns({"effective": F.when(F.col("accepted"), effective).otherwise(0.0), "n_events": F.when(F.col("accepted"), F.col("n_events")).otherwise(0), "covered": F.when(F.col("accepted"), F.coalesce("covered", none)).otherwise(none)})
+    return x.drop("_from", "_kinds", "_out")
 
 
 def summarize(audited: DataFrame, keys: Sequence[str], unit: float = 1.0) -> DataFrame:
@@ -123,13 +131,41 @@ def summarize(audited: DataFrame, keys: Sequence[str], unit: float = 1.0) -> Dat
     return audited.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if(ok).alias("accepted"), total((F.col("end") - F.col("start")) / unit).alias("input_seconds"), total(F.col("supervised")).alias("supervised_seconds"), F.sum("effective").alias("effective_seconds"), total(F.col("masked")).alias("masked_seconds"))
 
 
-def usable_seconds(recordings: DataFrame, regions: DataFrame, exclusions: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0) -> DataFrame:
-    """``recordings`` (keys, duration) with ``usable``: without unusable regions (disjoint), and without exclusions where these go beyond them."""
+def category_summary(audited: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, category, windows, available, covered): accepted windows of each category, events there are, and those in accepted windows.
+
+    One row for every category of each of the ``keys`` that has windows, zeros included; covered
+    counts an event once for each accepted window about it.
+    """
+    keys = list(keys)
+    ok = F.col("accepted")
+    own = audited.groupBy(*keys).agg(*[F.count_if(ok & (F.col("category") == c)).alias(f"w_{c}") for c in CATEGORIES], *[F.sum(F.col("covered")[c]).alias(f"c_{c}") for c in CATEGORIES[:-1]])
+    there = found.groupBy(*keys).agg(*[F.count_if(F.col("kind") == c).alias(f"a_{c}") for c in CATEGORIES[:-1]])
+    zero = F.lit(0).cast("bigint")
+    count = lambda k, c: zero if c == CATEGORIES[-1] and k != "w" else F.coalesce(F.col(f"{k}_{c}"), zero)
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), count("w", c).alias("windows"), count("a", c).alias("available"), count("c", c).alias("covered")) for c in CATEGORIES])
+    return own.join(there, keys, "left").select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+
+
+def rejection_summary(audited: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, reason, windows) of every reason, zeros included, for each of the ``keys`` that has windows."""
+    keys = list(keys)
+    own = audited.groupBy(*keys).agg(*[F.count_if(F.array_contains("rejections", r)).alias(r) for r in REJECTIONS])
+    return own.select(*keys, F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("windows")) for r in REJECTIONS])).alias("r")).select(*keys, "r.*")
+
+
+def usable_seconds(recordings: DataFrame, regions: DataFrame, exclusions: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, analysed: str | None = None) -> DataFrame:
+    """``recordings`` (keys, duration) with ``usable``: without unusable regions (disjoint), and without exclusions where these go beyond them.
+
+    ``analysed`` names a boolean column of the recordings; of one whose regions were never analysed nothing is usable.
+    """
     bad = regions.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("_bad"))
     part = intervals.overlap_join(exclusions, regions, keys, width).groupBy(*keys).agg(F.sum(F.col("to") - F.col("from")).alias("_both"))
     out = exclusions.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("_out"))
     x = recordings.join(bad, list(keys), "left").join(out, list(keys), "left").join(part, list(keys), "left").fillna(0, ["_bad", "_out", "_both"])
-    return x.withColumn("usable", F.greatest(F.lit(0.0), (F.col("duration") - F.col("_bad") - (F.col("_out") - F.col("_both"))) / unit)).drop("_bad", "_out", "_both")
+    seen = F.lit(True) if analysed is None else F.coalesce(F.col(analysed), F.lit(False))
+    left = F.greatest(F.lit(0.0), (F.col("duration") - F.col("_bad") - (F.col("_out") - F.col("_both"))) / unit)
+    return x.withColumn("usable", F.when(seen, left).otherwise(0.0)).drop("_bad", "_out", "_both")
 
 
 def pilot(totals: DataFrame) -> DataFrame:

@@ -156,15 +156,6 @@ def likelihood(improvement: Column, joint: Column, overlap: Column, cycles: Colu
     return 1 - F.exp(-(4 * improvement + 8 * joint + 1.5 * overlap + 0.025 * cycles + 0.15 * agree + 0.10 * variable) / 1.2)
 
 
-def piecewise_repair(windows: DataFrame, keys: Sequence[str], at: str, shift: str, tolerance: float = 1.25) -> DataFrame:
-    """Where a recording's shift changes once: medians before and after the largest step between neighbours, and the interval of the change."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    step = windows.withColumn("_prev", F.lag(shift).over(w)).withColumn("_from", F.lag(at).over(w))
-    top = step.where("_prev is not null").groupBy(*keys).agg(F.max_by(F.struct("_from", F.col(at).alias("_to")), F.struct(F.abs(F.col(shift) - F.col("_prev")), -F.col(at))).alias("_c"))
-    sides = windows.join(top, list(keys)).groupBy(*keys, F.col("_c._from").alias("change_from"), F.col("_c._to").alias("change_to")).agg(F.percentile(F.when(F.col(at) <= F.col("_c._from"), F.col(shift)), 0.5).alias("shift_before"), F.percentile(F.when(F.col(at) >= F.col("_c._to"), F.col(shift)), 0.5).alias("shift_after"))
-    return sides.where(F.abs(F.col("shift_after") - F.col("shift_before")) > tolerance)
-
-
 def shift_words(words: DataFrame, shift: Column, duration: Column) -> DataFrame:
     """Words moved by ``shift``, cut to [0, duration]; what is left empty vanishes."""
     zero = F.lit(0.0)

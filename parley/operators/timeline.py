@@ -161,9 +161,11 @@ def candidates(of_sources: DataFrame, of_windows: DataFrame, keys: Sequence[str]
     return x.select(*keys, "pattern", "full_shift", "recommended", F.least(F.lit(1.0), chance).alias("likelihood"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"))
 
 
-def anomaly(of_windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def anomaly(of_windows: DataFrame, keys: Sequence[str], recordings: DataFrame | None = None) -> DataFrame:
     """Per recording, from windows (keys, start, shift, confidence, persistence, reliable): kind and score of what is wrong.
 
+    ``recordings`` (keys): those without any window are uncertain, all numbers 0; without it they are missing.
+
     The strongest window is the surest, its shift counted up to two seconds. Sure, lasting and reliable
     windows that spread make a temporal change; a strong shift that some neighbour shares a stable
     offset; all else is uncertain. ``reliable``: accepted, and not at the end of the lags tried.
@@ -175,4 +177,5 @@ def anomaly(of_windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     kind = F.when(F.col("shift_range") >= MINIMUM_CHANGE, "temporal_change").when((F.col("_t.persistence") >= 2) & (F.col("_t.size") >= MINIMUM_SHIFT), "stable_offset").otherwise("uncertain")
     size = F.when(kind == "temporal_change", F.col("shift_range")).otherwise(F.col("_t.size"))
     score = F.when(kind == "uncertain", F.least(F.lit(0.19), 0.19 * F.col("_t.confidence"))).otherwise(F.least(F.lit(1.0), F.col("_t.confidence") * (0.5 + 0.5 * (1 - F.exp(-size / 4.0)))))
-    return x.select(*keys, kind.alias("kind"), "shift_range", F.col("_t.start").alias("strongest"), F.col("_t.shift").alias("shift"), score.alias("score"))
+    out = x.select(*keys, kind.alias("kind"), "shift_range", F.col("_t.start").alias("strongest"), F.col("_t.shift").alias("shift"), score.alias("score"))
+    return out if recordings is None else recordings.select(*keys).distinct().join(out, list(keys), "left").fillna("uncertain", ["kind"]).fillna(0.0, ["shift_range", "strongest", "shift", "score"])

@@ -74,7 +74,7 @@ z AS (SELECT sp.*, least(e, s + 2400000000) AS f, greatest(0.0::DOUBLE, (e - lea
 y AS (SELECT z.*, coalesce((SELECT sum(least(z.e, r.e) - greatest(z.f, r.s)) FROM rg r WHERE r.k = z.k AND r.s < z.e AND r.e > z.f) / 600000000.0::DOUBLE, 0.0) AS masked, EXISTS (SELECT 1 FROM ex WHERE ex.k = z.k AND ex.s < z.e AND ex.e > z.s) AS excl FROM z),
 c AS (SELECT z.k, z.s, z.e, list(DISTINCT kind) AS kinds, count(*) AS n FROM z JOIN ev ON ev.k = z.k AND ev.t >= z.f AND ev.t < z.e GROUP BY ALL),
 r AS (SELECT y.*, coalesce(c.n, 0) AS n, CASE WHEN list_contains(kinds, 'overlap_interruption') THEN 'overlap_interruption' WHEN list_contains(kinds, 'non_floor_feedback') THEN 'non_floor_feedback' WHEN list_contains(kinds, 'hold_pause') THEN 'hold_pause' WHEN list_contains(kinds, 'turn_shift') THEN 'turn_shift' ELSE 'background' END AS category,
-concat_ws(',', CASE WHEN sec < 8 THEN 'insufficient_supervised_duration' END, CASE WHEN prim < 0.9 THEN 'insufficient_primary_supervision' END, CASE WHEN fut < 0.95 THEN 'insufficient_future_supervision' END, CASE WHEN CASE WHEN sec > 0 THEN masked / sec ELSE 0 END > 0.35 THEN 'excessive_masking' END, CASE WHEN excl THEN 'human_review_exclusion' END) AS rejections FROM y LEFT JOIN c USING (k, s, e)),
+CASE WHEN y.k % 8 = 0 THEN 'missing_region_analysis' ELSE concat_ws(',', CASE WHEN sec < 8 THEN 'insufficient_supervised_duration' END, CASE WHEN prim < 0.9 THEN 'insufficient_primary_supervision' END, CASE WHEN fut < 0.95 THEN 'insufficient_future_supervision' END, CASE WHEN CASE WHEN sec > 0 THEN masked / sec ELSE 0 END > 0.35 THEN 'excessive_masking' END, CASE WHEN excl THEN 'human_review_exclusion' END) END AS rejections FROM y LEFT JOIN c USING (k, s, e)),
 audited AS (SELECT *, CASE WHEN rejections = '' THEN greatest(0.0, sec * prim - masked) ELSE 0.0 END AS effective FROM r)"""
 
 
@@ -87,10 +87,11 @@ def _exclusions(spark, d):
 
 
 def _audited(spark, d):
-    return au.audit_windows(_supervised(spark, d), _events(spark, d), _regions(spark, d), _exclusions(spark, d), K, BUCKET, S)
+    windows = _supervised(spark, d).withColumn("analysed", F.col("k") % 8 > 0)
+    return au.audit_windows(windows, _events(spark, d), _regions(spark, d), _exclusions(spark, d), K, BUCKET, S, analysed="analysed")
 
 
-@query(f"""WITH {BASE}, {AUDIT} SELECT k, s AS "start", e AS "end", round(sec, 6) AS supervised, round(masked, 6) AS masked, category, rejections, CASE WHEN rejections = '' THEN n ELSE 0 END AS n_events, round(effective, 6) AS effective FROM audited""")
+@query(f"""WITH {BASE}, {AUDIT} SELECT k, s AS "start", e AS "end", round(sec, 6) AS supervised, CASE WHEN k % 8 = 0 THEN 0.0 ELSE round(masked, 6) END AS masked, category, rejections, CASE WHEN rejections = '' THEN n ELSE 0 END AS n_events, round(effective, 6) AS effective FROM audited""")
 def audit_windows(spark, d):
     r = [F.round(c, 6).alias(c) for c in ("supervised", "masked", "effective")]
     return _audited(spark, d).select("k", "start", "end", "category", F.array_join("rejections", ",").alias("rejections"), "n_events", *r)
@@ -102,12 +103,24 @@ def audit_conversations(spark, d):
     return x.select("k", "candidates", "accepted", *[F.round(c, 4).alias(c) for c in ("input_seconds", "effective_seconds", "masked_seconds")])
 
 
+@query(f"""WITH {BASE}, {AUDIT}, g AS (SELECT DISTINCT k FROM audited), a AS (SELECT k, kind, count(*) AS n FROM ev GROUP BY ALL), v AS (SELECT z.k, kind, count(*) AS n FROM audited z JOIN ev ON ev.k = z.k AND ev.t >= z.f AND ev.t < z.e WHERE rejections = '' GROUP BY ALL), wi AS (SELECT k, category AS kind, count(*) AS n FROM audited WHERE rejections = '' GROUP BY ALL)
+SELECT g.k, c.kind AS category, coalesce(wi.n, 0) AS windows, coalesce(a.n, 0) AS available, coalesce(v.n, 0) AS covered FROM g CROSS JOIN (SELECT unnest(['overlap_interruption', 'non_floor_feedback', 'hold_pause', 'turn_shift', 'background']) AS kind) c LEFT JOIN wi ON wi.k = g.k AND wi.kind = c.kind LEFT JOIN a ON a.k = g.k AND a.kind = c.kind LEFT JOIN v ON v.k = g.k AND v.kind = c.kind""")
+def audit_categories(spark, d):
+    return au.category_summary(_audited(spark, d), _events(spark, d), K)
+
+
+@query(f"""WITH {BASE}, {AUDIT}, r1 AS (SELECT k % 10 AS g, unnest(string_split(rejections, ',')) AS reason FROM audited WHERE rejections != ''), g AS (SELECT DISTINCT k % 10 AS g FROM audited)
+SELECT g.g, r.reason, count(r1.reason) AS windows FROM g CROSS JOIN (SELECT unnest(['missing_region_analysis', 'insufficient_supervised_duration', 'insufficient_primary_supervision', 'insufficient_future_supervision', 'excessive_masking', 'human_review_exclusion']) AS reason) r LEFT JOIN r1 ON r1.g = g.g AND r1.reason = r.reason GROUP BY ALL""")
+def audit_rejections(spark, d):
+    return au.rejection_summary(_audited(spark, d).withColumn("g", F.col("k") % 10), ["g"])
+
+
 @query(f"""WITH {BASE}, {EVENTS}, rg AS (SELECT k, s, e FROM u2 WHERE e - s >= 300000000), ex AS (SELECT k, s, e FROM brief2 WHERE s // 1000000 % 4 = 0), rec AS (SELECT k, max(e) - min(s) AS duration FROM spans GROUP BY k),
 x AS (SELECT k, sum(greatest(0, e - s - coalesce(o, 0))) AS out FROM (SELECT ex.*, (SELECT sum(least(ex.e, r.e) - greatest(ex.s, r.s)) FROM rg r WHERE r.k = ex.k AND r.s < ex.e AND r.e > ex.s) AS o FROM ex) GROUP BY k), b AS (SELECT k, sum(e - s) AS bad FROM rg GROUP BY k)
-SELECT k, round(greatest(0.0, (duration - coalesce(bad, 0) - coalesce(out, 0)) / 600000000.0::DOUBLE), 6) AS usable FROM rec LEFT JOIN b USING (k) LEFT JOIN x USING (k)""")
+SELECT k, CASE WHEN k % 8 = 0 THEN 0.0 ELSE round(greatest(0.0, (duration - coalesce(bad, 0) - coalesce(out, 0)) / 600000000.0::DOUBLE), 6) END AS usable FROM rec LEFT JOIN b USING (k) LEFT JOIN x USING (k)""")
 def usable_seconds(spark, d):
-    rec = spans(spark, d).groupBy("k").agg((F.max("end") - F.min("start")).alias("duration"))
-    return au.usable_seconds(rec, _regions(spark, d), _exclusions(spark, d), K, BUCKET, S).select("k", F.round("usable", 6).alias("usable"))
+    rec = spans(spark, d).groupBy("k").agg((F.max("end") - F.min("start")).alias("duration")).withColumn("analysed", F.col("k") % 8 > 0)
+    return au.usable_seconds(rec, _regions(spark, d), _exclusions(spark, d), K, BUCKET, S, "analysed").select("k", F.round("usable", 6).alias("usable"))
 
 
 @query("""SELECT metric, current, target, current >= target AS ready FROM (SELECT unnest([{'metric': 'usable_hours', 'current': sum(value), 'target': 100.0}, {'metric': 'turn_shifts', 'current': count(*)::DOUBLE, 'target': 20000.0}, {'metric': 'hold_pauses', 'current': count(*) FILTER (event_type = 'view')::DOUBLE, 'target': 20000.0},
@@ -200,11 +213,11 @@ def synchronization_candidates(spark, d):
     return x.select("vec_id", "pattern", "recommended", *[F.round(c, 6).alias(c) for c in ("full_shift", "likelihood", "confidence")])
 
 
-@query(f"""WITH x AS (SELECT user_id AS k, epoch_us(ts) AS s, round((value - 50) / 20.0, 3)::DOUBLE AS shift, (event_id % 100) / 100.0::DOUBLE AS c, event_id % 5 AS p, event_id % 3 > 0 AS ok FROM events),
+@query(f"""WITH x AS (SELECT user_id AS k, epoch_us(ts) AS s, (event_id * 37 % 6001 - 3000) / 1000.0::DOUBLE AS shift, (event_id % 100) / 100.0::DOUBLE AS c, event_id % 5 AS p, event_id % 3 > 0 AS ok FROM events),
 t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c * least(1.0::DOUBLE, abs(shift) / 2.0) DESC, abs(shift) DESC, s, shift DESC, c DESC, p DESC) AS place FROM x), r AS (SELECT k, coalesce(max(shift) FILTER (ok AND p >= 3 AND c >= 0.65) - min(shift) FILTER (ok AND p >= 3 AND c >= 0.65), 0.0) AS rg FROM x GROUP BY k),
 y AS (SELECT t.*, rg, CASE WHEN rg >= 1 THEN 'temporal_change' WHEN p >= 2 AND abs(shift) >= 0.3 THEN 'stable_offset' ELSE 'uncertain' END AS kind FROM t JOIN r USING (k) WHERE place = 1)
 SELECT k, kind, round(rg, 6) AS shift_range, round(shift, 6) AS shift, round(CASE kind WHEN 'uncertain' THEN least(0.19, 0.19 * c) ELSE least(1.0, c * (0.5 + 0.5 * (1 - exp(-CASE kind WHEN 'temporal_change' THEN rg ELSE abs(shift) END / 4.0)))) END, 6) AS score FROM y""")
 def synchronization_audit(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    x = table(spark, d, "events").select(F.col("user_id").alias("k"), at.alias("start"), F.round((F.col("value") - 50) / 20.0, 3).alias("shift"), ((F.col("event_id") % 100) / F.lit(100.0)).alias("confidence"), (F.col("event_id") % 5).alias("persistence"), (F.col("event_id") % 3 > 0).alias("reliable"))
+    x = table(spark, d, "events").select(F.col("user_id").alias("k"), at.alias("start"), ((F.col("event_id") * 37 % 6001 - 3000) / F.lit(1000.0)).alias("shift"), ((F.col("event_id") % 100) / F.lit(100.0)).alias("confidence"), (F.col("event_id") % 5).alias("persistence"), (F.col("event_id") % 3 > 0).alias("reliable"))
     return tl.anomaly(x, K).select("k", "kind", *[F.round(c, 6).alias(c) for c in ("shift_range", "shift", "score")])

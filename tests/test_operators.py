@@ -181,12 +181,9 @@ def test_lag(spark):
     assert abs(e.shift + 0.69) < 1e-9 and e.accepted
 
 
-def test_weighted_median_and_repair(spark):
+def test_weighted_median(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (1, 2.0, 1.0), (1, 3.0, 5.0)], "k int, v double, w double")
     assert sync.weighted_median(df, ["k"], "v", "w").first()[1] == 3.0
-    w = spark.createDataFrame([(1, float(i * 60), 0.1 if i < 5 else 3.1) for i in range(10)], "k int, at double, shift double")
-    r = sync.piecewise_repair(w, ["k"], "at", "shift").first()
-    assert (r.change_from, r.change_to, r.shift_before, r.shift_after) == (240.0, 300.0, 0.1, 3.1)
 
 
 def test_catalogue(spark):

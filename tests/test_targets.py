@@ -119,3 +119,33 @@ def test_text_evaluation(spark):
     m = spark.createDataFrame([((0, 2), [(0.0, 0.5), (0.6, 1.0), (1.25, 2.0)])], "m struct<first:int,end:int>, w array<struct<start:double,end:double>>")
     y = m.select(text.placement("m", "w", "backchannel", F.lit(200)).alias("a"), text.placement("m", "w", "before_last_word", F.lit(900)).alias("b"), text.pause_after("m", "w").alias("c")).first()
     assert (y.a, y.b, y.c) == (1.2, 0.0, 250)
+
+
+def test_windows_without_region_analysis(spark):
+    """Rejected for that alone; nothing of their recordings is usable."""
+    from parley.operators import audit
+
+    w = spark.createDataFrame([(1, 0.0, 20.0, 1.0, 1.0, True), (2, 0.0, 20.0, 0.1, 0.1, False), (3, 0.0, 20.0, 1.0, 1.0, None)], "k int, start double, end double, primary double, future double, seen boolean")
+    found = spark.createDataFrame([(1, "turn_shift", 10.0), (1, "hold_pause", 12.0), (1, "hold_pause", 2.0), (2, "hold_pause", 12.0)], "k int, kind string, time double")
+    regions = spark.createDataFrame([(1, 18.0, 20.0), (2, 10.0, 20.0)], "k int, start double, end double")
+    none = regions.where("false")
+    out = {r.k: r for r in audit.audit_windows(w, found, regions, none, ["k"], 30.0, analysed="seen").collect()}
+    assert (out[1].accepted, out[1].masked, out[1].effective, out[1].n_events, out[1].category) == (True, 2.0, 14.0, 2, "hold_pause")
+    assert out[1].covered == {"overlap_interruption": 0, "non_floor_feedback": 0, "hold_pause": 1, "turn_shift": 1}
+    for k in (2, 3):
+        assert (out[k].rejections, out[k].accepted, out[k].masked, out[k].effective, out[k].n_events) == (["missing_region_analysis"], False, 0.0, 0.0, 0)
+    audited = audit.audit_windows(w, found, regions, none, ["k"], 30.0, analysed="seen")
+    n = {(r.k, r.category): (r.windows, r.available, r.covered) for r in audit.category_summary(audited, found, ["k"]).collect()}
+    assert n[1, "hold_pause"] == (1, 2, 1) and n[1, "turn_shift"] == (0, 1, 1) and n[2, "hold_pause"] == (0, 1, 0) and n[3, "background"] == (0, 0, 0) and len(n) == 15
+    assert {(r.reason, r.windows) for r in audit.rejection_summary(audited.withColumn("all", F.lit(1)), ["all"]).collect() if r.windows} == {("missing_region_analysis", 2)}
+    rec = spark.createDataFrame([(1, 100.0, True), (2, 100.0, False), (3, 50.0, None)], "k int, duration double, seen boolean")
+    assert {r.k: r.usable for r in audit.usable_seconds(rec, regions, none, ["k"], 30.0, analysed="seen").collect()} == {1: 98.0, 2: 0.0, 3: 0.0}
+
+
+def test_recordings_without_windows_have_no_anomaly(spark):
+    from parley.operators import timeline
+
+    w = spark.createDataFrame([(1, 0.0, 2.0, 0.9, 3, True)], "k int, start double, shift double, confidence double, persistence int, reliable boolean")
+    rec = spark.createDataFrame([(1,), (2,)], "k int")
+    out = {r.k: (r.kind, r.score, r.shift) for r in timeline.anomaly(w, ["k"], rec).collect()}
+    assert out[2] == ("uncertain", 0.0, 0.0) and out[1][0] == "stable_offset"
