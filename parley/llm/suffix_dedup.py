@@ -8,7 +8,10 @@ A byte goes if a ``WINDOW``-byte (50) string over it also starts in a document w
 2. Equal contexts under one anchor hash are collapsed: of a class only the smallest document
    stays, and every other member's context goes as a whole, as a smaller document has all of it.
    This is done within each batch before the shuffle, so copies do not gather anywhere. Anchors that
-   a sample shows to be frequent are dealt by their contexts as well.
+   a sample shows to be frequent are dealt by their contexts as well. Hashes only propose: within a
+   batch a member's bytes are compared with those of the one that stays; between batches, contexts
+   that go on from each other with one distance to one document are joined to runs, that document's bytes
+   are cut out and sent to the member's text, and only bytes that agree there go.
 3. What is left under an anchor hash is one representative for each different context. Where
    there are two or more, their bytes are concatenated and their suffixes sorted in two stages:
    only suffixes smaller than their successors are sorted directly, the rest are induced by
@@ -32,7 +35,7 @@ from parley.llm.common import materialize, packed, partitions_for, small_batches
 
 WINDOW = 50
 GRAM = 16
-#: Bytes that are kept of gram and context hashes; two contexts are taken for equal if both agree.
+#: Bytes that are kept of gram and context hashes; contexts are compared byte by byte if both agree.
 HASH_BYTES = (6, 7)
 K_MASK, CTX_MASK = (np.uint64((1 << 8 * n) - 1) for n in HASH_BYTES)
 #: Bytes of text whose anchors are collapsed together before the shuffle.
@@ -197,7 +200,20 @@ class Rows:
 
     @classmethod
     def of(cls, parts: list[Rows]) -> Rows:
-        return cls(**{c: np.concatenate([getattr(x, c) for x in parts]) for c in cls.NAMES})
+        return cls(**{c: np.concatenate([getattr(x, c) for x in parts]) for c in parts[0].cols})
+
+    def agree(self, other: Rows, data: np.ndarray) -> np.ndarray:
+        """Whether each row's context has the bytes of the other's; both have ``g``, the anchor's place in ``data``."""
+        same = (self.head == other.head) & (self.tail == other.tail)
+        for lo in range(0, len(self), 1 << 15):
+            at = np.flatnonzero(same[lo : lo + (1 << 15)]) + lo
+            if len(at):
+                size = self.head[at] + self.tail[at]
+                i = np.arange(int(size.max()))
+                inside = i < size[:, None]
+                place = lambda rows: np.where(inside, (rows.g[at] - rows.head[at])[:, None] + i, 0)  # noqa: B023, E731
+                same[at] = ((data[place(self)] == data[place(other)]) | ~inside).all(1)
+        return same
 
     def classes(self) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order of class and document; where a class begins; each row's class; rows of its class's smallest document."""
@@ -238,21 +254,24 @@ class Rows:
         return cls(k=wide(hashes[:, : HASH_BYTES[0]]), ctx=wide(hashes[:, HASH_BYTES[0] :]), doc=doc, row=row, p=p, head=rest[at : at + n].astype(np.int64), tail=rest[at + n :].astype(np.int64))
 
 
-def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Span rows, with those of one row that touch made one."""
-    order = np.lexsort((a, row))
-    row, a, b = row[order], a[order], b[order]
+def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
+    """Span rows, with those of one row that touch made one; where ``of`` is given, spans to be compared with that row's bytes ``shift`` further on."""
+    known = of is None
+    of, shift = (np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)) if known else (of, shift)
+    order = np.lexsort((a, shift, of, row))
+    row, a, b, of, shift = (x[order] for x in (row, a, b, of, shift))
     if len(row):
         new = np.ones(len(row), bool)
-        new[1:] = row[1:] != row[:-1]
+        new[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (shift[1:] != shift[:-1])
         reach = b + (np.cumsum(new) << 40)
         reach = np.maximum.accumulate(reach)
         new[1:] |= a[1:] > (reach[:-1] & ((1 << 40) - 1))
         first = np.flatnonzero(new)
         last = np.append(first[1:] - 1, len(row) - 1)
-        row, a, b = row[first], a[first], reach[last] & ((1 << 40) - 1)
+        row, a, b, of, shift = row[first], a[first], reach[last] & ((1 << 40) - 1), of[first], shift[first]
     n = len(row)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(row), pa.array(a.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
+    doc, p = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if known else (pa.array(of), pa.array(shift.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pa.array(row), pa.array(a.astype(np.int32)), p, pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
 
 
 def frequent_anchors(docs: DataFrame, n_bytes: int, window: int, gram: int) -> np.ndarray:
@@ -275,22 +294,26 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int, hot: np.nda
     """(part, anchors, spans): packed anchors by hash, those of ``hot`` by context as well, and Arrow bytes of spans already known to go."""
 
     def emit(batches):
-        held, size = [], 0
+        held, raw, size = [], [], 0
         for batch in batches:
             doc, row = _column(batch, "doc"), _column(batch, "row")
             for lo, _, data, off in tv.chunks(batch.column("text")):
                 text, p, h, ctx = anchors(data, off, window, gram)
                 at, n = p - off[text], np.diff(off)[text]
-                held.append(Rows(k=h & K_MASK, ctx=ctx & CTX_MASK, doc=doc[lo + text], row=row[lo + text], p=at, head=np.minimum(at, window - gram), tail=np.minimum(n - at, window)))
+                held.append(Rows(k=h & K_MASK, ctx=ctx & CTX_MASK, doc=doc[lo + text], row=row[lo + text], p=at, head=np.minimum(at, window - gram), tail=np.minimum(n - at, window), g=p + size))
+                raw.append(data.copy())
                 size += len(data)
                 if size >= BATCH_BYTES:
-                    yield from collapsed(held)
-                    held, size = [], 0
+                    yield from collapsed(held, raw)
+                    held, raw, size = [], [], 0
         if held:
-            yield from collapsed(held)
+            yield from collapsed(held, raw)
 
-    def collapsed(held):
-        rows, _, _, least = Rows.of(held).classes()
+    def collapsed(held, raw):
+        rows, new, cls, least = Rows.of(held).classes()
+        # What stands for a class here may not be equal after all; such rows go on.
+        other = np.flatnonzero(~least)
+        least[other[~rows[other].agree(rows[np.flatnonzero(new)[cls[other]]], np.concatenate(raw))]] = True
         gone = rows[~least]
         rows = rows[least]
         at = rows.k + np.where(np.isin(rows.k, hot), rows.ctx % np.uint64(SALTS), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)
@@ -315,7 +338,7 @@ CLASSES = "k bigint, doc bigint, row bigint, a int, p int, b int, others array<i
 
 
 def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
-    """Spans to go (k null), and of each anchor hash with several classes one row for each, with the other places that hold it."""
+    """Spans to go (k null), those with a doc if that row's bytes p further on agree, and of each anchor hash with several classes one row for each, with the other places that hold it."""
 
     def reduce(batches):
         now, parts = None, []
@@ -335,8 +358,8 @@ def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
             return
         rows, new, cls, least = Rows.of(parts).classes()
         parts.clear()
-        gone = rows[~least]
-        yield _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail)
+        gone, lead = rows[~least], rows[np.flatnonzero(new)[cls[~least]]]
+        yield _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail, lead.row, lead.p - gone.p)
         hk = rows.k[new]
         several = np.isin(hk, hot)  # their other classes may be elsewhere
         same = hk[1:] == hk[:-1]
@@ -413,6 +436,30 @@ def dealt_out(contexts: DataFrame, window: int) -> DataFrame:
     return gone.select("row", (F.col("s") + F.col("shift")).cast("int").alias("a"), (F.col("s") + F.col("shift") + window).cast("int").alias("b"))
 
 
+def cut_runs(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+    """Of each text the bytes that runs of other rows are to be compared with."""
+    out = []
+    for text, rows in zip(texts, wanted.to_pylist(), strict=True):
+        raw = (text.as_py() or "").encode()
+        out.append([{"row": r["row"], "a": r["a"], "b": r["b"], "bytes": raw[max(0, r["a"] + r["p"]) : max(0, r["b"] + r["p"])]} for r in rows])
+    return pa.array(out, pa.list_(pa.struct([("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.binary())])))
+
+
+RUNS = "array<struct<row:bigint,a:int,b:int,bytes:binary>>"
+#: Parts that the runs which one text is compared with are dealt to.
+RUN_PARTS = 64
+
+
+def agreeing(raw: bytes, a: int, b: int, other: bytes, window: int) -> list[tuple[int, int]]:
+    """Parts of [a, b), a window long at least, in which ``raw`` has the bytes of ``other``."""
+    if raw[a:b] == other:
+        return [(a, b)]
+    n = min(b - a, len(other))
+    same = np.frombuffer(raw[a : a + n], np.uint8) == np.frombuffer(other[:n], np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return [(a + int(s), a + int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True) if e - s >= window]
+
+
 PIECES = "array<struct<k:bigint,doc:bigint,a:int,p:int,others:array<int>,bytes:binary>>"
 CUT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
@@ -426,7 +473,7 @@ def cut_contexts(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(kind))
 
 
-def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def cut_spans(texts: pa.Array, spans: pa.Array, window: int = WINDOW) -> pa.Array:
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for text, runs in zip(texts, spans, strict=True):
         raw = (text.as_py() or "").encode()
@@ -438,6 +485,17 @@ def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
             continue
         flat = runs.values
         a, b = flat.field("a").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False)
+        held = flat.field("bytes")
+        ask = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
+        if len(ask):
+            parts = [x for i in ask.tolist() for x in agreeing(raw, int(a[i]), int(b[i]), held[i].as_py(), window)]
+            more = np.array(parts, np.int64).reshape(-1, 2)
+            a, b = (np.concatenate([np.delete(x, ask), y]) for x, y in ((a, more[:, 0]), (b, more[:, 1])))
+        if not len(a):
+            n_removed.append(0)
+            n_spans.append(0)
+            kept.append(raw)
+            continue
         order = np.argsort(a, kind="stable")
         a, b = a[order], np.maximum.accumulate(b[order])
         first = np.concatenate([[True], a[1:] > b[:-1]])
@@ -479,14 +537,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wanted = contexts.groupBy("row").agg(F.collect_list(F.struct("k", "doc", "a", "p", "b", "others")).alias("wanted"))
         return texts.join(wanted, "row").select("row", F.explode(F.arrow_udf(cut_contexts, PIECES)("text", "wanted")).alias("x")).select("row", "x.*")
 
-    spans = found.where(F.col("k").isNull()).select("row", "a", "b")
+    whole = found.where(F.col("k").isNull())
+    spans = whole.where(F.col("doc").isNull()).select("row", "a", "b")
+    asked = whole.where(F.col("doc").isNotNull()).groupBy("doc", F.pmod(F.xxhash64("row"), F.lit(RUN_PARTS)).alias("_part")).agg(F.collect_list(F.struct("row", "a", "b", "p")).alias("wanted"))
+    runs = texts.join(asked.select(F.col("doc").alias("row"), "wanted"), "row").select(F.explode(F.arrow_udf(cut_runs, RUNS)("text", "wanted")).alias("x")).select("x.*")
     if crowded.isEmpty():
         spans = spans.unionByName(sorted_out(pieces(left), n, window))
     else:  # of rows / crowd anchors at most, so they are broadcast
         few = F.broadcast(crowded)
         spans = spans.unionByName(sorted_out(pieces(left.join(few, "k", "left_anti")), n, window)).unionByName(dealt_out(pieces(left.join(few, "k", "left_semi")), window))
-    gone = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    cut = texts.join(gone, "row", "left").select(F.col("row").alias("_key"), F.arrow_udf(cut_spans, CUT)("text", "gone").alias("_cut"))
+    spans = spans.withColumn("bytes", F.lit(None).cast("binary")).unionByName(runs)
+    gone = spans.groupBy("row").agg(F.collect_list(F.struct("a", "b", "bytes")).alias("gone"))
+
+    @F.arrow_udf(CUT)
+    def cutting(text: pa.Array, gone: pa.Array) -> pa.Array:
+        return cut_spans(text, gone, window)
+
+    cut = texts.join(gone, "row", "left").select(F.col("row").alias("_key"), cutting("text", "gone").alias("_cut"))
     rest = docs.drop(text_col)
     light = docs.select(packed(rest, "_cut"), row.alias("_own"))
     if unique and rest.columns == [id_col] and docs.schema[id_col].dataType.simpleString() == "bigint":

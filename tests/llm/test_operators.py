@@ -248,6 +248,30 @@ def test_suffix_dedup_frequent_anchors(spark):
     assert got(suffix_dedup.suffix_dedup(df, crowd=100), *cols) == expected
 
 
+def test_suffix_dedup_compares_bytes(spark, monkeypatch):
+    """With hashes of contexts that agree by chance all the time, no byte goes that should stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(3))
+    rows = [(i, f"{word()} {word()} {word()} {word()} {word()} {word()} {passage} {word()} {word()} {word()} {word()} {word()} {word()}") for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]
+    monkeypatch.setattr(suffix_dedup, "CTX_MASK", suffix_dedup.np.uint64(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r[0]: r[1] for r in suffix_dedup.suffix_dedup(df).select("doc_id", "_cut.n_removed").collect()}
+    # The passage, 23 bytes and the spaces around it, is shared and shorter than a window.
+    assert all(out[i] == 0 for i in range(150)) and sum(out[200 + i] for i in range(20)) > 0
+
+
+def test_agreeing_parts():
+    a = bytes(range(200))
+    assert suffix_dedup.agreeing(a, 10, 150, a[10:150], 50) == [(10, 150)]
+    b = bytearray(a[10:150])
+    b[60] ^= 1
+    assert suffix_dedup.agreeing(a, 10, 150, bytes(b), 50) == [(10, 70), (71, 150)]
+    b[30] ^= 1
+    assert suffix_dedup.agreeing(a, 10, 150, bytes(b[:100]), 50) == []
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     t = "the quick brown fox jumps over the lazy dog and runs far away from here at once"
     rows = [(2, t), (2, t), (2, "zz " + t), (None, t), (9, t), (1, "short")]
