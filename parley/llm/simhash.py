@@ -260,24 +260,30 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row for each class of near-duplicates (shingle sets of similarity 0.8 or more, exactly): that of smallest id.
 
-    Ids are integers. Of rows that repeat one id any single one stays. Rows without an id are never
-    dropped. Texts without words are alike; an empty table gives an empty result. Other columns are kept.
+    Ids are integers. Rows that repeat an id are documents of their own: equal ones are one class,
+    of others each stays that nothing smaller is like; among rows of one id, that of smaller text hash
+    counts as smaller. Rows without an id are never dropped. Texts without words are alike; an empty
+    table gives an empty result. Texts of any length are compared whole. Other columns are kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
     named = F.col(id_col).isNotNull()
-    rest = docs.where(named)
+    rest, key = docs.where(named), id_col
     if not rest.groupBy(id_col).count().where("count > 1").isEmpty():
-        rest = materialize(rest.dropDuplicates([id_col]), "single-ids")
+        # A number in order of id and text stands for the id.
+        key, order = "_place", [F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))]
+        key += "_" * sum(c.lower().startswith(key) for c in docs.columns)
+        size = rest.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+        rest = materialize(rest.repartitionByRange(partitions_for(spark, size), *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "single-ids")
     n_bytes = rest.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     n = partitions_for(spark, n_bytes)
     # Dealt by id once; no join below moves texts again but for the pairs that are compared.
-    base = bucketed(rest.repartition(n, id_col), n, id_col, "documents")
+    base = bucketed(rest.repartition(n, key), n, key, "documents")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = base.select(F.col(id_col).alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
+    own = base.select(F.col(key).alias("rep"), F.when(text.rlike(r"^\s*$"), "").otherwise(text).alias("text"))
     with scratch(spark):
         nodes = bucketed(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep").repartition(n, "rep"), n, "rep", "nodes")
         texts = own.join(nodes.hint("merge"), "rep", "left_semi")
         gone = components(similar_pairs(texts, shingle, components, n)).where("root != node").select(F.col("node").alias("rep"))
         stay = kept(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
-    return base.alias("_all_rows").join(stay, F.col(f"_all_rows.{id_col}") == F.col("_kept_ids.rep"), "left_semi").unionByName(docs.where(~named))
+    return base.alias("_all_rows").join(stay, F.col(f"_all_rows.{key}") == F.col("_kept_ids.rep"), "left_semi").select(*[F.col(f"_all_rows.`{c}`") for c in docs.columns]).unionByName(docs.where(~named))

@@ -208,6 +208,67 @@ def test_keep_one(spark):
     assert got(out, "doc_id") == want([(1,), (3,), (None,)])
 
 
+def test_keep_one_loses_no_row_of_a_repeated_id(spark):
+    """Rows of one id with unlike texts all stay, whatever the order of rows."""
+    one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in ("alpha", "beta"))
+    rows = [(1, one, "x"), (1, two, "y"), (1, one, "z"), (2, two, "w"), (3, "short text", "v")]
+    for order in (rows, rows[::-1]):
+        out = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, _place string").repartition(2))
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, one), (1, two), (3, "short text")])
+
+
+def all_pairs_classes(texts, shingle=5):
+    """Smallest index of each text's class, every pair compared."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) > shingle else ({tuple(w)} if w else set()) for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_is_exact_over_all_pairs(spark):
+    """The whole table of the smallest scale: the documents that stay are those of an all-pairs comparison."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(5)
+    for i in range(0, 200, 4):  # near copies in chains, each of the one before
+        words = (rows[i][1] or "").split()
+        for k in range(3):
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)) if words else []:
+                words[at] = f"edit{i}{k}"
+            rows.append((10_000 + 10 * i + k, " ".join(words)))
+    root = all_pairs_classes([t for _, t in rows])
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id").collect()}
+    assert kept == {rows[i][0] for i in range(len(rows)) if root[i] == i}
+
+
+def test_keep_one_in_a_crowd(spark):
+    """Many near copies of one text, edited each at its own places, and one passage in all other texts."""
+    rng = random.Random(6)
+    base = [f"c{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), 2):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:20] + [f"o{rng.randrange(10**6)}" for _ in range(90)])) for i in range(120)]
+    root = all_pairs_classes([t for _, t in rows])
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id").collect()}
+    assert kept == {rows[i][0] for i in range(len(rows)) if root[i] == i}
+
+
 def test_keep_one_finds_near_copies(spark):
     rng = random.Random(8)
     rows = []
