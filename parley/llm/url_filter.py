@@ -26,7 +26,7 @@ from parley.llm.common import packed
 #: Symbols 1 to 40; symbol 0 is any other character, and stands before the first.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-?"
 SYMBOLS = len(ALPHABET) + 1
-#: One labelled URL in this many calibrates the threshold and is not learnt from.
+#: One host in this many calibrates the threshold; its URLs are not learnt from.
 CALIBRATION = 5
 #: Share of accepted URLs that the threshold may cost.
 MAX_LOSS = 0.01
@@ -65,6 +65,16 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
+def unnamed(url: Column, host: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    """The URL after its ``://`` without what rules look at: as many last labels of the host, first segments of the path and characters after them as any rule names, whatever they are."""
+    starts = [r.partition("/")[2] for _, r in rules]
+    labels = max((r.partition("/")[0].count(".") + 1 for _, r in rules), default=0)
+    segments, chars = max((s.count("/") for s in starts), default=0), max((len(s.rpartition("/")[2]) for s in starts), default=0)
+    host_rest = F.array_join(F.slice(F.split(host, r"\."), 1, F.greatest(F.lit(0), F.size(F.split(host, r"\.")) - labels)), ".")
+    path_rest = F.regexp_replace(path, f"^(?:/[^/]*){{0,{segments}}}/?[^/]{{0,{chars}}}", "")
+    return F.concat(host_rest, F.lit("/"), path_rest, F.regexp_extract(rest_of(url), "(?s)[?#].*$", 0))
+
+
 def symbols(url: Column) -> Column:
     """The URL as an array of symbols."""
     chars = F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), ""), lambda c: c != "")
@@ -115,12 +125,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], label: Column | None =
     threshold. The models learn from the verdicts of the rules, or from ``label`` (allow, block or
     null, an expression over columns host, path and by_rule) where one is given. A null URL, or one
     without ``://``, has an empty host and path, meets no rule and trains no model; scored on its
-    characters, a null scores 0. Repeated rows are judged alike, each on its own. An empty table gives
+    characters, all of them however many, a null scores 0. Repeated rows are judged alike, each on its own. An empty table gives
     an empty result; with nothing to learn rejected or accepted URLs from, the models block nothing.
     Other columns are kept and not read; an input column ``_url`` is replaced.
     """
     url = F.col(url_col).cast("string")
-    own = pages.select(packed(pages, "_url"), host_of(url).alias("host"), path_of(url).alias("path"), symbols(url).alias("codes"), F.pmod(F.xxhash64(url), F.lit(CALIBRATION)).alias("share"))
+    own = pages.select(packed(pages, "_url"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    text = F.when(F.col("host") == "", F.col("url")).otherwise(unnamed(F.col("url"), F.col("host"), F.col("path"), rules))
+    own = own.select("_row", "host", "path", symbols(text).alias("codes"), F.pmod(F.xxhash64("host"), F.lit(CALIBRATION)).alias("share"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = own.select("_row", "host", "path", "share", grams("codes").alias("grams"), rule.alias("rule"), verdict.alias("by_rule"))
     kind = F.col("by_rule") if label is None else label
