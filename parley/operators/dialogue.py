@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parley.functions.scalar import hash_order
@@ -55,57 +54,9 @@ def pending_calls(messages: DataFrame, key: str, order: str) -> DataFrame:
     return messages.withColumn("open_calls", F.coalesce(F.sum(F.col("n_calls") - F.col("n_results")).over(w), F.lit(0)))
 
 
-def pack(sizes: Sequence[int], least: int, most: int) -> list[int]:
-    """Group number of each item: items in order fill a group up to ``most``; leftovers under ``least`` go to the fullest group that can take them, else stay."""
-    groups: list[list[int]] = []
-    total = 0
-    for i, n in enumerate(sizes):
-        if not groups or total + n > most:
-            groups.append([])
-            total = 0
-        groups[-1].append(i)
-        total += n
-    filled = [sum(sizes[i] for i in g) for g in groups]
-    for g in [g for g in range(len(groups)) if filled[g] < least]:
-        fits = [h for h in range(len(groups)) if h != g and groups[h] and filled[h] >= least and filled[h] + filled[g] <= most]
-        if fits:
-            h = max(fits, key=lambda x: filled[x])
-            groups[h] += groups[g]
-            filled[h] += filled[g]
-            groups[g], filled[g] = [], 0
-    out = [0] * len(sizes)
-    for number, g in enumerate(x for x in groups if x):
-        for i in g:
-            out[i] = number
-    return out
-
-
-def compose(dialogues: DataFrame, key: str, group: Sequence[str], size: str, seed: str, least: int = 8, most: int = 16, cell: int = 1000) -> DataFrame:
-    """(group, cell, composition, key, place): dialogues packed into longer histories in a repeatable random order.
-
-    Packing is sequential, so each group is dealt to cells of about ``cell`` dialogues first.
-    """
-    order = hash_order(seed, key)
-    n = dialogues.groupBy(*group).agg(F.greatest(F.floor(F.count("*") / cell), F.lit(1)).alias("_cells"))
-    dealt = dialogues.select(key, *group, F.col(size).cast("int").alias("_size"), order.alias("_order")).join(n, list(group)).withColumn("cell", F.pmod(F.xxhash64("_order"), F.col("_cells")))
-    schema = dealt.select(*group, "cell", key).schema
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("_order", "ascending")])
-        number = pack(t["_size"].to_pylist(), least, most)
-        seen: dict[int, int] = {}
-        place = []
-        for g in number:
-            place.append(seen.get(g, 0))
-            seen[g] = place[-1] + 1
-        return t.select([*group, "cell", key]).append_column("composition", pa.array(number, pa.int32())).append_column("place", pa.array(place, pa.int32()))
-
-    return dealt.groupBy(*group, "cell").applyInArrow(run, schema.add("composition", T.IntegerType()).add("place", T.IntegerType()))
-
-
 def concatenate(composed: DataFrame, dialogues: DataFrame, key: str, group: Sequence[str], messages: str = "messages") -> DataFrame:
     """Each composition's messages in order, renumbered, with the first system message alone."""
-    by = [*group, "cell", "composition"]
+    by = [*group, "composition"]
     joined = composed.join(dialogues.select(key, messages), key)
     every = joined.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", messages))), lambda x: x[messages])).alias("_m"))
     first = F.get(F.filter("_m", lambda m: m["role"] == "system"), 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions.scalar import hash_bucket
+from parley.operators import composition as cm
 from parley.operators import corpus as co
 from parley.operators import dialogue as dg
 from parley.operators import evaluation as evl
@@ -184,11 +185,25 @@ def dialogue_violations(spark, d):
     return dg.violations(_dialogues(spark, d), "conv_id")
 
 
+def _to_compose(spark, d):
+    n = F.size(F.filter("messages", lambda m: m["role"] == "user"))
+    return _dialogues(spark, d).select("conv_id", "messages", n.alias("n_user"), (F.col("conv_id") % 2).alias("style"), (F.col("conv_id") % 5).alias("family"))
+
+
 @query()
 def composed_histories(spark, d):
-    x = _dialogues(spark, d).withColumn("n_user", F.size(F.filter("messages", lambda m: m["role"] == "user"))).withColumn("style", F.col("conv_id") % 2)
-    composed = dg.compose(x, "conv_id", ["style"], "n_user", "compose")
-    return dg.concatenate(composed, x, "conv_id", ["style"]).select("style", "cell", "composition", F.size("messages").alias("n_messages"))
+    x = _to_compose(spark, d)
+    composed = cm.compose(x, "conv_id", ["style"], "family", "n_user", "compose")
+    return dg.concatenate(composed, x, "conv_id", ["style"]).select("style", "composition", F.size("messages").alias("n_messages"))
+
+
+@query("""WITH d AS (SELECT conv_id, conv_id % 2 AS style, greatest(1, count(*) FILTER (role = 'user')) AS n FROM conversations GROUP BY conv_id) SELECT style, count(*) AS n_dialogues, count(*) AS n_keys, sum(n)::BIGINT AS n_turns, 0::BIGINT AS n_broken FROM d GROUP BY style""")
+def composition_balance(spark, d):
+    """Every dialogue placed once; no whole history outside its bounds, of one bucket, or with a gap in its places."""
+    c = cm.compose(_to_compose(spark, d), "conv_id", ["style"], "family", "n_user", "compose")
+    each = c.groupBy("style", "composition").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("keys"), F.sum("turns").alias("turns"), F.count_distinct("bucket").alias("buckets"), F.bool_and("whole").alias("whole"), F.max("place").alias("top"), F.count_distinct("place").alias("places"))
+    broken = F.col("whole") & ((F.col("turns") < 8) | (F.col("turns") > 16) | (F.col("buckets") < 2)) | (F.col("top") + 1 != F.col("n")) | (F.col("places") != F.col("n"))
+    return each.groupBy("style").agg(F.sum("n").alias("n_dialogues"), F.sum("keys").alias("n_keys"), F.sum("turns").alias("n_turns"), F.count_if(broken).alias("n_broken"))
 
 
 SCORES = "p AS (SELECT doc_id, (doc_id * 37 % 101) / 100.0::DOUBLE AS p, quality, toxic FROM labels), long AS (SELECT 'quality' AS head, p, CASE WHEN doc_id % 9 = 0 THEN -1.0 ELSE quality END::DOUBLE AS y, 1.0 + doc_id % 3 AS w FROM p UNION ALL SELECT 'toxic', p, CASE WHEN doc_id % 7 = 0 THEN -1.0 ELSE toxic END::DOUBLE, 1.0 + doc_id % 3 FROM p)"

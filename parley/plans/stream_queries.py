@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import text as tx
 from parley.plans.registry import query, table
-from parley.streaming import evidence, jobs, policy, turns
+from parley.streaming import evidence, jobs, policy, replies, turns
 
 SAID = {"view": "", "click": "Yeah.", "purchase": "wait, no", "signup": "haha", "error": "okay, and then", "search": "right so the plan", "login": "who is it", "logout": "that's not it"}
 
@@ -145,3 +145,36 @@ def stream_revisions(spark, d):
     schema = table(spark, d, "conversations").schema
     c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d).select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), "text")
     return jobs.run_once(jobs.stream_revisions(c), f"revisions_{uuid.uuid4().hex}")
+
+
+def _pieces(c):
+    """Every turn as a reply in pieces of eleven characters; two in three call a tool, well or badly."""
+    call = F.format_string('<tool_call>{"name": "find", "arguments": {"turn": %d}}</tool_call>', "turn")
+    tail = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 5 == 0, F.substr(call, F.lit(1), F.lit(20))).when(F.col("turn") % 7 == 0, F.concat(call, call)).when(F.col("turn") % 4 == 0, F.concat(call, F.lit(" and more"))).otherwise(F.concat(call, F.lit(" ")))
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), tail)
+    n = F.greatest(F.lit(1), F.ceil(F.length("whole") / 11)).cast("int")
+    x = c.select(F.concat_ws(":", "conv_id", "turn").alias("session"), whole.alias("whole")).withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return x.select("session", F.col("seq").cast("bigint").alias("seq"), F.substr("whole", F.col("seq") * 11 + 1, F.lit(11)).alias("delta"), (F.col("seq") == F.col("n") - 1).alias("final"))
+
+
+#: Of whole texts: words and what parts them, and what each kind of tail must give.
+REPLIES = r"""WITH c AS (SELECT conv_id || ':' || turn AS session, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w, string_split_regex(coalesce(text, ''), '\S+') AS g FROM conversations),
+u AS (SELECT session, turn, len(w) AS n, unnest(w) AS t, unnest(g[:len(w)]) AS before, generate_subscripts(w, 1) AS i FROM c), p AS (SELECT *, (sum(length(before) + length(t)) OVER (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING))::INTEGER AS stop FROM u),
+e AS (SELECT session, turn, len(w) AS n FROM c WHERE turn % 3 != 0)
+SELECT session, (i - 1)::INTEGER AS number, 'word' AS kind, t AS text, (stop - length(t))::INTEGER AS "start", stop AS "end", NULL::VARCHAR AS name, NULL::VARCHAR AS arguments, NULL::VARCHAR AS reason FROM p
+UNION ALL SELECT session, n::INTEGER, 'failed', NULL, NULL, NULL, NULL, NULL, 'incomplete_call' FROM e WHERE turn % 5 = 0
+UNION ALL SELECT session, n::INTEGER, 'call', NULL, NULL, NULL, 'find', '{"turn":' || turn || '}', NULL FROM e WHERE turn % 5 != 0
+UNION ALL SELECT session, n::INTEGER + 1, 'failed', NULL, NULL, NULL, 'find', NULL, 'duplicate_call' FROM e WHERE turn % 5 != 0 AND turn % 7 = 0
+UNION ALL SELECT session, n::INTEGER + 1, 'failed', NULL, NULL, NULL, NULL, NULL, 'unexpected_content' FROM e WHERE turn % 5 != 0 AND turn % 7 != 0 AND turn % 4 = 0"""
+
+
+@query(REPLIES)
+def reply_events(spark, d):
+    return replies.batch_replies(_pieces(table(spark, d, "conversations")))
+
+
+@query(REPLIES)
+def stream_replies(spark, d):
+    schema = table(spark, d, "conversations").schema
+    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    return jobs.run_once(replies.stream_replies(_pieces(c)), f"replies_{uuid.uuid4().hex}")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import catalog, corpus, dialogue, evaluation, events, frames, intervals, sync, text, turns
+from parley.operators import catalog, composition, corpus, dialogue, evaluation, events, frames, intervals, sync, text, turns
 
 
 def rows(df, *cols):
@@ -198,17 +198,46 @@ def test_catalogue(spark):
 
 
 def test_dialogues(spark):
-    assert dialogue.pack([4, 4, 4, 4, 3], 8, 16)[:4] == [0, 0, 0, 0]
     assert [dialogue.calculate(x) for x in ("1/3*3", "2*(3+4)", "1/0", "__import__('os')", "0.1+0.2", "9" * 200)] == ["0.9999999999999999999999999999", "14", None, None, "0.3", None]
     m = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in range(30) for t in range(6)]
     d = dialogue.nest(spark.createDataFrame(m, "c int, t int, role string, text string"), "c", "t", ["role", "text"]).withColumn("n", F.lit(3)).withColumn("g", F.lit(1))
-    composed = dialogue.compose(d, "c", ["g"], "n", "s")
-    assert rows(composed, "c") == sorted([(c,) for c in range(30)], key=repr)
-    sizes = composed.groupBy("composition").agg((F.count("*") * 3).alias("n"))
-    assert sizes.where("n > 16").count() == 0
     assert dialogue.violations(d, "c").count() == 0
 
 
+def test_compositions(spark):
+    """Each dialogue once, 8 to 16 turns of two buckets or more, whatever the partitioning."""
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.choice("abcde") if i % 11 else None, rng.choice([1, 2, 3, 4, 5, 7])) for i in range(900)]
+    df = spark.createDataFrame(rows, "c int, g int, family string, n int")
+    out = composition.compose(df.repartition(7), "c", ["g"], "family", "n", "seed").collect()
+    again = composition.compose(df.repartition(2, "family"), "c", ["g"], "family", "n", "seed").collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+    assert sorted(map(tuple, out)) != sorted(map(tuple, composition.compose(df, "c", ["g"], "family", "n", "other").collect()))
+    assert sorted(r.c for r in out) == list(range(900))
+    by = {}
+    for r in out:
+        assert (r.bucket, r.turns) == (rows[r.c][2] or "", rows[r.c][3])
+        by.setdefault((r.g, r.composition), []).append(r)
+    for members in by.values():
+        assert sorted(r.place for r in members) == list(range(len(members)))
+        if members[0].whole:
+            assert 8 <= sum(r.turns for r in members) <= 16 and len({r.bucket for r in members}) > 1
+        else:
+            assert len(members) == 1
+    assert sum(not r.whole for r in out) <= 6
+    assert len({tuple(sorted(r.turns for r in m)) for m in by.values()}) > 20
+
+
+def test_composition_plans():
+    for counts in ({("a", 3): 7}, {("a", 20): 2, ("b", 1): 1}, {}, {("a", 8): 1, ("b", 8): 1}, {("a", 1): 1000, ("b", 1): 1}, {(b, t): 50 + t for b in "abc" for t in range(1, 9)}):
+        placed = {}
+        for pattern, times, whole in composition.plan(counts, 8, 16):
+            for k in pattern:
+                placed[k] = placed.get(k, 0) + times
+            assert times > 0 and (not whole or (8 <= sum(t for _, t in pattern) <= 16 and len({b for b, _ in pattern}) > 1)) and (whole or len(pattern) == 1 or times > 0)
+        assert placed == counts
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([("h", 0.5, 1.0, 1.0), ("h", 1.0, 1.0, 3.0), ("h", 0.3, -1.0, 9.0)], "head string, p double, y double, w double")
     r = evaluation.head_metrics(df, "head", "p", "y", "w").first()
