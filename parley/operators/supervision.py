@@ -47,6 +47,18 @@ def covering(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: fl
     return points.join(best, [*keys, at], "left")
 
 
+def coverings(points: DataFrame, spans: dict[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str], width: float, at: str) -> DataFrame:
+    """:func:`covering` for several kinds of spans at once, each a struct by its name: one join of the points with all spans."""
+    one = points.select(*keys, F.col(at).alias("start"), F.col(at).alias("end")).distinct()
+    tagged = None
+    for name, (df, fields) in spans.items():
+        own = df.select(*keys, "start", "end", F.struct("start", "end", *fields).alias(name))
+        tagged = own if tagged is None else tagged.unionByName(own, allowMissingColumns=True)
+    hit = intervals.overlap_join(one, tagged, keys, width, closed=True).where("a.start >= b.start and a.start < b.end")
+    best = hit.groupBy(*keys, F.col("a.start").alias(at)).agg(*[F.min(f"b.{name}").alias(name) for name in spans])
+    return points.join(best, [*keys, at], "left")
+
+
 def beside(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: float, at: str, edge_col: str, edge: float, fields: Sequence[str], out: str) -> DataFrame:
     """``points`` with struct ``out`` of the first span whose ``edge_col`` is within ``edge`` of ``at``."""
     one = points.select(*keys, F.col(at).alias("start"), F.col(at).alias("end")).distinct()
@@ -68,12 +80,17 @@ def connection_floor(connections: DataFrame, segments: DataFrame, keys: Sequence
 
 def floor(frames: DataFrame, segments: DataFrame, connections: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, at: str = "time", out: str = "floor") -> DataFrame:
     """How much the speaker holds the floor: the transcript segment's confidence, the connection's floor, masked in mere activity, else 0."""
-    linked = connection_floor(connections, segments, keys, width, unit)
-    x = covering(frames, segments.where("source = 'transcript'"), keys, width, at, ["turn"], "_floor_s")
-    x = covering(x, linked, keys, width, at, ["floor"], "_floor_c")
-    x = covering(x, segments.where("source = 'audio'"), keys, width, at, [], "_floor_a")
-    target = F.when(F.col("_floor_s").isNotNull(), valid(F.col("_floor_s.turn"))).when(F.col("_floor_c").isNotNull(), F.col("_floor_c.floor")).when(F.col("_floor_a").isNotNull(), masked("ambiguous_annotation")).otherwise(valid(F.lit(0.0)))
-    return x.withColumn(out, target).drop("_floor_s", "_floor_c", "_floor_a")
+    x = coverings(frames, _floor_spans(segments, connections, keys, width, unit), keys, width, at)
+    return x.withColumn(out, _floor_target()).drop("_floor_s", "_floor_c", "_floor_a")
+
+
+def _floor_spans(segments: DataFrame, connections: DataFrame, keys: Sequence[str], width: float, unit: float) -> dict[str, tuple[DataFrame, Sequence[str]]]:
+    said, mere = segments.where("source = 'transcript'"), segments.where("source = 'audio'")
+    return {"_floor_s": (said, ["turn"]), "_floor_c": (connection_floor(connections, segments, keys, width, unit), ["floor"]), "_floor_a": (mere, [])}
+
+
+def _floor_target() -> Column:
+    return F.when(F.col("_floor_s").isNotNull(), valid(F.col("_floor_s.turn"))).when(F.col("_floor_c").isNotNull(), F.col("_floor_c.floor")).when(F.col("_floor_a").isNotNull(), masked("ambiguous_annotation")).otherwise(valid(F.lit(0.0)))
 
 
 def user_yield(frames: DataFrame, segments: DataFrame, connections: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, out: str = "user_yield") -> DataFrame:
@@ -93,11 +110,9 @@ def user_yield(frames: DataFrame, segments: DataFrame, connections: DataFrame, k
 
 def floor_input(frames: DataFrame, segments: DataFrame, connections: DataFrame, backchannels: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0, out: str = "floor_input") -> DataFrame:
     """The assistant's floor as an input: that of the connection alone within its back-channels; 0 where it is masked."""
-    x = covering(frames, backchannels, keys, width, "time", [], "_b")
-    x = covering(x, connection_floor(connections, segments, keys, width, unit), keys, width, "time", ["floor"], "_c")
-    x = floor(x, segments, connections, keys, width, unit, "time", "_f")
-    inside = F.coalesce("_c.floor.target", F.lit(0.0))
-    return x.withColumn(out, F.when(F.col("_b").isNotNull(), inside).otherwise(F.coalesce("_f.target", F.lit(0.0)))).drop("_b", "_c", "_f")
+    x = coverings(frames, _floor_spans(segments, connections, keys, width, unit) | {"_b": (backchannels, [])}, keys, width, "time").withColumn("_f", _floor_target())
+    inside = F.coalesce("_floor_c.floor.target", F.lit(0.0))
+    return x.withColumn(out, F.when(F.col("_b").isNotNull(), inside).otherwise(F.coalesce("_f.target", F.lit(0.0)))).drop("_b", "_f", "_floor_s", "_floor_c", "_floor_a")
 
 
 def backchannel_confidence(backchannels: DataFrame, segments: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
@@ -138,9 +153,7 @@ def feedback(frames: DataFrame, backchannels: DataFrame, segments: DataFrame, ke
 
 def speaking(frames: DataFrame, speech: DataFrame, pauses: DataFrame, backchannels: DataFrame, keys: Sequence[str], width: float, at: str = "time", out: str = "speaking") -> DataFrame:
     """Whether a speaker is heard: in a turn but not in its pauses, or in a back-channel."""
-    x = frames
-    for name, spans in (("_t", speech), ("_p", pauses), ("_b", backchannels)):
-        x = covering(x, spans, keys, width, at, [], name)
+    x = coverings(frames, {"_t": (speech, []), "_p": (pauses, []), "_b": (backchannels, [])}, keys, width, at)
     return x.withColumn(out, (F.col("_t").isNotNull() & F.col("_p").isNull()) | F.col("_b").isNotNull()).drop("_t", "_p", "_b")
 
 

@@ -180,9 +180,12 @@ def heldout_cases(spark, d):
     return x.select("conv_id", F.col("case").cast("bigint").alias("case"), F.size("prefix").cast("bigint").alias("n_prefix"), F.length("target").cast("bigint").alias("target_chars"))
 
 
-@query("""WITH p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT DISTINCT conv_id FROM p WHERE before = role OR (before IS NOT NULL AND role = 'system')""")
+@query("""WITH p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 AND turn % 4 = 1 THEN 'user' WHEN conv_id % 11 = 0 AND turn = 2 THEN 'system' ELSE role END AS role FROM conversations)) SELECT DISTINCT conv_id FROM p WHERE before = role OR (before IS NOT NULL AND role = 'system')""")
 def dialogue_violations(spark, d):
-    return dg.violations(_dialogues(spark, d), "conv_id")
+    """Some conversations are broken: two messages of the user in a row, or a system message in between."""
+    c = table(spark, d, "conversations")
+    role = F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") % 4 == 1), "user").when((F.col("conv_id") % 11 == 0) & (F.col("turn") == 2), "system").otherwise(F.col("role"))
+    return dg.violations(dg.nest(c.withColumn("role", role), "conv_id", "turn", ["role", "text"]), "conv_id")
 
 
 def _to_compose(spark, d):

@@ -135,7 +135,7 @@ an0 AS (SELECT nx.*, EXISTS (SELECT 1 FROM pts WHERE pts.k = nx.k AND coalesce(c
 an1 AS (SELECT *, point OR (na IS NOT NULL AND (nu IS NULL OR na < nu)) OR (lim >= e + 900000000 AND (nu IS NULL OR nu >= e + 900000000)) AS done, nu IS NULL AND na IS NULL AND lim < e + 900000000 AS early FROM an0),
 an AS (SELECT k, e AS "time", CASE WHEN c IS NOT NULL THEN 'connection' WHEN source = 'transcript' AND NOT done AND early THEN 'censored' ELSE 'segment_end' END AS source, CASE WHEN source = 'transcript' THEN CASE WHEN c IS NOT NULL THEN turn * (1 - c.merge) WHEN done THEN turn END END AS target,
 CASE WHEN source != 'transcript' THEN 'ambiguous_annotation' WHEN c IS NOT NULL OR done THEN NULL WHEN early THEN 'censored_annotation' ELSE 'ambiguous_annotation' END AS reason FROM an1),
-onset AS (SELECT u.k, u.s AS "time", CASE WHEN source = 'transcript' THEN turn * onset * turn END AS target, CASE WHEN source != 'transcript' THEN 'ambiguous_annotation' END AS reason FROM usr u WHERE EXISTS (SELECT 1 FROM ast a WHERE a.k = u.k AND a.turn >= 0.8 AND a.s <= u.s AND u.s < a.e))"""
+onset AS (SELECT u.k, u.s AS "time", CASE WHEN source = 'transcript' THEN turn * onset * turn END AS target, CASE WHEN source != 'transcript' THEN 'ambiguous_annotation' END AS reason FROM usr u WHERE EXISTS (SELECT 1 FROM ast a WHERE a.k = u.k AND a.turn >= 0.8 AND a.s <= u.s AND u.s < a.e) AND EXISTS (SELECT 1 FROM ast a WHERE a.k = u.k AND a.s <= u.s AND u.s < a.e) AND (NOT EXISTS (SELECT 1 FROM ast a WHERE a.k = u.k AND a.s + (a.e - a.s) // 3 <= u.s AND u.s < a.s + 2 * (a.e - a.s) // 3) OR EXISTS (SELECT 1 FROM brief2 b WHERE b.k = u.k AND b.s <= u.s AND u.s < b.e)))"""
 
 
 def _completions(spark, d):
@@ -144,8 +144,11 @@ def _completions(spark, d):
 
 
 def _onsets(spark, d):
+    """The assistant pauses in the middle third of each of its turns."""
     a = _assistant(spark, d)
-    return sv.overlap_anchors(_user(spark, d), a, a, a.limit(0), _brief(spark, d, 2), K, BUCKET)
+    third = F.col("end") - F.col("start")
+    pauses = a.select("k", (F.col("start") + F.floor(third / 3)).alias("start"), (F.col("start") + F.floor(2 * third / 3)).alias("end"))
+    return sv.overlap_anchors(_user(spark, d), a, a, pauses, _brief(spark, d, 2), K, BUCKET)
 
 
 @query(f'WITH {BASE}, {ANCHORS} SELECT k, "time", source, round(target, 6) AS target, reason FROM an')
