@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parley.llm.quality_rules import METRICS
 from parley.llm.secret_scan import RULES
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -58,6 +59,31 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, coalesce(
 
 
 
+def _quality_rules() -> str:
+    """Counts of each text, then quantiles of log-linear buckets by group, language and corpus, and fences from them."""
+    word = "[^\\x20\\x09-\\x0D]"
+    shown = ", ".join(f"('{m}', {scale}, {p}::DOUBLE, {reach}::DOUBLE)" for m, (scale, p, reach) in METRICS.items())
+    low = "((({0}) - greatest(({0}) // 32 - 1, 0) * 32) << greatest(({0}) // 32 - 1, 0)::INTEGER)"
+    at = lambda q: f"min(CASE WHEN upto >= {q} * n_rows THEN b END)"
+
+    def quantiles(name: str, keys: str) -> str:
+        by = f"{keys}, metric" if keys else "metric"
+        return f"""{name} AS (SELECT {by}, any_value(n_rows) AS n, {low.format(at("(1 - p)"))} AS ql, {low.format(at("p") + " + 1")} - 1 AS qh FROM (SELECT *, sum(c) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {by}) AS n_rows FROM (SELECT {by}, b, any_value(p) AS p, sum(c) AS c FROM sk GROUP BY {by}, b)) GROUP BY {by})"""
+
+    weigh = lambda c: f"(g.n * g.{c} + 100 * ((l.n * l.{c} + 100 * a.{c}) / (l.n + 100)::DOUBLE)) / (g.n + 100)::DOUBLE"
+    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+wi AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))), rp AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM wi WHERE n > 1) GROUP BY doc_id),
+li AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '{word}')) - count(DISTINCT line) FILTER (regexp_matches(line, '{word}')) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) GROUP BY doc_id),
+f AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, dup AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, n_lines FROM d JOIN li USING (doc_id) LEFT JOIN rp USING (doc_id)),
+fb AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f), m AS (SELECT * FROM (VALUES {shown}) v(metric, scale, p, reach)),
+rt AS (SELECT doc_id, lang, source, base_failed, metric, p, reach, CASE metric WHEN 'word_len' THEN scale * word_chars // greatest(n_words, 1) WHEN 'symbol_rate' THEN scale * n_symbols // greatest(n_words, 1) WHEN 'dup_line_rate' THEN scale * n_dup_lines // greatest(n_lines, 1) ELSE scale * n_repeat_words // greatest(n_words, 1) END AS v FROM fb, m),
+bk AS (SELECT *, greatest(length(bin(v)) - 6, 0) * 32 + (v >> greatest(length(bin(v)) - 6, 0)::INTEGER) AS b FROM rt), sk AS (SELECT lang, source, metric, p, b, count(*) AS c FROM bk WHERE NOT base_failed GROUP BY ALL),
+{quantiles("qg", "lang, source")}, {quantiles("ql", "lang")}, {quantiles("qa", "")},
+fe AS (SELECT g.lang, g.source, g.metric, lo - reach * (hi - lo) AS low, hi + reach * (hi - lo) AS high FROM (SELECT g.lang, g.source, g.metric, {weigh("ql")} AS lo, {weigh("qh")} AS hi FROM qg g JOIN ql l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN qa a ON a.metric = g.metric) g JOIN m ON m.metric = g.metric),
+ok AS (SELECT doc_id, bool_and(fe.low IS NULL OR (v >= fe.low AND v <= fe.high)) AS good FROM rt LEFT JOIN fe ON fe.lang IS NOT DISTINCT FROM rt.lang AND fe.source IS NOT DISTINCT FROM rt.source AND fe.metric = rt.metric GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM fb JOIN ok USING (doc_id)"""
+
+
 def _vector_codes(rounds: int = 6) -> str:
     d = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
     parts = [
@@ -89,4 +115,4 @@ l AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, c
 x AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & bit = 0 AND mask & before = 0) AS kept, sum(n) FILTER (mask & bit != 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit != 0 AND mask & before != 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit != 0 AND mask & before = 0) AS good_lost, sum(bad) FILTER (mask & bit != 0 AND mask & before = 0) AS toxic_lost FROM l, s GROUP BY part, filter_order, step, bit)
 SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x"""
 
-ORACLE_SQL = {"op1_secret_scan": _secrets(), "op2_decontaminate": DECONTAMINATE, "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC, "op9_mixing": MIXING, "op12_vector_codes": _vector_codes(), "op13_filter_audit": FILTER_AUDIT}
+ORACLE_SQL = {"op1_secret_scan": _secrets(), "op2_decontaminate": DECONTAMINATE, "op3_quality_rules": _quality_rules(), "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC, "op9_mixing": MIXING, "op12_vector_codes": _vector_codes(), "op13_filter_audit": FILTER_AUDIT}
