@@ -445,6 +445,28 @@ def cut_runs(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.binary())])))
 
 
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def joined_up(spans: pa.Array) -> pa.Array:
+    """Of each list of spans those that touch made one."""
+    size = spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = spans.flatten()
+    own = np.repeat(np.arange(len(size)), size)
+    a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    order = np.lexsort((a, own))
+    own, a, b = own[order], a[order], b[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    reach = np.maximum.accumulate(b + (own << 40)) - (own << 40)  # of the lists in order, each its own
+    new[1:] |= a[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:] - 1, len(own) - 1) if len(own) else first
+    parts = pa.StructArray.from_arrays([pa.array(a[first].astype(np.int32)), pa.array(reach[last].astype(np.int32))], ["a", "b"])
+    n = np.bincount(own[first], minlength=len(size)) if len(size) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), parts)
+
+
 RUNS = "array<struct<row:bigint,a:int,b:int,bytes:binary>>"
 #: Parts that the runs which one text is compared with are dealt to.
 RUN_PARTS = 64
@@ -539,7 +561,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     whole = found.where(F.col("k").isNull())
     spans = whole.where(F.col("doc").isNull()).select("row", "a", "b")
-    asked = whole.where(F.col("doc").isNotNull()).groupBy("doc", F.pmod(F.xxhash64("row"), F.lit(RUN_PARTS)).alias("_part")).agg(F.collect_list(F.struct("row", "a", "b", "p")).alias("wanted"))
+    # Contexts of one run lie in many parts, so they are joined up here, before any bytes are fetched.
+    apart = whole.where(F.col("doc").isNotNull()).groupBy("row", "doc", "p").agg(F.collect_list(F.struct("a", "b")).alias("_s"))
+    joined = apart.select("row", "doc", "p", F.explode(F.arrow_udf(joined_up, SPANS)("_s")).alias("x")).select("row", "doc", "p", "x.*")
+    asked = joined.groupBy("doc", F.pmod(F.xxhash64("row"), F.lit(RUN_PARTS)).alias("_part")).agg(F.collect_list(F.struct("row", "a", "b", "p")).alias("wanted"))
     runs = texts.join(asked.select(F.col("doc").alias("row"), "wanted"), "row").select(F.explode(F.arrow_udf(cut_runs, RUNS)("text", "wanted")).alias("x")).select("x.*")
     if crowded.isEmpty():
         spans = spans.unionByName(sorted_out(pieces(left), n, window))

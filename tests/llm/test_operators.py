@@ -323,6 +323,16 @@ def test_suffix_dedup_compares_bytes(spark, monkeypatch):
     assert all(out[i] == 0 for i in range(150)) and sum(out[200 + i] for i in range(20)) > 0
 
 
+def test_spans_are_joined_up():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    lists = [[(5, 9), (0, 5), (20, 30), (22, 25), (30, 31)], [(7, 8)], [], [(0, 3), (4, 6)]]
+    out = suffix_dedup.joined_up(pa.array([[{"a": a, "b": b} for a, b in x] for x in lists], kind)).to_pylist()
+    assert [[(s["a"], s["b"]) for s in x] for x in out] == [[(0, 9), (20, 31)], [(7, 8)], [], [(0, 3), (4, 6)]]
+    assert suffix_dedup.joined_up(pa.array([], kind)).to_pylist() == []
+
+
 def test_agreeing_parts():
     a = bytes(range(200))
     assert suffix_dedup.agreeing(a, 10, 150, a[10:150], 50) == [(10, 150)]
