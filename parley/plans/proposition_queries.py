@@ -39,7 +39,7 @@ def balanced_anchors(spark, d):
 
 @query(f"""WITH {SQL}, rt AS (SELECT *, 1 - (floor(a) % 5) / 64.0::DOUBLE AS pr, 1 - (floor(a) % 3) / 64.0::DOUBLE AS fu FROM bl), mk AS (SELECT rt.*, (SELECT count(DISTINCT floor((s - a) / 0.08::DOUBLE + 1e-9)) FROM x WHERE x.k = rt.k AND event_id % 2 = 0 AND s >= f AND s < b) AS n_marks FROM rt),
 sc AS (SELECT *, greatest(0.0, least(1.0, 0.25 * pr + 0.15 * fu + 0.2 * c + 0.1 * least(1.0, n_marks / 3.0::DOUBLE) + 0.15 * (1 - masked) + 0.15 * least(1.0, n_kind / 3.0::DOUBLE) - 0.7 * greatest(0.0, masked - 0.2))) AS score FROM mk)
-SELECT k, kind, t AS "time", round(a, 6) AS "start", n_marks, round(score, 4) AS score FROM sc WHERE score >= 0.75 AND pr >= 0.9 AND fu >= 0.95 AND masked <= 0.35 AND (b <= 250 OR (a >= 300 AND b <= d))""")
+SELECT k, kind, t AS "time", round(a, 6) AS "start", n_marks, round(score + 1e-9, 6) AS score FROM sc WHERE score >= 0.75 AND pr >= 0.9 AND fu >= 0.95 AND masked <= 0.35 AND (b <= 250 OR (a >= 300 AND b <= d))""")
 def training_propositions(spark, d):
     w = pp.balanced(_windows(spark, d).withColumn("masked", F.round("masked", 9)), K, LIMIT)
     ratios = w.select("k", "start", "end", (1 - F.floor("start") % 5 / 64.0).alias("primary"), (1 - F.floor("start") % 3 / 64.0).alias("future")).distinct()
@@ -47,4 +47,4 @@ def training_propositions(spark, d):
     ends = s.groupBy("k").agg(F.max("end").alias("end"))
     free = ends.select("k", F.lit(0.0).alias("start"), F.lit(250.0).alias("end")).unionByName(ends.select("k", F.lit(300.0).alias("start"), "end"))
     out = pp.propositions(w, ratios, s.where("event_id % 2 = 0").select("k", F.col("start").alias("time")), free, K)
-    return out.select("k", "kind", "time", F.round("start", 6).alias("start"), "n_marks", F.round("score", 4).alias("score"))
+    return out.select("k", "kind", "time", F.round("start", 6).alias("start"), "n_marks", F.round(F.col("score") + 1e-9, 6).alias("score"))
