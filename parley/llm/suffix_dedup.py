@@ -10,8 +10,8 @@ A byte goes if a ``WINDOW``-byte (50) string over it also starts in a document w
    This is done within each batch before the shuffle, so copies do not gather anywhere. Anchors that
    a sample shows to be frequent are dealt by their contexts as well. Hashes only propose: within a
    batch a member's bytes are compared with those of the one that stays; between batches, contexts
-   that go on from each other with one distance to one document are joined to runs, that document's bytes
-   are cut out and sent to the member's text, and only bytes that agree there go.
+   with one distance to one document are put together as one region, that document's bytes there
+   are cut out and sent to the member's text, and what agrees there for a window or more goes.
 3. What is left under an anchor hash is one representative for each different context. Where
    there are two or more, their bytes are concatenated and their suffixes sorted in two stages:
    only suffixes smaller than their successors are sorted directly, the rest are induced by
@@ -254,24 +254,38 @@ class Rows:
         return cls(k=wide(hashes[:, : HASH_BYTES[0]]), ctx=wide(hashes[:, HASH_BYTES[0] :]), doc=doc, row=row, p=p, head=rest[at : at + n].astype(np.int64), tail=rest[at + n :].astype(np.int64))
 
 
-def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
-    """Span rows, with those of one row that touch made one; where ``of`` is given, spans to be compared with that row's bytes ``shift`` further on."""
-    known = of is None
-    of, shift = (np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)) if known else (of, shift)
-    order = np.lexsort((a, shift, of, row))
-    row, a, b, of, shift = (x[order] for x in (row, a, b, of, shift))
+def _span_rows(row: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(row)
+    doc, p = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if of is None else (pa.array(of), pa.array(shift.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pa.array(row), pa.array(a.astype(np.int32)), p, pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
+
+
+def _joined_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Span rows, with those of one row that touch made one."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
     if len(row):
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (shift[1:] != shift[:-1])
+        new[1:] = row[1:] != row[:-1]
         reach = b + (np.cumsum(new) << 40)
         reach = np.maximum.accumulate(reach)
         new[1:] |= a[1:] > (reach[:-1] & ((1 << 40) - 1))
         first = np.flatnonzero(new)
         last = np.append(first[1:] - 1, len(row) - 1)
-        row, a, b, of, shift = row[first], a[first], reach[last] & ((1 << 40) - 1), of[first], shift[first]
-    n = len(row)
-    doc, p = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if known else (pa.array(of), pa.array(shift.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, pa.array(row), pa.array(a.astype(np.int32)), p, pa.array(b.astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["k", "doc", "row", "a", "p", "b", "others"])
+        row, a, b = row[first], a[first], reach[last] & ((1 << 40) - 1)
+    return _span_rows(row, a, b)
+
+
+def regions(row: np.ndarray, of: np.ndarray, shift: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, of, shift, a, b) with one region, from the first to the last byte, for each row, other row and distance."""
+    order = np.lexsort((shift, of, row))
+    row, of, shift, a, b = (x[order] for x in (row, of, shift, a, b))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (shift[1:] != shift[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return row, of, shift, a, b
+    return row[first], of[first], shift[first], np.minimum.reduceat(a, first), np.maximum.reduceat(b, first)
 
 
 def frequent_anchors(docs: DataFrame, n_bytes: int, window: int, gram: int) -> np.ndarray:
@@ -338,28 +352,31 @@ CLASSES = "k bigint, doc bigint, row bigint, a int, p int, b int, others array<i
 
 
 def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
-    """Spans to go (k null), those with a doc if that row's bytes p further on agree, and of each anchor hash with several classes one row for each, with the other places that hold it."""
+    """Spans to go (k null), those with a doc as far as that row's bytes p further on agree, and of each anchor hash with several classes one row for each, with the other places that hold it."""
 
     def reduce(batches):
         now, parts = None, []
+        ask = [np.zeros(0, np.int64)] * 5  # regions of this task
         for batch in batches:
             for part, packed_rows, known in zip(batch.column("part").to_pylist(), batch.column("anchors"), batch.column("spans"), strict=True):
                 if part != now:
-                    yield from collapsed(parts)
+                    ask = yield from collapsed(parts, ask)
                     now, parts = part, []
                 if known.is_valid:
                     yield from pa.ipc.open_stream(known.as_buffer())
                 else:
                     parts.append(Rows.unpack(packed_rows.as_buffer().to_pybytes()))
-        yield from collapsed(parts)
+        row, of, shift, a, b = yield from collapsed(parts, ask)
+        yield _span_rows(row, a, b, of, shift)
 
-    def collapsed(parts):
+    def collapsed(parts, ask):
         if not parts:
-            return
+            return ask
         rows, new, cls, least = Rows.of(parts).classes()
         parts.clear()
         gone, lead = rows[~least], rows[np.flatnonzero(new)[cls[~least]]]
-        yield _joined_spans(gone.row, gone.p - gone.head, gone.p + gone.tail, lead.row, lead.p - gone.p)
+        found = gone.row, lead.row, lead.p - gone.p, gone.p - gone.head, gone.p + gone.tail
+        ask = list(regions(*[np.concatenate(x) for x in zip(ask, found, strict=True)]))
         hk = rows.k[new]
         several = np.isin(hk, hot)  # their other classes may be elsewhere
         same = hk[1:] == hk[:-1]
@@ -368,7 +385,7 @@ def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
         # One row for each class and row of its smallest document; further places of that row follow it.
         keep = np.flatnonzero(least & several[cls])
         if not len(keep):
-            return
+            return ask
         first = np.ones(len(keep), bool)
         first[1:] = (cls[keep][1:] != cls[keep][:-1]) | (rows.row[keep][1:] != rows.row[keep][:-1])
         lead, rest = rows[keep[first]], keep[~first]
@@ -376,6 +393,7 @@ def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
         others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(rows.p[rest].astype(np.int32)))
         ints = (pa.array(x.astype(np.int32)) for x in (lead.p - lead.head, lead.p, lead.p + lead.tail))
         yield pa.RecordBatch.from_arrays([pa.array(lead.k.view(np.int64)), pa.array(lead.doc), pa.array(lead.row), *ints, others], ["k", "doc", "row", "a", "p", "b", "others"])
+        return ask
 
     return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(reduce, CLASSES)
 
@@ -437,7 +455,7 @@ def dealt_out(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def cut_runs(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-    """Of each text the bytes that runs of other rows are to be compared with."""
+    """Of each text the bytes that regions of other rows are to be compared with."""
     out = []
     for text, rows in zip(texts, wanted.to_pylist(), strict=True):
         raw = (text.as_py() or "").encode()
@@ -445,30 +463,8 @@ def cut_runs(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("row", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.binary())])))
 
 
-SPANS = "array<struct<a:int,b:int>>"
-
-
-def joined_up(spans: pa.Array) -> pa.Array:
-    """Of each list of spans those that touch made one."""
-    size = spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = spans.flatten()
-    own = np.repeat(np.arange(len(size)), size)
-    a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-    order = np.lexsort((a, own))
-    own, a, b = own[order], a[order], b[order]
-    new = np.ones(len(own), bool)
-    new[1:] = own[1:] != own[:-1]
-    reach = np.maximum.accumulate(b + (own << 40)) - (own << 40)  # of the lists in order, each its own
-    new[1:] |= a[1:] > reach[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:] - 1, len(own) - 1) if len(own) else first
-    parts = pa.StructArray.from_arrays([pa.array(a[first].astype(np.int32)), pa.array(reach[last].astype(np.int32))], ["a", "b"])
-    n = np.bincount(own[first], minlength=len(size)) if len(size) else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), parts)
-
-
 RUNS = "array<struct<row:bigint,a:int,b:int,bytes:binary>>"
-#: Parts that the runs which one text is compared with are dealt to.
+#: Parts that the regions which one text is compared with are dealt to.
 RUN_PARTS = 64
 
 
@@ -561,9 +557,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     whole = found.where(F.col("k").isNull())
     spans = whole.where(F.col("doc").isNull()).select("row", "a", "b")
-    # Contexts of one run lie in many parts, so they are joined up here, before any bytes are fetched.
-    apart = whole.where(F.col("doc").isNotNull()).groupBy("row", "doc", "p").agg(F.collect_list(F.struct("a", "b")).alias("_s"))
-    joined = apart.select("row", "doc", "p", F.explode(F.arrow_udf(joined_up, SPANS)("_s")).alias("x")).select("row", "doc", "p", "x.*")
+    # Contexts of one region lie in many parts.
+    joined = whole.where(F.col("doc").isNotNull()).groupBy("row", "doc", "p").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     asked = joined.groupBy("doc", F.pmod(F.xxhash64("row"), F.lit(RUN_PARTS)).alias("_part")).agg(F.collect_list(F.struct("row", "a", "b", "p")).alias("wanted"))
     runs = texts.join(asked.select(F.col("doc").alias("row"), "wanted"), "row").select(F.explode(F.arrow_udf(cut_runs, RUNS)("text", "wanted")).alias("x")).select("x.*")
     if crowded.isEmpty():

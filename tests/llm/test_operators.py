@@ -323,14 +323,12 @@ def test_suffix_dedup_compares_bytes(spark, monkeypatch):
     assert all(out[i] == 0 for i in range(150)) and sum(out[200 + i] for i in range(20)) > 0
 
 
-def test_spans_are_joined_up():
-    import pyarrow as pa
-
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    lists = [[(5, 9), (0, 5), (20, 30), (22, 25), (30, 31)], [(7, 8)], [], [(0, 3), (4, 6)]]
-    out = suffix_dedup.joined_up(pa.array([[{"a": a, "b": b} for a, b in x] for x in lists], kind)).to_pylist()
-    assert [[(s["a"], s["b"]) for s in x] for x in out] == [[(0, 9), (20, 31)], [(7, 8)], [], [(0, 3), (4, 6)]]
-    assert suffix_dedup.joined_up(pa.array([], kind)).to_pylist() == []
+def test_regions():
+    import numpy as np
+
+    cols = [np.array(x, np.int64) for x in ([1, 1, 2, 1, 1], [7, 7, 7, 8, 7], [0, 0, 0, 0, 5], [30, 10, 4, 2, 1], [40, 20, 9, 3, 2])]
+    assert [x.tolist() for x in suffix_dedup.regions(*cols)] == [[1, 1, 1, 2], [7, 7, 8, 7], [0, 5, 0, 0], [10, 1, 2, 4], [40, 2, 3, 9]]
+    assert [len(x) for x in suffix_dedup.regions(*[x[:0] for x in cols])] == [0] * 5
 
 
 def test_agreeing_parts():
