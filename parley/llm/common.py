@@ -81,16 +81,21 @@ def release(spark: SparkSession) -> None:
     _frames.open[0].clear()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """:func:`materialize`, for a table that outlives the innermost scratch()."""
+def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`written`, for a table that outlives the innermost scratch()."""
     inner = _frames.open.pop() if len(_frames.open) > 1 else None
     try:
-        return materialize(df, name)
+        return written(df, name)
     finally:
         if inner is not None:
             _frames.open.append(inner)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, for a table that outlives the innermost scratch()."""
+    return kept_at(df, name)[0]
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """:func:`materialize`, and the path, for :func:`discard`."""
     path = work_path(df.sparkSession, name)
