@@ -50,14 +50,19 @@ def _event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
 
 
-#: Event time and key of the row that ends a stream.
-END, ENDED = F.lit("2100-01-01").cast("timestamp"), -1
+#: Key of the row that ends a stream.
+ENDED = -1
+
+
+def _end() -> dict:
+    """Event time and key of the row that ends a stream."""
+    return {"ts": F.lit("2100-01-01").cast("timestamp"), "user_id": F.lit(ENDED)}
 
 
 @query("""WITH s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events))
 SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts)) AS "last", count(*) AS n FROM s GROUP BY user_id, r""")
 def stream_sessions(spark, d):
-    out = jobs.run_to_end(lambda e: jobs.stream_sessions(e, ["user_id"], "ts", "30 minutes", "1 hour"), _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED)}, f"sessions_{uuid.uuid4().hex}")
+    out = jobs.run_to_end(lambda e: jobs.stream_sessions(e, ["user_id"], "ts", "30 minutes", "1 hour"), _event_stream(spark, d), _end(), f"sessions_{uuid.uuid4().hex}")
     return out.where(F.col("user_id") != ENDED).select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
 
 
@@ -70,7 +75,7 @@ def stream_evidence_join(spark, d):
         x = e.where(F.col("event_type").isin(*kinds)).withColumn("day", F.date_trunc("day", "ts"))
         return jobs.complete_evidence(x.withColumn("group", F.concat_ws(":", "user_id", F.date_format("day", "yyyy-MM-dd"))), "group", "event_type", kinds, "value", "day", "1 hour")
 
-    return jobs.run_to_end(groups, _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED), "event_type": F.lit("view")}, f"evidence_{uuid.uuid4().hex}").select("group", "confidence")
+    return jobs.run_to_end(groups, _event_stream(spark, d), _end() | {"event_type": F.lit("view")}, f"evidence_{uuid.uuid4().hex}").select("group", "confidence")
 
 
 def _chunks(events):
@@ -92,7 +97,7 @@ SELECT session, epoch, coalesce((SELECT min(c.stop - c.n) FROM c WHERE c.session
 @query(LIVE_TURNS)
 def live_turns(spark, d):
     """Turns by the stateful operator, the open ones ended by its timer."""
-    out = jobs.run_to_end(lambda e: turns.stream_turns(_chunks(e).withColumnRenamed("ts", "at")), _event_stream(spark, d), {"ts": END, "user_id": F.lit(ENDED), "event_id": F.lit(1)}, f"turns_{uuid.uuid4().hex}", rocks=True)
+    out = jobs.run_to_end(lambda e: turns.stream_turns(_chunks(e).withColumnRenamed("ts", "at")), _event_stream(spark, d), _end() | {"event_id": F.lit(1)}, f"turns_{uuid.uuid4().hex}", rocks=True)
     return out.where(F.col("session") != str(ENDED))
 
 
