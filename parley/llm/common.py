@@ -96,10 +96,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return kept_at(df, name)[0]
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _no_leftovers(spark: SparkSession):
+    """Queries in here delete their shuffle files at their end: what they write is read back from the shared folder, so nobody needs them."""
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """:func:`materialize`, and the path, for :func:`discard`."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _no_leftovers(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -129,7 +145,8 @@ def bucketed(rows: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
     """``rows`` written to the shared folder in buckets of ``key``, sorted in each, and read back: joins on it do not shuffle them again."""
     table = f"parley_{name}_{uuid.uuid4().hex}"
     _frames.open[-1].append(("table", table))
-    rows.write.bucketBy(buckets, key).sortBy(key).option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
+    with _no_leftovers(rows.sparkSession):
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", work_path(rows.sparkSession, name)).saveAsTable(table)
     return rows.sparkSession.table(table)
 
 

@@ -133,3 +133,35 @@ def test_factorisation_machine_against_plain_sums():
         at = np.flatnonzero(text == t)
         plain = m.w0 + sum(m.w[i[a]] * x[a] for a in at) + sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in at for b in at if b < a)
         assert abs(scores[t] - plain) < 1e-9
+
+
+def test_a_scope_leaves_no_table_behind(spark):
+    """Neither folders nor catalogue tables of operators whose results were read inside it."""
+    docs = spark.createDataFrame([(i, f"line {i % 3}\nsome words of text {i}", "en", "s", 30) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    root = spark._jvm.org.apache.hadoop.fs.Path(common.work_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda: ({s.getPath().getName() for s in fs.listStatus(root)}, {t.name for t in spark.catalog.listTables()})
+    before = there()
+    with common.scratch(spark):
+        for out in (line_dedup.line_dedup(docs), simhash.keep_one(docs), suffix_dedup.suffix_dedup(docs), mixing.mix(docs), secret_scan.scan_secrets(docs)):
+            assert out.count() > 0
+        assert there() != before
+    assert there() == before
+
+
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
+    kept = spark.range(5)
+
+    def other():
+        with common.scratch(spark):
+            common.materialize(kept, "other")
+
+    with common.scratch(spark):
+        mine = common.materialize(kept, "mine")
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        seen = mine.count()
+    assert seen == 5
