@@ -6,7 +6,8 @@ of the larger set and the first ninth of the smaller one, so all such pairs meet
 joined. There the sizes and the positions of the shared shingle bound the similarity from above, and
 so do sketches of both sets; what remains is compared shingle by shingle. A shingle is its 64-bit XXH64.
 
-Classes, not pairs, are wanted. So each text is first compared with three that share one of its first
+Classes, not pairs, are wanted. So pairs that the caller proposes, by fingerprints as in
+:mod:`parley.llm.simhash`, are compared first, and each text is with three that share one of its first
 shingles, the same three for all texts that do, and then with its neighbours in order of size under each shingle of its
 prefix; texts in one class by that need no more comparison, and the join makes pairs of
 different classes only. Crowded keys are dealt to several tasks.
@@ -240,15 +241,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(end("u"), "u").join(end("v"), "v").where(alike("u_text", "v_text")).select("u", "v")
 
 
-def similar_pairs(texts: DataFrame, shingle: int, components, buckets: int) -> DataFrame:
+def similar_pairs(texts: DataFrame, shingle: int, components, buckets: int, proposed: DataFrame) -> DataFrame:
     """(u, v) of similar texts, enough to connect each class of (rep, text), which are in ``buckets`` of rep; ``components`` as in :mod:`parley.llm.simhash`.
 
-    Stars are compared first, then neighbours under each shingle, then each candidate of another class
-    with its smallest partner. Pairs that these connect need no comparison, all others get one.
+    Pairs (u, v), u > v, that are ``proposed`` and stars are compared first, then neighbours under each shingle, then each
+    candidate of another class with its smallest partner. Pairs that these connect need no comparison, all others get one.
     """
     sets = shingle_sets(texts, shingle, buckets)
-    known = materialize(verified(sketched(stars(sets), sets), texts, shingle), "star-pairs")
-    # Texts that crowd under one shingle are often one class that no centre shows; neighbours find most of it, in as many pairs as there are rows.
+    known = materialize(verified(sketched(proposed.unionByName(stars(sets)).distinct(), sets), texts, shingle), "proposed-pairs")
+    # Texts that crowd under one shingle are often one class that neither fingerprints nor centres show; neighbours find most of it, in as many pairs as there are rows.
     for i in range(CHAINS):
         near = candidates(sets, components(known), buckets, BESIDE)
         known = materialize(known.unionByName(verified(sketched(near, sets), texts, shingle)), f"chain-pairs-{i}")

@@ -257,9 +257,24 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(texts: DataFrame, shingle: int = 4) -> DataFrame:
+    """(u, v), u > v, of (rep, text) whose fingerprints link, enough to connect each class of fingerprints: each text and the smallest one of its fingerprint, and the smallest ones of two that link."""
+    own = materialize(with_fingerprints(texts.select("rep", "text"), "text", shingle, "_f").select("rep", F.col("_f")[0].alias("fp")), "fingerprints")
+    nodes = materialize(own.groupBy("fp").agg(F.min("rep").alias("lead"), F.count("*").alias("n")), "nodes")
+    same = join_unique(own, nodes, "fp", "n", "inner").where("rep != lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
+    found = edges(nodes.select(F.lit(0).alias("t"), "fp")).select("u", "v")
+    for end in ("u", "v"):
+        of = materialize(found.groupBy(end).agg(F.count("*").alias("n")).join(nodes.select(F.col("fp").alias(end), "lead"), end), "ends")
+        found = materialize(join_unique(found, of, end, "n", "inner").withColumn(f"{end}_lead", F.col("lead")).drop("lead"), "links")
+    linked = found.select(F.greatest("u_lead", "v_lead").alias("u"), F.least("u_lead", "v_lead").alias("v"))
+    return same.unionByName(linked).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row for each class of near-duplicates (shingle sets of similarity 0.8 or more, exactly): that of smallest id.
 
+    Fingerprints propose: texts whose fingerprints link, as :func:`edges` finds them, are compared
+    shingle by shingle. Similar texts whose fingerprints differ in more bits are met by their shingles.
     Ids are integers. Rows that repeat an id are documents of their own: equal ones are one class,
     of others each stays that nothing smaller is like; among rows of one id, that of smaller text hash
     counts as smaller. Rows without an id are never dropped. Texts without words are alike; an empty
@@ -284,6 +299,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     with scratch(spark):
         nodes = bucketed(own.groupBy(F.md5("text").alias("_m")).agg(F.min("rep").alias("rep")).select("rep").repartition(n, "rep"), n, "rep", "nodes")
         texts = own.join(nodes.hint("merge"), "rep", "left_semi")
-        gone = components(similar_pairs(texts, shingle, components, n)).where("root != node").select(F.col("node").alias("rep"))
+        gone = components(similar_pairs(texts, shingle, components, n, fingerprint_pairs(texts))).where("root != node").select(F.col("node").alias("rep"))
         stay = kept(nodes.join(gone, "rep", "left_anti"), "kept").alias("_kept_ids")
     return base.alias("_all_rows").join(stay, F.col(f"_all_rows.{key}") == F.col("_kept_ids.rep"), "left_semi").select(*[F.col(f"_all_rows.`{c}`") for c in docs.columns]).unionByName(docs.where(~named))

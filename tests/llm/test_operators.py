@@ -208,6 +208,22 @@ def test_keep_one(spark):
     assert got(out, "doc_id") == want([(1,), (3,), (None,)])
 
 
+def test_keep_one_compares_what_fingerprints_link(spark, docs, monkeypatch):
+    """Proposals connect the classes of op 8's fingerprints, and keep_one compares them."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    pairs = simhash.fingerprint_pairs(texts)
+    assert pairs.where("u <= v").isEmpty()
+    root = {r.node: r.root for r in simhash.components(pairs).collect()}
+    whole = {r.doc_id: r.component_id for r in simhash.simhash_classes(docs).collect()}
+    assert {i: root.get(i, i) for i in whole} == whole
+    assert any(i != c for i, c in whole.items())
+    compared, own = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda *args: compared.append({tuple(r) for r in args[4].collect()}) or own(*args))
+    words = [f"word{i}" for i in range(400)]
+    simhash.keep_one(spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "unlike all of them")], "doc_id long, text string")).collect()
+    assert compared == [{(2, 1)}]
+
+
 def test_keep_one_loses_no_row_of_a_repeated_id(spark):
     """Rows of one id with unlike texts all stay, whatever the order of rows."""
     one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in ("alpha", "beta"))
