@@ -12,8 +12,10 @@ A byte goes if a ``WINDOW``-byte (50) string over it also starts in a document w
    batch a member's bytes are compared with those of the one that stays; between batches, contexts
    with one distance to one document are put together as one region, that document's bytes there
    are cut out and sent to the member's text, and what agrees there for a window or more goes.
-3. What is left under an anchor hash is one representative for each different context. Where
-   there are two or more, their bytes are concatenated and their suffixes sorted in two stages:
+3. What is left under an anchor hash is one representative for each different context. Two that hold
+   equal windows agree in half the reach before the anchor's gram or in half the reach behind it; one
+   that agrees with no other in either, by 16 bits of hash, has no window in common with any and stops here.
+   Where there are two or more, their bytes are concatenated and their suffixes sorted in two stages:
    only suffixes smaller than their successors are sorted directly, the rest are induced by
    scanning the buckets in order; adjacent common prefixes of WINDOW bytes or more then join
    equal windows, and those of all but the smallest document go.
@@ -38,6 +40,9 @@ GRAM = 16
 #: Bytes that are kept of gram and context hashes; contexts are compared byte by byte if both agree.
 HASH_BYTES = (6, 7)
 K_MASK, CTX_MASK = (np.uint64((1 << 8 * n) - 1) for n in HASH_BYTES)
+#: Bits of the hashes of a context's two sides; beside a gram's hash they fill 64.
+SIDE_BITS = np.uint64(64 - 8 * HASH_BYTES[0])
+SIDE_BYTES = 2 * int(SIDE_BITS) // 8
 #: Bytes of text whose anchors are collapsed together before the shuffle.
 BATCH_BYTES = 12 << 20
 #: Parts of a partition that are collapsed one after the other.
@@ -61,12 +66,18 @@ def sliding(op: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return op(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in the chunk, gram hash, context hash) of each anchor of a chunk."""
+def halves(window: int, gram: int) -> tuple[int, int]:
+    """Bytes before an anchor and bytes from it on, of which every window around it holds one or the other whole."""
+    before = (window - gram + 1) // 2
+    return before, window - before + 1
+
+
+def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in the chunk, gram hash, context hash, hashes of its two sides) of each anchor of a chunk."""
     n, w = len(data), window - gram + 1
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 3
     prefix = tv.prefix_hash(data)
     at = np.arange(n - gram + 1)
     h = tv.span_hash(prefix, at, at + gram)
@@ -80,7 +91,9 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[
     p = np.flatnonzero((high == h) & (high > 0))
     text = np.searchsorted(off, p, "right") - 1
     a, b = np.maximum(off[text], p - (window - gram)), np.minimum(off[text + 1], p + window)
-    return text, p, h[p], tv.mix(tv.span_hash(prefix, a, b) + (p - a).astype(np.uint64) * tv.BASE)
+    before, behind = halves(window, gram)
+    left, right = (tv.span_hash(prefix, x, y) >> (np.uint64(64) - SIDE_BITS) for x, y in ((np.maximum(a, p - before), p), (p, np.minimum(b, p + behind))))
+    return text, p, h[p], tv.mix(tv.span_hash(prefix, a, b) + (p - a).astype(np.uint64) * tv.BASE), left << SIDE_BITS | right
 
 
 def words(t: np.ndarray) -> np.ndarray:
@@ -182,9 +195,9 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 class Rows:
-    """Columns of anchors: gram hash, context hash, document, row, position, and the context's reach to either side."""
+    """Columns of anchors: gram hash, context hash, hashes of its sides, document, row, position, and the context's reach to either side."""
 
-    NAMES = ("k", "ctx", "doc", "row", "p", "head", "tail")
+    NAMES = ("k", "ctx", "side", "doc", "row", "p", "head", "tail")
 
     def __init__(self, **cols: np.ndarray):
         self.cols = cols
@@ -227,14 +240,14 @@ class Rows:
         """The hashes' bytes as they are, for nothing makes them smaller; the rest by differences, compressed."""
         rows = self[np.lexsort((self.p, self.row))]
         n = len(rows)
-        hashes = np.concatenate([rows.k.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[0]], rows.ctx.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[1]]], 1)
+        hashes = np.concatenate([rows.k.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[0]], rows.ctx.view(np.uint8).reshape(n, 8)[:, : HASH_BYTES[1]], rows.side.view(np.uint8).reshape(n, 8)[:, :SIDE_BYTES]], 1)
         change = lambda x: np.diff(x, prepend=np.int64(0)).view(np.uint8).reshape(n, 8).T.tobytes()
         rest = change(rows.doc) + (change(rows.row) if (rows.row != rows.doc).any() else b"") + rows.p.astype(np.int32).view(np.uint8).reshape(n, 4).T.tobytes() + rows.head.astype(np.uint8).tobytes() + rows.tail.astype(np.uint8).tobytes()
         return n.to_bytes(4, "little") + hashes.tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
 
     @classmethod
     def unpack(cls, raw: bytes) -> Rows:
-        n, width = int.from_bytes(raw[:4], "little"), sum(HASH_BYTES)
+        n, width = int.from_bytes(raw[:4], "little"), sum(HASH_BYTES) + SIDE_BYTES
         hashes = np.frombuffer(raw, np.uint8, n * width, 4).reshape(n, width)
         rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + n * width :]), np.uint8)
 
@@ -251,7 +264,7 @@ class Rows:
             row, at = np.cumsum(turned(rest[at : at + 8 * n], np.int64)), at + 8 * n
         p = turned(rest[at : at + 4 * n], np.int32).astype(np.int64)
         at += 4 * n
-        return cls(k=wide(hashes[:, : HASH_BYTES[0]]), ctx=wide(hashes[:, HASH_BYTES[0] :]), doc=doc, row=row, p=p, head=rest[at : at + n].astype(np.int64), tail=rest[at + n :].astype(np.int64))
+        return cls(k=wide(hashes[:, : HASH_BYTES[0]]), ctx=wide(hashes[:, HASH_BYTES[0] : sum(HASH_BYTES)]), side=wide(hashes[:, sum(HASH_BYTES) :]), doc=doc, row=row, p=p, head=rest[at : at + n].astype(np.int64), tail=rest[at + n :].astype(np.int64))
 
 
 def _span_rows(row: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
@@ -312,9 +325,9 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int, hot: np.nda
         for batch in batches:
             doc, row = _column(batch, "doc"), _column(batch, "row")
             for lo, _, data, off in tv.chunks(batch.column("text")):
-                text, p, h, ctx = anchors(data, off, window, gram)
+                text, p, h, ctx, side = anchors(data, off, window, gram)
                 at, n = p - off[text], np.diff(off)[text]
-                held.append(Rows(k=h & K_MASK, ctx=ctx & CTX_MASK, doc=doc[lo + text], row=row[lo + text], p=at, head=np.minimum(at, window - gram), tail=np.minimum(n - at, window), g=p + size))
+                held.append(Rows(k=h & K_MASK, ctx=ctx & CTX_MASK, side=side, doc=doc[lo + text], row=row[lo + text], p=at, head=np.minimum(at, window - gram), tail=np.minimum(n - at, window), g=p + size))
                 raw.append(data.copy())
                 size += len(data)
                 if size >= BATCH_BYTES:
@@ -351,8 +364,23 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, parts: int, hot: np.nda
 CLASSES = "k bigint, doc bigint, row bigint, a int, p int, b int, others array<int>"
 
 
-def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
-    """Spans to go (k null), those with a doc as far as that row's bytes p further on agree, and of each anchor hash with several classes one row for each, with the other places that hold it."""
+def may_share(lead: Rows, window: int, gram: int) -> np.ndarray:
+    """Whether a class, given by one row of each, agrees with another one of its gram in a half that windows around the gram hold; those that do not have no window in common with others."""
+    before, behind = halves(window, gram)
+    out = np.zeros(len(lead), bool)
+    for half, fits in ((lead.side >> SIDE_BITS, lead.head >= before), (lead.side & ((np.uint64(1) << SIDE_BITS) - np.uint64(1)), lead.tail >= behind)):
+        at = np.flatnonzero(fits)
+        x = lead.k[at] << SIDE_BITS | half[at]
+        order = np.argsort(x)
+        x, at = x[order], at[order]
+        same = x[1:] == x[:-1]
+        out[at[1:][same]] = True
+        out[at[:-1][same]] = True
+    return out
+
+
+def classes(rows: DataFrame, n: int, hot: np.ndarray, window: int, gram: int) -> DataFrame:
+    """Spans to go (k null), those with a doc as far as that row's bytes p further on agree, and of each anchor hash with several classes that may share windows one row for each, with the other places that hold it."""
 
     def reduce(batches):
         now, parts = None, []
@@ -379,9 +407,10 @@ def classes(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
         ask = list(regions(*[np.concatenate(x) for x in zip(ask, found, strict=True)]))
         hk = rows.k[new]
         several = np.isin(hk, hot)  # their other classes may be elsewhere
-        same = hk[1:] == hk[:-1]
-        several[1:] |= same
-        several[:-1] |= same
+        same = np.zeros(len(hk) + 1, bool)
+        same[1:-1] = hk[1:] == hk[:-1]
+        mates = np.flatnonzero(same[1:] | same[:-1])
+        several[mates] |= may_share(rows[np.flatnonzero(new)[mates]], window, gram)
         # One row for each class and row of its smallest document; further places of that row follow it.
         keep = np.flatnonzero(least & several[cls])
         if not len(keep):
@@ -546,7 +575,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = own.dropDuplicates(["row"])
     n = partitions_for(spark, total)
     hot = frequent_anchors(own, total, window, gram)
-    found = materialize(classes(anchor_rows(own, window, gram, PARTS * n, hot), n, hot), "classes")
+    found = materialize(classes(anchor_rows(own, window, gram, PARTS * n, hot), n, hot, window, gram), "classes")
     left = found.where(F.col("k").isNotNull())
     crowded = materialize(left.groupBy("k").count().where(F.col("count") > crowd).select("k"), "crowded")
     texts = own.select("row", "text").repartition(n, "row")

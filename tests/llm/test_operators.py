@@ -339,6 +339,31 @@ def test_suffix_dedup_compares_bytes(spark, monkeypatch):
     assert all(out[i] == 0 for i in range(150)) and sum(out[200 + i] for i in range(20)) > 0
 
 
+def test_contexts_without_common_windows_stop_before_arrays():
+    import numpy as np
+
+    rng, sd = random.Random(14), suffix_dedup
+    word = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    stopped = shared = 0
+    for size in [*range(16, 90), *range(45, 55)] * 2:
+        passage = word(size)
+        texts = [word(rng.randint(0, 90)) + passage + word(rng.randint(0, 90)) for _ in range(2)]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])])
+        text, p, h, ctx, side = sd.anchors(data, off, 50, 16)
+        at, n = p - off[text], np.diff(off)[text]
+        rows = sd.Rows(k=h & sd.K_MASK, side=side, head=np.minimum(at, 34), tail=np.minimum(n - at, 50))
+        kept = sd.may_share(rows, 50, 16)
+        for i in np.flatnonzero(text == 0):
+            for j in np.flatnonzero((text == 1) & (h == h[i])):
+                one, other = texts[0][at[i] - rows.head[i] : at[i] + rows.tail[i]], texts[1][at[j] - rows.head[j] : at[j] + rows.tail[j]]
+                if any(one[x : x + 50] in other for x in range(len(one) - 49)):
+                    shared += 1
+                    assert kept[i] and kept[j]
+                else:
+                    stopped += not kept[i]
+    assert shared > 50 and stopped > 5
+
+
 def test_regions():
     import numpy as np
 
