@@ -20,6 +20,9 @@ PARTITION_BYTES = 16 << 20
 #: Rows of text in an Arrow batch.
 BATCH_ROWS = 1000
 
+#: Rows of a few numbers in one file of a table whose size is known.
+FILE_ROWS = 1 << 17
+
 #: A key with at least 1/HOT_SHARE of all rows is joined by broadcast; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -111,9 +114,11 @@ def _no_leftovers(spark: SparkSession):
         spark.conf.set(CLEANUP, was)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """:func:`materialize`, and the path, for :func:`discard`."""
     path = work_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     with _no_leftovers(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -136,9 +141,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return written(df, name)[0]
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``, if known, is how many rows of a few numbers ``df`` has at most: it is written in files
+    of FILE_ROWS, as many as there are cores at least, not in one for each shuffle partition.
+    """
+    return written(df, name, rows)[0]
 
 
 def bucketed(rows: DataFrame, buckets: int, key: str, name: str) -> DataFrame:

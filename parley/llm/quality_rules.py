@@ -151,7 +151,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     input column ``_quality`` is replaced.
     """
     small_batches(docs.sparkSession)
-    features = F.arrow_udf(text_features, FEATURES)
+    # Called nondeterministic, or filters on its result run it a second time, in a second Python worker for each core.
+    features = F.arrow_udf(text_features, FEATURES).asNondeterministic()
     own = docs.select(packed(docs, "_quality"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col).cast("string")).alias("_f"))
     scored = own.select("*", *[c.alias(m) for m, c in rates("_f").items()])
     with scratch(docs.sparkSession):

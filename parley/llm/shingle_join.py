@@ -242,24 +242,27 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar_pairs(texts: DataFrame, shingle: int, components, buckets: int, proposed: DataFrame) -> DataFrame:
-    """(u, v) of similar texts, enough to connect each class of (rep, text), which are in ``buckets`` of rep; ``components`` as in :mod:`parley.llm.simhash`.
+    """(u, v) of one class, enough to connect each class of (rep, text), which are in ``buckets`` of rep; ``components`` as in :mod:`parley.llm.simhash`.
 
     Pairs (u, v), u > v, that are ``proposed`` and stars are compared first, then neighbours under each shingle, then each
     candidate of another class with its smallest partner. Pairs that these connect need no comparison, all others get one.
     """
     sets = shingle_sets(texts, shingle, buckets)
     known = materialize(verified(sketched(proposed.unionByName(stars(sets)).distinct(), sets), texts, shingle), "proposed-pairs")
+    roots = components(known)
+    # Each text and the root of its class say what pairs so far do, in fewer rounds when more are added.
+    flat = lambda roots: roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     # Texts that crowd under one shingle are often one class that neither fingerprints nor centres show; neighbours find most of it, in as many pairs as there are rows.
     for i in range(CHAINS):
-        near = candidates(sets, components(known), buckets, BESIDE)
-        known = materialize(known.unionByName(verified(sketched(near, sets), texts, shingle)), f"chain-pairs-{i}")
-    roots = components(known)
+        near = materialize(verified(sketched(candidates(sets, roots, buckets, BESIDE), sets), texts, shingle), f"chain-pairs-{i}")
+        if near.isEmpty():
+            break  # the next round would compare the same texts
+        roots = components(flat(roots).unionByName(near))
     pairs = materialize(sketched(candidates(sets, roots, buckets), sets), "candidates")
     first = materialize(verified(pairs.groupBy("u").agg(F.min("v").alias("v")), texts, shingle), "first-pairs")
-    known = known.unionByName(first)
-    root = components(known)
+    root = roots if first.isEmpty() else components(flat(roots).unionByName(first))
     of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = pairs.join(first, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
     rest = rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     # Pairs compared in vain come again here; they are few.
-    return known.unionByName(materialize(verified(rest, texts, shingle), "more-pairs"))
+    return flat(root).unionByName(materialize(verified(rest, texts, shingle), "more-pairs"))

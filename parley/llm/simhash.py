@@ -222,17 +222,18 @@ def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(found: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over undirected (u, v), by alternating large and small stars."""
     now, state = materialize(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges"), None
-    while True:
+    rows = now.count()  # no round adds any
+    while rows:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
+        now = materialize(small, "edges", rows)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
-        state = new
+        state, rows = new, new[0]
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 

@@ -88,6 +88,12 @@ def test_quality_rules(docs):
     assert out.where(f"{q}.base_failed and {q}.kept").count() == 0
 
 
+def test_quality_counts_each_text_once_a_pass(docs):
+    """A filter on the verdict takes no second Python worker beside the first."""
+    plan = quality_rules.quality_rules(docs).where("_quality.kept")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_quality_sketch_is_exact_to_its_buckets(spark):
     v = spark.range(1, 200_000).select(F.col("id").alias("v"))
     b = v.select("v", quality_rules.bucket(F.col("v")).alias("b")).select("v", "b", quality_rules.bucket_low(F.col("b")).alias("low"))
@@ -201,6 +207,23 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 1 for i in range(2, 61)) and got[101] == 100
 
 
+def test_components_write_small_tables_in_few_files(spark, monkeypatch):
+    """Not in one for each shuffle partition, each round again."""
+    files, own = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda *args: files.append(len((out := own(*args)).inputFiles())) or out)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in simhash.components(spark.range(1, 1000).select(F.col("id").alias("u"), F.when(F.col("id") % 10 == 0, F.col("id") - 10).otherwise(F.col("id") - F.col("id") % 10).alias("v"))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got) == set(range(1, 1000)) and set(got.values()) == {0}
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism < 64
+
+
 def test_keep_one(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text), (2, text), (2, text), (3, "something else entirely here now"), (None, text)]
