@@ -100,3 +100,33 @@ def test_planted_fallback_is_found(spark):
     assert {r.fallback for r in folds.collect()} == {"zero_shift"}
     assert all(r.error == 0 for r in samples.collect())
     assert offsets.evaluate(spark.createDataFrame([r[:5] + (0,) for r in rows], SCHEMA), "k")[0].collect() == []
+
+
+def test_arrays_predict_as_the_columns_do(spark):
+    """Every configuration, by arrays and by the column expression, on evidence with nulls and NaN in it."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    odd = lambda v: rng.choice([None, float("nan")]) if rng.random() < 0.08 else v
+    rows = [(k, rng.choice([True, True, False, None]), s and [tuple([x[0] if rng.random() > 0.05 else None, *map(odd, x[1:])]) for x in s], [tuple([x[0], x[1], *map(odd, x[2:])]) for x in w], label, fold) for k, _, s, w, label, fold in evidence_rows(150, 4)]
+    rows += [(k, k % 2 == 0, None, evidence_rows(9, 8)[8][3], 0.0, 0) for k in (900, 901)] + [(902, True, [], [], 0.0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    x = df.join(offsets.strongest_series(df, "k"), "k", "left").cache()
+    lit = [offsets.predicted({n: F.lit(v) for n, v in c.items()}) for c in offsets.GRID]
+    want = [r.p for r in x.select(F.array(*lit).alias("p")).collect()]
+    t = x.select("full", "sources", "series").toArrow().combine_chunks()
+    column = lambda c: t.column(c).combine_chunks()
+    got = offsets.grid_predictions(column("full"), column("sources"), column("series"), offsets.GRID)
+    assert pa.types.is_list(t.schema.field("sources").type) and got.shape == (len(rows), len(offsets.GRID))
+    plainly = lambda v: None if v is None or math.isnan(v) else v
+    assert [[plainly(v) for v in r] for r in got.tolist()] == [[plainly(v) for v in r] for r in want]
+
+
+def test_grid_makes_no_row_for_each_configuration(spark):
+    """The grid is scored where the evidence stands: nothing multiplies the rows by its 108 configurations."""
+    df = spark.createDataFrame(evidence_rows(20), SCHEMA)
+    folds, samples = offsets.evaluate(df, "k")
+    for out in (folds, samples):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
