@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parley.sources.readers import files
@@ -36,6 +40,27 @@ def masked_value(target: Column) -> Column:
     return F.when(target["valid"], target["target"]).otherwise(F.lit(MASKED))
 
 
+def stretches(frames: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one window (``by``) that follow each other as one row of arrays: (by, frame, FIELDS). Frames mostly come in order, so that few rows are left to shuffle."""
+    by, lists = list(by), ("frame", *FIELDS)
+
+    def gather(batches):
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            first = np.ones(n, bool)
+            same = [pc.fill_null(pc.equal(b.column(k).slice(1), b.column(k).slice(0, n - 1)), False).to_numpy(zero_copy_only=False) for k in by]
+            first[1:] = ~np.logical_and.reduce(same)
+            at = np.flatnonzero(first)
+            offsets = pa.array(np.append(at, n), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(at)) for k in by] + [pa.ListArray.from_arrays(offsets, b.column(c)) for c in lists], [*by, *lists])
+
+    flat = frames.select(*by, *lists)
+    schema = T.StructType([flat.schema[k] for k in by] + [T.StructField(c, T.ArrayType(flat.schema[c].dataType)) for c in lists])
+    return flat.mapInArrow(gather, schema)
+
+
 def assemble(windows: DataFrame, frames: DataFrame, recordings: DataFrame, n_frames: int = N_FRAMES) -> DataFrame:
     """Training rows of accepted ``windows`` (dataset, sample, user_side, start, end, category) and their ``frames``.
 
@@ -46,9 +71,14 @@ def assemble(windows: DataFrame, frames: DataFrame, recordings: DataFrame, n_fra
     """
     by = [*KEYS, "user_side", "start"]
     values = [F.col(c).cast("float").alias(c) for c in INPUTS] + [masked_value(F.col(c)).cast("float").alias(c) for c in TARGETS]
-    rows = frames.select(*by, F.struct(F.col("frame").cast("int").alias("frame"), *values).alias("f")).groupBy(*by).agg(F.array_sort(F.collect_list("f")).alias("f"))
-    whole = F.transform("f", lambda x: x["frame"]) == F.sequence(F.lit(0), F.lit(n_frames - 1))
-    arrays = [F.when(whole, F.col(f"f.{c}")).otherwise(F.array().cast("array<float>")).alias(c) for c in FIELDS]
+    parts = stretches(frames.select(*by, F.col("frame").cast("int").alias("frame"), *values), by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("frame", *FIELDS))).alias("f"))
+    rows = parts.select(*by, *[F.flatten(f"f.{c}").alias(c) for c in ("frame", *FIELDS)])
+    every = F.sequence(F.lit(0), F.lit(n_frames - 1))
+    # Only stretches that interleave have to be sorted frame by frame.
+    rows = rows.withColumn("_whole", F.col("frame") == every)
+    rows = rows.withColumn("_sorted", F.when(~F.col("_whole"), F.sort_array(F.arrays_zip("frame", *FIELDS))))
+    rows = rows.withColumn("_mended", F.coalesce(F.col("_sorted.frame") == every, F.lit(False)))
+    arrays = [F.when(F.col("_whole"), F.col(c)).when(F.col("_mended"), F.col(f"_sorted.{c}")).otherwise(F.array().cast("array<float>")).alias(c) for c in FIELDS]
     w = windows.join(recordings, list(KEYS)).where(F.col("end") <= F.col("duration")).join(rows, by)
     other = 3 - F.col("user_side")
     path = lambda side: F.when(side == 1, F.col("audio1")).otherwise(F.col("audio2"))
@@ -149,13 +179,17 @@ def recording_issues(recordings: DataFrame) -> DataFrame:
 def sample_issues(rows: DataFrame, recordings: DataFrame, n_frames: int = N_FRAMES) -> DataFrame:
     """(code, subject) of training rows: versions, recording, sides, times, tracks, identity, and arrays of targets."""
     own = recordings.dropDuplicates(list(KEYS)).select(*KEYS, F.struct(*[c for c in recordings.columns if c not in KEYS]).alias("_r"))
-    twice = rows.groupBy("window_id").agg(F.count("*").alias("_ids"))
-    same = rows.groupBy(*KEYS, "user_side", "start", "end").agg(F.count("*").alias("_same"))
-    splits = rows.groupBy(*KEYS).agg(F.count_distinct("split").alias("_splits"))
-    x = rows.join(own, list(KEYS), "left").join(twice, "window_id", "left").join(same, [*KEYS, "user_side", "start", "end"], "left").join(splits, list(KEYS), "left")
+    # Arrays are looked at where they are; what is counted over other rows goes without them, so that rows are made only once.
+    # Searched for a number that it may not hold, an array with a null in it answers null; NaN is the largest number.
+    slim = rows.withColumns({"_short": F.exists(F.array(*[F.size(c) for c in FIELDS]), lambda n: n != n_frames), "_all": F.flatten(F.array(*[F.col(c) for c in FIELDS]))})
+    null = F.col("_all").isNotNull() & F.array_contains("_all", F.lit(MASKED - 1).cast("float")).isNull()
+    slim = slim.withColumn("_wrong", null | (F.array_max("_all") > 1) | (F.array_min(F.array_remove("_all", F.lit(MASKED).cast("float"))) < 0)).drop("_all", *FIELDS)
+    over = lambda f, by: F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in by]), lambda b: b), f.over(Window.partitionBy(*by)))
+    window = [*KEYS, "user_side", "start", "end"]
+    x = slim.withColumns({"_ids": over(F.count("*"), ["window_id"]), "_same": over(F.count("*"), window), "_splits": F.size(over(F.collect_set("split"), list(KEYS)))})
+    x = x.join(own, list(KEYS), "left")
     r = lambda c: F.col(f"_r.{c}")
     path = lambda side: F.when(side == 1, r("audio1")).otherwise(r("audio2"))
-    wrong = lambda v: v.isNull() | F.isnan(v) | ((v != MASKED) & ((v < 0) | (v > 1)))
     rules = {
         "unknown_recording": F.col("_r").isNull(),
         "versions": (F.col("schema_version") != SCHEMA_VERSION) | (F.col("training_label_version") != LABEL_VERSION),
@@ -169,8 +203,8 @@ def sample_issues(rows: DataFrame, recordings: DataFrame, n_frames: int = N_FRAM
         "duplicate_window_id": F.col("_ids") > 1,
         "duplicate_window": F.col("_same") > 1,
         "recording_in_splits": F.col("_splits") > 1,
-        "target_length": F.exists(F.array(*[F.size(c) for c in FIELDS]), lambda n: n != n_frames),
-        "target_range": F.exists(F.flatten(F.array(*[F.col(c) for c in FIELDS])), wrong),
+        "target_length": F.col("_short"),
+        "target_range": F.col("_wrong"),
     }
     return _issues(x, F.col("window_id"), rules)
 

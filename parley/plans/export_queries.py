@@ -28,7 +28,10 @@ def _windows(spark, d):
 
 
 def _frames(spark, d):
-    f = _windows(spark, d).select("dataset", "sample", "user_side", "start", F.explode(F.sequence(F.lit(0), F.lit(tc.N_FRAMES - 1))).alias("frame"))
+    # Windows are few and small, and 250 frames come of each: dealt out by number, as Spark would put them into one task by size.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    w = _windows(spark, d).repartition(n, "dataset", "sample", "user_side", "start")
+    f = w.select("dataset", "sample", "user_side", "start", F.explode(F.sequence(F.lit(0), F.lit(tc.N_FRAMES - 1))).alias("frame"))
     n = F.col("frame") + F.col("sample") + F.col("user_side") * 3
     target = lambda i: F.struct((n * (i + 2) % 16 / 16.0).alias("target"), (n % (i + 3) > 0).alias("valid"))
     return f.select("*", (n % 8 / 8.0).alias("assistant_has_floor"), *[target(i).alias(c) for i, c in enumerate(tc.TARGETS)])
@@ -82,5 +85,5 @@ def corpus_issues(spark, d):
         }
     )
     lost = broken.withColumn("sample", F.when(is_(8), -c("sample") - 1).otherwise(c("sample")))
-    twice = lost.unionByName(lost.where(is_(5)))
+    twice = lost.withColumn("_copy", F.explode(F.when(is_(5), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
     return tc.sample_issues(twice, _recordings(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
