@@ -115,13 +115,13 @@ class ScoreRules:
 def segment_hypotheses(own: DataFrame, other: DataFrame, keys: Sequence[str], width: float, unit: float = 1.0) -> DataFrame:
     """Each turn of ``own`` with keep_playing, turn and interruption confidences against the other speaker's turns."""
     pairs = intervals.overlap_join(own, other, keys, width)
-    s = lambda c: F.col(f"a.{c}") / unit
-    o = lambda c: F.col(f"b.{c}") / unit
-    size = F.greatest(s("end") - s("start"), F.lit(1e-9))
+    # Times are subtracted before they are divided: quotients of microseconds since 1970 keep some nine digits behind the point.
+    apart = lambda x, y: (F.col(x) - F.col(y)) / unit
+    size = F.greatest(apart("a.end", "a.start"), F.lit(1e-9))
     share = (F.col("to") - F.col("from")) / unit / size
-    held = share * (0.5 + 0.25 * smoothstep(0.0, 0.3, s("start") - o("start")) + 0.25 * smoothstep(0.0, 0.3, o("end") - s("end")))
-    inside = (o("start") <= s("start")) & (s("start") < o("end"))
-    onset = F.when(inside, F.least(smoothstep(0.1, 0.4, s("start") - o("start")), smoothstep(0.2, 0.6, o("end") - s("start")))).otherwise(0.0)
+    held = share * (0.5 + 0.25 * smoothstep(0.0, 0.3, apart("a.start", "b.start")) + 0.25 * smoothstep(0.0, 0.3, apart("b.end", "a.end")))
+    inside = (F.col("b.start") <= F.col("a.start")) & (F.col("a.start") < F.col("b.end"))
+    onset = F.when(inside, F.least(smoothstep(0.1, 0.4, apart("a.start", "b.start")), smoothstep(0.2, 0.6, apart("b.end", "a.start")))).otherwise(0.0)
     best = pairs.groupBy(*keys, F.col("a.start").alias("start"), F.col("a.end").alias("end")).agg(F.max(held).alias("_held"), F.max(onset).alias("_onset"))
     out = own.join(best, [*keys, "start", "end"], "left").fillna(0.0, ["_held", "_onset"])
     length = (F.col("end") - F.col("start")) / unit
