@@ -38,8 +38,8 @@ def anchor_windows(anchors: DataFrame, recordings: DataFrame, regions: DataFrame
 
 
 def preference(confidence: Column, n_kind: Column, masked: Column) -> Column:
-    # Fixed weights.
-    return F.struct((confidence + 0.08 * F.least(F.lit(3), n_kind) - 0.8 * F.greatest(F.lit(0.0), masked - 0.2)).alias("value"), (-masked).alias("clear"))
+    # Fixed weights. Rounded, so that values that only differ in the order of sums tie.
+    return F.struct(F.round(confidence + 0.08 * F.least(F.lit(3), n_kind) - 0.8 * F.greatest(F.lit(0.0), masked - 0.2), 9).alias("value"), (-F.round(masked, 9)).alias("clear"))
 
 
 def balanced(windows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

@@ -32,8 +32,7 @@ bl AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY r, list_position(['t
 @query(f'WITH {SQL} SELECT k, kind, t AS "time", round(a, 6) AS "start", round(masked, 6) AS masked, n_kind, place::INTEGER AS place FROM bl')
 def balanced_anchors(spark, d):
     """Values are rounded before they are compared, so that equal ones tie alike everywhere."""
-    w = _windows(spark, d).withColumn("masked", F.round("masked", 9))
-    out = pp.balanced(w, K, LIMIT)
+    out = pp.balanced(_windows(spark, d), K, LIMIT)
     return out.select("k", "kind", "time", F.round("start", 6).alias("start"), F.round("masked", 6).alias("masked"), "n_kind", "place")
 
 
@@ -41,7 +40,7 @@ def balanced_anchors(spark, d):
 sc AS (SELECT *, greatest(0.0, least(1.0, 0.25 * pr + 0.15 * fu + 0.2 * c + 0.1 * least(1.0, n_marks / 3.0::DOUBLE) + 0.15 * (1 - masked) + 0.15 * least(1.0, n_kind / 3.0::DOUBLE) - 0.7 * greatest(0.0, masked - 0.2))) AS score FROM mk)
 SELECT k, kind, t AS "time", round(a, 6) AS "start", n_marks, round(score + 1e-9, 6) AS score FROM sc WHERE score >= 0.75 AND pr >= 0.9 AND fu >= 0.95 AND masked <= 0.35 AND (b <= 250 OR (a >= 300 AND b <= d))""")
 def training_propositions(spark, d):
-    w = pp.balanced(_windows(spark, d).withColumn("masked", F.round("masked", 9)), K, LIMIT)
+    w = pp.balanced(_windows(spark, d), K, LIMIT)
     ratios = w.select("k", "start", "end", (1 - F.floor("start") % 5 / 64.0).alias("primary"), (1 - F.floor("start") % 3 / 64.0).alias("future")).distinct()
     s = _speech(spark, d)
     ends = s.groupBy("k").agg(F.max("end").alias("end"))
