@@ -133,7 +133,9 @@ def future_occupancy(frames: DataFrame, spans: DataFrame, keys: Sequence[str], h
     """Each frame with ``occupancy``: the share of each future horizon that spans cover; -1 where the horizon passes ``limit``."""
     n = F.array(*[F.struct(F.lit(i).alias("h"), (F.col("time") + a).alias("start"), (F.col("time") + b).alias("end")) for i, (a, b) in enumerate(horizons)])
     keyed = [*keys, "time"]
-    long = frames.select(*keyed, *([limit.alias("_limit")] if limit is not None else []), F.explode(n).alias("x")).select(*keyed, *(["_limit"] if limit is not None else []), "x.*")
+    # Frames of one time, however many, have one row.
+    once = frames.select(*keyed, *([limit.alias("_limit")] if limit is not None else [])).distinct()
+    long = once.withColumn("x", F.explode(n)).select(*keyed, *(["_limit"] if limit is not None else []), "x.*")
     merged = intervals.union(spans, keys)
     part = intervals.overlap_join(long.select(*keyed, "h", "start", "end").distinct(), merged, keys, width).groupBy(*keys, F.col("a.time").alias("time"), F.col("a.h").alias("h")).agg(F.sum(F.col("to") - F.col("from")).alias("_c"))
     share = F.coalesce(F.col("_c"), F.lit(0)) / (F.col("end") - F.col("start"))
