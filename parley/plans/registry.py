@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's rows as a stream, be it one file or a folder of parts."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech spans (k, side, start, end) in microseconds, from events: two sides per user, minutes long."""
     e = table(spark, sf_dir, "events")

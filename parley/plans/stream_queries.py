@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from parley.operators import text as tx
-from parley.plans.registry import query, table
+from parley.plans.registry import query, stream, table
 from parley.streaming import evidence, jobs, policy, replies, turns
 
 SAID = {"view": "", "click": "Yeah.", "purchase": "wait, no", "signup": "haha", "error": "okay, and then", "search": "right so the plan", "login": "who is it", "logout": "that's not it"}
@@ -46,8 +46,7 @@ def revision_stable_prefix(spark, d):
 
 
 def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return stream(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
 
 
 #: Key of the row that ends a stream.
@@ -147,8 +146,7 @@ def stream_predictions(spark, d):
 
 @query()
 def stream_revisions(spark, d):
-    schema = table(spark, d, "conversations").schema
-    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d).select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), "text")
+    c = stream(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), "text")
     return jobs.run_once(jobs.stream_revisions(c), f"revisions_{uuid.uuid4().hex}")
 
 
@@ -180,6 +178,5 @@ def reply_events(spark, d):
 
 @query(REPLIES)
 def stream_replies(spark, d):
-    schema = table(spark, d, "conversations").schema
-    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    c = stream(spark, d, "conversations")
     return jobs.run_once(replies.stream_replies(_pieces(c)), f"replies_{uuid.uuid4().hex}")
