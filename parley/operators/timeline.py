@@ -83,7 +83,8 @@ def with_best_shift(rows: DataFrame, frame: float, reach: float, margin: float,
             else:
                 i = int(np.argmin(both + neither))
                 cut = (both[far] - both[i]) / n, (neither[far] - neither[i]) / n
-                values = (i - far, max(0.0, sum(cut)), *cut)
+                # From whole numbers: a sum of two quotients can be off by a bit, which decides where weights are even.
+                values = (i - far, max(0.0, int(both[far] + neither[far] - both[i] - neither[i]) / n), *cut)
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.float64()) for c in cols[1:]]], ["lag", "improvement", "overlap_reduction", "silence_reduction"])
